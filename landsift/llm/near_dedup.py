@@ -33,6 +33,7 @@ from .components import components
 
 BUCKETS = 1 << 18
 BANDS, ROWS = 10, 3
+SLOTS = 1 << 20
 SEED = 20240229
 _tables: dict[int, tuple[np.ndarray, ...]] = {}
 
@@ -125,13 +126,20 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(common / (a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64) - common))
 
 
+def _slot(id_col: str):
+    return F.pmod(F.xxhash64(id_col), F.lit(SLOTS))
+
+
 def verified(docs: DataFrame, pairs: DataFrame, idf: np.ndarray, threshold: float, k: int) -> DataFrame:
     """pairs (leader, member) with their similarity, of docs (id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     sizes = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
     dealt = pairs.join(sizes, "leader").select("leader", "member", F.pmod(F.xxhash64("member"), F.floor(F.col("n") / 256) + 1).alias("salt"))
     wanted = dealt.select(F.col("member").alias("id"), "leader", "salt", F.lit(1).alias("kind")).unionByName(dealt.select(F.col("leader").alias("id"), "leader", "salt", F.lit(0).alias("kind")).distinct())
-    rows = docs.join(wanted, "id").repartition("leader", "salt").sortWithinPartitions("leader", "salt", "kind", "id")
+    wanted = cut(wanted)
+    # texts of ids that no pair names mostly stay where they are: a broadcast set of at most 2^20 hash slots
+    slots = wanted.select(_slot("id").alias("slot")).distinct()
+    rows = docs.withColumn("slot", _slot("id")).join(F.broadcast(slots), "slot", "left_semi").drop("slot").join(wanted.hint("merge"), "id").repartition("leader", "salt").sortWithinPartitions("leader", "salt", "kind", "id")
 
     def run(batches):
         table, now, lead = shared.value, None, []
