@@ -8,12 +8,14 @@
    members are linked to the key's least id only, so a key of m members gives m - 1 pairs, never m * m.
 4. Each pair is verified on the whole texts. A leader's text is sent once for each 256 of its members; a hot leader so
    spreads over tasks.
-5. A member that its leader refuses gets more chances: under every key the refused members elect a new leader, for
-   `rounds` rounds; and it meets other leaders under the other 19 keys.
-6. Verified pairs and copies make connected components; the least id names the class.
+5. Verified pairs and copies make connected components; the least id names the class. A leader may refuse a member that
+   others of its key would accept, so keys whose members lie in several components go on: those of up to 16 members
+   have every pair across components verified; under the others a new leader, drawn by hash, meets all members of other
+   components, then leaves, and the key is lengthened by one more sample, so that hot keys fall apart. This goes on
+   until no key spans two components, so every key is worked off, without a limit on rounds, members or partners.
 
-Band draws are random by nature: a pair at similarity s shares a band with 1 - (1 - s^3)^10, 0.9993 at 0.8. No key,
-group or document is capped.
+Draws are random by nature: a pair at similarity s shares a band with 1 - (1 - s^3)^10, 0.9993 at 0.8, and each
+lengthening keeps it under a key with s (it has about eight keys).
 
 Defined cases: null texts count as empty; texts without words are copies of one another; null ids form no pairs and
 have their copies' class; rows that repeat an id are one document, linked if any of its texts is; an empty table gives
@@ -34,6 +36,7 @@ from .components import components
 BUCKETS = 1 << 18
 BANDS, ROWS = 10, 3
 SLOTS = 1 << 20
+SMALL = 16  # members of a key up to which all pairs across components are verified at once
 SEED = 20240229
 _tables: dict[int, tuple[np.ndarray, ...]] = {}
 
@@ -102,18 +105,21 @@ def idf_table(df: DataFrame, text: str, tempering: float, k: int) -> np.ndarray:
 
 
 def signatures(df: DataFrame, idf: np.ndarray, id_col: str, text: str, k: int) -> DataFrame:
-    """(id, digest, keys) of each row; texts without words have no keys."""
+    """(id, digest, keys, samples) of each row; texts without words have no keys."""
     shared = df.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches):
         table = shared.value
         for b in _slices(batches):
             h, times, counts, digests = shingles([t or "" for t in b.column(1).to_pylist()], k)
-            own = keys(samples(h, times * table[(h % np.uint64(BUCKETS)).astype(np.int64)], counts))
-            ends = np.append(0, np.cumsum((counts > 0) * own.shape[1])).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(own.ravel()))], names=["id", "digest", "keys"])
+            drawn = samples(h, times * table[(h % np.uint64(BUCKETS)).astype(np.int64)], counts)
+            lists = []
+            for own in (keys(drawn), drawn.view(np.int32)):
+                ends = np.append(0, np.cumsum((counts > 0) * own.shape[1])).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(own.ravel())))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), *lists], names=["id", "digest", "keys", "samples"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, digest binary, keys array<long>")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, digest binary, keys array<long>, samples array<int>")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -162,29 +168,67 @@ def verified(docs: DataFrame, pairs: DataFrame, idf: np.ndarray, threshold: floa
     return rows.select("leader", "salt", "kind", "id", "text").mapInArrow(run, "leader long, member long, similarity double").groupBy("leader", "member").agg(F.max("similarity").alias("similarity")).withColumn("linked", F.col("similarity") >= threshold)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.8, k: int = 5, tempering: float = 0.25, rounds: int = 2) -> DataFrame:
+def _spanning(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """members (id, key, slot) of keys that span several components, with their root and n, the key's members."""
+    rooted = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    spans = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key", "n")
+    return rooted.join(spans, "key").select("id", "key", "slot", "root", "n")
+
+
+def _across(now: DataFrame) -> DataFrame:
+    """Pairs across components under small keys."""
+    small = now.filter(F.col("n") <= SMALL).select("key", "id", "root")
+    other = small.select("key", F.col("id").alias("member"), F.col("root").alias("other"))
+    return small.join(other, "key").filter("id < member and root <> other").select(F.col("id").alias("leader"), "member")
+
+
+def _led(now: DataFrame, level: int) -> DataFrame:
+    """Members of large keys but their leader, with leader and over (the leader's root)."""
+    large = now.filter(F.col("n") > SMALL)
+    leads = large.groupBy("key").agg(F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(level))).alias("l")).select("key", F.col("l.id").alias("leader"), F.col("l.root").alias("over"))
+    return large.join(leads, "key").filter("id <> leader")
+
+
+def _longer(led: DataFrame, reps: DataFrame, level: int) -> DataFrame:
+    """The led members under keys with one more sample, one beyond the bands that a key is made of; when all samples
+    are part of a key it stays as it is."""
+    if level > BANDS * ROWS - 2 * ROWS:
+        return led.select("id", "key", "slot")
+    at = (F.col("slot") % BANDS * ROWS + F.lit(ROWS - 1 + level)) % (BANDS * ROWS)
+    return led.join(reps.select("id", "samples"), "id").select("id", F.xxhash64("key", F.get("samples", at)).alias("key"), "slot")
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    return cut(components(links.select(F.col("leader").alias("a"), F.col("member").alias("b"))))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.8, k: int = 5, tempering: float = 0.25) -> DataFrame:
     """One row for each row of df: id, class_id (the least id of its class), n_links (verified links to other texts that
     were found for its word sequence's representative), kept (id = class_id)."""
     ship(df.sparkSession)
     idf = idf_table(df, text, tempering, k)
     signed = cut(signatures(df, idf, id_col, text, k))
-    reps = cut(signed.filter("id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys")))
+    reps = cut(signed.filter("id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("samples").alias("samples")))
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    members = reps.select("id", F.explode("keys").alias("key"))
-    done = None
-    for _ in range(rounds):
-        leaders = members.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        led = members.join(leaders, "key").filter("id > leader")
-        pairs = led.select("leader", F.col("id").alias("member")).distinct()
-        if done is not None:
-            pairs = pairs.join(done.select("leader", "member"), ["leader", "member"], "left_anti")
-        new = cut(verified(docs, cut(pairs), idf, threshold, k))
-        done = new if done is None else done.unionByName(new)
-        # refused members go on under the same key, without its leader and what that leader holds
-        refused = new.filter("not linked").select("leader", F.col("member").alias("id"))
-        members = cut(led.join(refused, ["leader", "id"], "left_semi").select("id", "key"))
+    members = reps.select("id", F.posexplode("keys").alias("slot", "key"))
+    leaders = members.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    pairs = members.join(leaders, "key").filter("id > leader").select("leader", F.col("id").alias("member")).distinct()
+    done = cut(verified(docs, cut(pairs), idf, threshold, k))
+    roots = _roots(done.filter("linked"))
+    level = 0
+    while not (now := cut(_spanning(members, roots))).isEmpty():
+        level += 1
+        led = cut(_led(now, level))
+        met = _across(now).unionByName(led.filter("root <> over").select("leader", F.col("id").alias("member")))
+        ordered = [F.least("leader", "member").alias("a"), F.greatest("leader", "member").alias("b")]
+        pairs = cut(met.select("leader", "member", *ordered).dropDuplicates(["a", "b"]).join(done.select(*ordered), ["a", "b"], "left_anti").select("leader", "member"))
+        if not pairs.isEmpty():
+            new = cut(verified(docs, pairs, idf, threshold, k))
+            done = done.unionByName(new)
+            if not new.filter("linked").isEmpty():
+                roots = _roots(done.filter("linked"))
+        members = cut(_longer(led, reps, level))
     links = done.filter("linked")
-    roots = components(links.select(F.col("leader").alias("a"), F.col("member").alias("b")))
     degree = links.select(F.col("leader").alias("id")).unionByName(links.select(F.col("member").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     classes = reps.select("digest", "id").join(roots, "id", "left").join(degree, "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return signed.select("id", "digest").join(classes, "digest", "left").select(F.col("id").alias(id_col), "class_id", "n_links", F.coalesce(F.col("id") == F.col("class_id"), F.lit(False)).alias("kept"))

@@ -203,6 +203,33 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_lose_no_link(spark, monkeypatch):
+    """Variants of one text whose similarities lie around 0.8: a leader refuses some that others accept."""
+    rng = random.Random(21)
+    base, rows = sentences(rng, 300).split(), []
+    for i in range(120):
+        w = list(base)
+        for at in rng.sample(range(300), rng.choice([1, 3, 5, 7, 9])):
+            w[at] = f"v{i}x{at}"
+        rows.append((i, " ".join(w)))
+    df = docs(spark, rows)
+    idf = near_dedup.idf_table(df, "text", 0.25, 5)
+    own = {}
+    for i, t in rows:
+        h, times, _, _ = near_dedup.shingles([t], 5)
+        own[i] = h, times * idf[(h % np.uint64(near_dedup.BUCKETS)).astype(np.int64)]
+    root = {i: i for i in own}
+    for a in own:
+        for b in range(a):
+            if root[a] != root[b] and near_dedup.weighted_jaccard(own[a], own[b]) >= 0.8:
+                lo, hi = sorted((root[a], root[b]))
+                root = {k: lo if v == hi else v for k, v in root.items()}
+    assert 1 < len(set(root.values())) < 100
+    for small in (16, 2):
+        monkeypatch.setattr(near_dedup, "SMALL", small)
+        assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()} == root
+
+
 def test_sampler_estimates_weighted_jaccard():
     rng = np.random.default_rng(4)
     a = np.sort(rng.integers(0, 1 << 57, 4000).astype(np.uint64))
