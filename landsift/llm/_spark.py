@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import os
 import shutil
@@ -36,7 +37,18 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/landsift-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held._landsift_path = path
+    return held
+
+
+def remove(df: DataFrame) -> None:
+    """Delete a table that `cut` wrote and that nothing reads any more; let the shuffles of its making go too."""
+    jvm, path = df.sparkSession._jvm, df._landsift_path
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def ship(spark: SparkSession) -> None:

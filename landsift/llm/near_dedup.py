@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, partition_sum, ship
+from ._spark import cut, partition_sum, remove, ship
 from ._words import mixed, shingles
 from .components import components
 
@@ -175,6 +175,17 @@ def _spanning(members: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(spans, "key").select("id", "key", "slot", "root", "n")
 
 
+def _first_spanning(members: DataFrame, leaders: DataFrame, done: DataFrame, roots: DataFrame, reach: float) -> DataFrame:
+    """_spanning after the first leaders, whose distance d to each of their members is known. Weighted Jaccard distance
+    is a metric: a member of the leader's component whose d is below that of all strangers by more than reach links to
+    none of them, and leaves."""
+    near = done.select("leader", F.col("member").alias("id"), (1 - F.col("similarity")).alias("d"))
+    rooted = members.join(leaders, "key").join(near, ["leader", "id"], "left").join(roots, "id", "left").select("id", "key", "slot", F.coalesce("root", "id").alias("root"), F.coalesce("d", F.lit(0.0)).alias("d"), (F.col("id") == F.col("leader")).alias("leads"))
+    groups = rooted.groupBy("key", "root").agg(F.min("d").alias("least"), F.bool_or("leads").alias("home"))
+    spans = groups.groupBy("key").agg(F.min(F.when(~F.col("home"), F.col("least"))).alias("edge"), F.max(F.when(F.col("home"), F.col("root"))).alias("at")).filter("edge is not null")
+    return _spanning(rooted.join(spans, "key").filter((F.col("root") != F.col("at")) | (F.col("d") >= F.col("edge") - reach - 1e-6)).select("id", "key", "slot"), roots)
+
+
 def _across(now: DataFrame) -> DataFrame:
     """Pairs across components under small keys."""
     small = now.filter(F.col("n") <= SMALL).select("key", "id", "root")
@@ -215,10 +226,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", t
     pairs = members.join(leaders, "key").filter("id > leader").select("leader", F.col("id").alias("member")).distinct()
     done = cut(verified(docs, cut(pairs), idf, threshold, k))
     roots = _roots(done.filter("linked"))
-    level = 0
-    while not (now := cut(_spanning(members, roots))).isEmpty():
+    now, level = cut(_first_spanning(members, leaders, done, roots, 1 - threshold)), 0
+    while not now.isEmpty():
         level += 1
-        led = cut(_led(now, level))
+        led = _led(now, level)
         met = _across(now).unionByName(led.filter("root <> over").select("leader", F.col("id").alias("member")))
         ordered = [F.least("leader", "member").alias("a"), F.greatest("leader", "member").alias("b")]
         pairs = cut(met.select("leader", "member", *ordered).dropDuplicates(["a", "b"]).join(done.select(*ordered), ["a", "b"], "left_anti").select("leader", "member"))
@@ -227,7 +238,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", t
             done = done.unionByName(new)
             if not new.filter("linked").isEmpty():
                 roots = _roots(done.filter("linked"))
-        members = cut(_longer(led, reps, level))
+        last, now = now, cut(_spanning(_longer(led, reps, level), roots))
+        remove(last)
     links = done.filter("linked")
     degree = links.select(F.col("leader").alias("id")).unionByName(links.select(F.col("member").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     classes = reps.select("digest", "id").join(roots, "id", "left").join(degree, "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
