@@ -43,12 +43,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def remove(df: DataFrame) -> None:
-    """Delete a table that `cut` wrote and that nothing reads any more; let the shuffles of its making go too."""
+    """Delete a table that `cut` wrote and that nothing reads any more."""
     jvm, path = df.sparkSession._jvm, df._landsift_path
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def settle(spark: SparkSession) -> None:
+    """Let go of the shuffles of tables that are written."""
     gc.collect()
-    jvm.System.gc()
+    spark._jvm.System.gc()
 
 
 def ship(spark: SparkSession) -> None:

@@ -10,9 +10,10 @@
    spreads over tasks.
 5. Verified pairs and copies make connected components; the least id names the class. A leader may refuse a member that
    others of its key would accept, so keys whose members lie in several components go on: those of up to 16 members
-   have every pair across components verified; under the others a new leader, drawn by hash, meets all members of other
-   components, then leaves, and the key is lengthened by one more sample, so that hot keys fall apart. This goes on
-   until no key spans two components, so every key is worked off, without a limit on rounds, members or partners.
+   have every pair across components verified; under the others new leaders, drawn by hash, half of them from the
+   smaller components, meet all members of other components, then leave, and the key is lengthened by one more sample,
+   so that hot keys fall apart. This goes on until no key spans two components, so every key is worked off, without a
+   limit on rounds, members or partners.
 
 Draws are random by nature: a pair at similarity s shares a band with 1 - (1 - s^3)^10, 0.9993 at 0.8, and each
 lengthening keeps it under a key with s (it has about eight keys).
@@ -29,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, partition_sum, remove, ship
+from ._spark import cut, partition_sum, remove, settle, ship
 from ._words import mixed, shingles
 from .components import components
 
 BUCKETS = 1 << 18
 BANDS, ROWS = 10, 3
 SLOTS = 1 << 20
+LEADERS = 16  # of a large key in one level; the next level goes on with others
 SMALL = 16  # members of a key up to which all pairs across components are verified at once
 SEED = 20240229
 _tables: dict[int, tuple[np.ndarray, ...]] = {}
@@ -137,7 +139,7 @@ def _slot(id_col: str):
 
 
 def verified(docs: DataFrame, pairs: DataFrame, idf: np.ndarray, threshold: float, k: int) -> DataFrame:
-    """pairs (leader, member) with their similarity, of docs (id, text)."""
+    """pairs (leader, member; a table of `cut`, deleted afterwards) with their similarity, of docs (id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     sizes = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
     dealt = pairs.join(sizes, "leader").select("leader", "member", F.pmod(F.xxhash64("member"), F.floor(F.col("n") / 256) + 1).alias("salt"))
@@ -165,14 +167,19 @@ def verified(docs: DataFrame, pairs: DataFrame, idf: np.ndarray, threshold: floa
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["leader", "member", "similarity"])
 
-    return rows.select("leader", "salt", "kind", "id", "text").mapInArrow(run, "leader long, member long, similarity double").groupBy("leader", "member").agg(F.max("similarity").alias("similarity")).withColumn("linked", F.col("similarity") >= threshold)
+    out = cut(rows.select("leader", "salt", "kind", "id", "text").mapInArrow(run, "leader long, member long, similarity double").groupBy("leader", "member").agg(F.max("similarity").alias("similarity")).withColumn("linked", F.col("similarity") >= threshold))
+    remove(wanted)
+    remove(pairs)
+    return out
 
 
 def _spanning(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """members (id, key, slot) of keys that span several components, with their root and n, the key's members."""
+    """members (id, key, slot) of keys that span several components, with their root, n (the key's members) and home
+    (the component that has most of them)."""
     rooted = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    spans = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key", "n")
-    return rooted.join(spans, "key").select("id", "key", "slot", "root", "n")
+    parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    spans = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root"))["root"].alias("home"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", "n", "home")
+    return rooted.join(spans, "key").select("id", "key", "slot", "root", "n", "home")
 
 
 def _first_spanning(members: DataFrame, leaders: DataFrame, done: DataFrame, roots: DataFrame, reach: float) -> DataFrame:
@@ -193,11 +200,16 @@ def _across(now: DataFrame) -> DataFrame:
     return small.join(other, "key").filter("id < member and root <> other").select(F.col("id").alias("leader"), "member")
 
 
-def _led(now: DataFrame, level: int) -> DataFrame:
-    """Members of large keys but their leader, with leader and over (the leader's root)."""
+def _led(now: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """Of large keys: the members that don't lead, and pairs (leader, member) across components. Half of the leaders
+    are drawn from outside the home component as long as there are such members: one that has met all others is settled
+    under its key, and when they all are, so is the key. Leaders are those with the least hash of each drawing, so they are found before the shuffle."""
     large = now.filter(F.col("n") > SMALL)
-    leads = large.groupBy("key").agg(F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(level))).alias("l")).select("key", F.col("l.id").alias("leader"), F.col("l.root").alias("over"))
-    return large.join(leads, "key").filter("id <> leader")
+    drawn = [F.min_by(F.struct("id", "root"), F.struct((F.col("root") == F.col("home")) & F.lit(i % 2 == 0), F.xxhash64("id", F.lit(level), F.lit(i)))).alias(f"l{i}") for i in range(LEADERS)]
+    leads = large.groupBy("key").agg(*drawn).select("key", F.array_distinct(F.array(*(f"l{i}" for i in range(len(drawn))))).alias("leads"))
+    led = large.join(leads, "key")
+    met = led.select("id", "root", F.explode("leads").alias("l")).filter("root <> l.root").select(F.col("l.id").alias("leader"), F.col("id").alias("member"))
+    return led.filter(~F.array_contains(F.transform("leads", lambda x: x["id"]), F.col("id"))).select("id", "key", "slot"), met
 
 
 def _longer(led: DataFrame, reps: DataFrame, level: int) -> DataFrame:
@@ -213,6 +225,15 @@ def _roots(links: DataFrame) -> DataFrame:
     return cut(components(links.select(F.col("leader").alias("a"), F.col("member").alias("b"))))
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots with links added: only the components that these tie are computed anew."""
+    named = links.select(F.col("leader").alias("id")).unionByName(links.select(F.col("member").alias("id"))).distinct()
+    held = roots.unionByName(named.join(roots, "id", "left_anti").select("id", F.col("id").alias("root")))
+    ends = [held.select(F.col("id").alias(end), F.col("root").alias(at)) for end, at in (("leader", "a"), ("member", "b"))]
+    tied = components(links.join(ends[0], "leader").join(ends[1], "member").select("a", "b")).select(F.col("id").alias("root"), F.col("root").alias("new"))
+    return cut(held.join(tied, "root", "left").select("id", F.coalesce("new", "root").alias("root")))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.8, k: int = 5, tempering: float = 0.25) -> DataFrame:
     """One row for each row of df: id, class_id (the least id of its class), n_links (verified links to other texts that
     were found for its word sequence's representative), kept (id = class_id)."""
@@ -224,22 +245,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", t
     members = reps.select("id", F.posexplode("keys").alias("slot", "key"))
     leaders = members.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     pairs = members.join(leaders, "key").filter("id > leader").select("leader", F.col("id").alias("member")).distinct()
-    done = cut(verified(docs, cut(pairs), idf, threshold, k))
+    done = verified(docs, cut(pairs), idf, threshold, k)
     roots = _roots(done.filter("linked"))
     now, level = cut(_first_spanning(members, leaders, done, roots, 1 - threshold)), 0
     while not now.isEmpty():
         level += 1
-        led = _led(now, level)
-        met = _across(now).unionByName(led.filter("root <> over").select("leader", F.col("id").alias("member")))
+        led, met = _led(now, level)
         ordered = [F.least("leader", "member").alias("a"), F.greatest("leader", "member").alias("b")]
-        pairs = cut(met.select("leader", "member", *ordered).dropDuplicates(["a", "b"]).join(done.select(*ordered), ["a", "b"], "left_anti").select("leader", "member"))
+        pairs = cut(_across(now).unionByName(met).select("leader", "member", *ordered).dropDuplicates(["a", "b"]).join(done.select(*ordered), ["a", "b"], "left_anti").select("leader", "member"))
         if not pairs.isEmpty():
-            new = cut(verified(docs, pairs, idf, threshold, k))
+            new = verified(docs, pairs, idf, threshold, k)
             done = done.unionByName(new)
             if not new.filter("linked").isEmpty():
-                roots = _roots(done.filter("linked"))
+                last, roots = roots, _joined(roots, new.filter("linked"))
+                remove(last)
         last, now = now, cut(_spanning(_longer(led, reps, level), roots))
         remove(last)
+        settle(df.sparkSession)
     links = done.filter("linked")
     degree = links.select(F.col("leader").alias("id")).unionByName(links.select(F.col("member").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     classes = reps.select("digest", "id").join(roots, "id", "left").join(degree, "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
