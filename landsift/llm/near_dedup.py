@@ -11,12 +11,12 @@
 5. Verified pairs and copies make connected components; the least id names the class. A leader may refuse a member that
    others of its key would accept, so keys whose members lie in several components go on: those of up to 16 members
    have every pair across components verified; under the others new leaders, drawn by hash, half of them from the
-   smaller components, meet all members of other components, then leave, and the key is lengthened by one more sample,
+   smaller components, meet all members of other components, then leave, and the key is lengthened by three samples,
    so that hot keys fall apart. This goes on until no key spans two components, so every key is worked off, without a
    limit on rounds, members or partners.
 
 Draws are random by nature: a pair at similarity s shares a band with 1 - (1 - s^3)^10, 0.9993 at 0.8, and each
-lengthening keeps it under a key with s (it has about eight keys).
+lengthening keeps it under a key with s^3 (it has about eight keys).
 
 Defined cases: null texts count as empty; texts without words are copies of one another; null ids form no pairs and
 have their copies' class; rows that repeat an id are one document, linked if any of its texts is; an empty table gives
@@ -37,7 +37,8 @@ from .components import components
 BUCKETS = 1 << 18
 BANDS, ROWS = 10, 3
 SLOTS = 1 << 20
-LEADERS = 16  # of a large key in one level; the next level goes on with others
+LEADERS = 4  # of a large key in one level; the next level goes on with others
+STEP = 3  # samples that a level adds to large keys
 SMALL = 16  # members of a key up to which all pairs across components are verified at once
 SEED = 20240229
 _tables: dict[int, tuple[np.ndarray, ...]] = {}
@@ -213,12 +214,12 @@ def _led(now: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _longer(led: DataFrame, reps: DataFrame, level: int) -> DataFrame:
-    """The led members under keys with one more sample, one beyond the bands that a key is made of; when all samples
-    are part of a key it stays as it is."""
-    if level > BANDS * ROWS - 2 * ROWS:
+    """The led members under keys with STEP more samples, beyond the bands that a key is made of; when all samples are
+    part of a key it stays as it is."""
+    if level * STEP > BANDS * ROWS - 2 * ROWS:
         return led.select("id", "key", "slot")
-    at = (F.col("slot") % BANDS * ROWS + F.lit(ROWS - 1 + level)) % (BANDS * ROWS)
-    return led.join(reps.select("id", "samples"), "id").select("id", F.xxhash64("key", F.get("samples", at)).alias("key"), "slot")
+    more = [F.get("samples", (F.col("slot") % BANDS * ROWS + F.lit(ROWS + (level - 1) * STEP + x)) % (BANDS * ROWS)) for x in range(STEP)]
+    return led.join(reps.select("id", "samples"), "id").select("id", F.xxhash64("key", *more).alias("key"), "slot")
 
 
 def _roots(links: DataFrame) -> DataFrame:
@@ -226,12 +227,18 @@ def _roots(links: DataFrame) -> DataFrame:
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """roots with links added: only the components that these tie are computed anew."""
+    """roots with links added: each component takes the least root within two links of it. Roots so stay within true
+    components, which the end computes from all links; here they spare pairs, so they needn't be complete."""
     named = links.select(F.col("leader").alias("id")).unionByName(links.select(F.col("member").alias("id"))).distinct()
     held = roots.unionByName(named.join(roots, "id", "left_anti").select("id", F.col("id").alias("root")))
     ends = [held.select(F.col("id").alias(end), F.col("root").alias(at)) for end, at in (("leader", "a"), ("member", "b"))]
-    tied = components(links.join(ends[0], "leader").join(ends[1], "member").select("a", "b")).select(F.col("id").alias("root"), F.col("root").alias("new"))
-    return cut(held.join(tied, "root", "left").select("id", F.coalesce("new", "root").alias("root")))
+    tied = links.join(ends[0], "leader").join(ends[1], "member").select("a", "b").filter("a <> b").distinct()
+    both = cut(tied.unionByName(tied.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    one = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m"))
+    two = both.join(one, "b").groupBy("a").agg(F.min("m").alias("m")).select(F.col("a").alias("root"), F.least("a", "m").alias("new"))
+    out = cut(held.join(two, "root", "left").select("id", F.coalesce("new", "root").alias("root")))
+    remove(both)
+    return out
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.8, k: int = 5, tempering: float = 0.25) -> DataFrame:
@@ -263,6 +270,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", t
         remove(last)
         settle(df.sparkSession)
     links = done.filter("linked")
+    if level:
+        roots = _roots(links)
     degree = links.select(F.col("leader").alias("id")).unionByName(links.select(F.col("member").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     classes = reps.select("digest", "id").join(roots, "id", "left").join(degree, "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return signed.select("id", "digest").join(classes, "digest", "left").select(F.col("id").alias(id_col), "class_id", "n_links", F.coalesce(F.col("id") == F.col("class_id"), F.lit(False)).alias("kept"))
