@@ -10,13 +10,14 @@
    spreads over tasks.
 5. Verified pairs and copies make connected components; the least id names the class. A leader may refuse a member that
    others of its key would accept, so keys whose members lie in several components go on: those of up to 16 members
-   have every pair across components verified; under the others new leaders, drawn by hash, half of them from the
-   smaller components, meet all members of other components, then leave, and the key is lengthened by one more sample,
-   so that hot keys fall apart. This goes on until no key spans two components, so every key is worked off, without a
-   limit on rounds, members or partners.
+   have every pair across components verified. The members of all larger ones go through an exact join: shingles in one
+   order for all texts (the rarest buckets first), of two texts at the threshold t or above the rarest common shingle
+   lies within the first (1 - t) / (1 + t) of the lighter one's weight and the first 1 - t of the heavier one's, and what
+   follows it in either weighs t / (1 + t) of both weights at least. All pairs across components that meet this are
+   verified, in rounds between which those that others have tied meanwhile leave. So of the pairs that share a key
+   none is lost, whatever the size of the key; nothing is capped.
 
-Draws are random by nature: a pair at similarity s shares a band with 1 - (1 - s^3)^10, 0.9993 at 0.8, and each
-lengthening keeps it under a key with s (it has about eight keys).
+Draws are random by nature: a pair at similarity s shares a band with 1 - (1 - s^3)^10, 0.9993 at 0.8.
 
 Defined cases: null texts count as empty; texts without words are copies of one another; null ids form no pairs and
 have their copies' class; rows that repeat an id are one document, linked if any of its texts is; an empty table gives
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._spark import cut, partition_sum, remove, settle, ship
 from ._words import mixed, shingles
@@ -37,7 +39,7 @@ from .components import components
 BUCKETS = 1 << 18
 BANDS, ROWS = 10, 3
 SLOTS = 1 << 20
-LEADERS = 16  # of a large key in one level; the next level goes on with others
+PARTNERS = 16  # of a text in the first round over candidates; each later round takes four times as many
 SMALL = 16  # members of a key up to which all pairs across components are verified at once
 SEED = 20240229
 _tables: dict[int, tuple[np.ndarray, ...]] = {}
@@ -107,21 +109,18 @@ def idf_table(df: DataFrame, text: str, tempering: float, k: int) -> np.ndarray:
 
 
 def signatures(df: DataFrame, idf: np.ndarray, id_col: str, text: str, k: int) -> DataFrame:
-    """(id, digest, keys, samples) of each row; texts without words have no keys."""
+    """(id, digest, keys) of each row; texts without words have no keys."""
     shared = df.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches):
         table = shared.value
         for b in _slices(batches):
             h, times, counts, digests = shingles([t or "" for t in b.column(1).to_pylist()], k)
-            drawn = samples(h, times * table[(h % np.uint64(BUCKETS)).astype(np.int64)], counts)
-            lists = []
-            for own in (keys(drawn), drawn.view(np.int32)):
-                ends = np.append(0, np.cumsum((counts > 0) * own.shape[1])).astype(np.int32)
-                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(own.ravel())))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), *lists], names=["id", "digest", "keys", "samples"])
+            own = keys(samples(h, times * table[(h % np.uint64(BUCKETS)).astype(np.int64)], counts))
+            ends = np.append(0, np.cumsum((counts > 0) * own.shape[1])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(own.ravel()))], names=["id", "digest", "keys"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, digest binary, keys array<long>, samples array<int>")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, digest binary, keys array<long>")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -138,6 +137,13 @@ def _slot(id_col: str):
     return F.pmod(F.xxhash64(id_col), F.lit(SLOTS))
 
 
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs joined with wanted on the id. Texts of ids that it doesn't name mostly stay where they are: a broadcast set
+    of at most 2^20 hash slots."""
+    slots = wanted.select(_slot("id").alias("slot")).distinct()
+    return docs.withColumn("slot", _slot("id")).join(F.broadcast(slots), "slot", "left_semi").drop("slot").join(wanted.hint("merge"), "id")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, idf: np.ndarray, threshold: float, k: int) -> DataFrame:
     """pairs (leader, member; a table of `cut`, deleted afterwards) with their similarity, of docs (id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
@@ -145,9 +151,7 @@ def verified(docs: DataFrame, pairs: DataFrame, idf: np.ndarray, threshold: floa
     dealt = pairs.join(sizes, "leader").select("leader", "member", F.pmod(F.xxhash64("member"), F.floor(F.col("n") / 256) + 1).alias("salt"))
     wanted = dealt.select(F.col("member").alias("id"), "leader", "salt", F.lit(1).alias("kind")).unionByName(dealt.select(F.col("leader").alias("id"), "leader", "salt", F.lit(0).alias("kind")).distinct())
     wanted = cut(wanted)
-    # texts of ids that no pair names mostly stay where they are: a broadcast set of at most 2^20 hash slots
-    slots = wanted.select(_slot("id").alias("slot")).distinct()
-    rows = docs.withColumn("slot", _slot("id")).join(F.broadcast(slots), "slot", "left_semi").drop("slot").join(wanted.hint("merge"), "id").repartition("leader", "salt").sortWithinPartitions("leader", "salt", "kind", "id")
+    rows = _texts(docs, wanted).repartition("leader", "salt").sortWithinPartitions("leader", "salt", "kind", "id")
 
     def run(batches):
         table, now, lead = shared.value, None, []
@@ -174,12 +178,11 @@ def verified(docs: DataFrame, pairs: DataFrame, idf: np.ndarray, threshold: floa
 
 
 def _spanning(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """members (id, key, slot) of keys that span several components, with their root, n (the key's members) and home
-    (the component that has most of them)."""
+    """members (id, key, slot) of keys that span several components, with their root and n (the key's members)."""
     rooted = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    spans = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root"))["root"].alias("home"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", "n", "home")
-    return rooted.join(spans, "key").select("id", "key", "slot", "root", "n", "home")
+    spans = parts.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", "n")
+    return rooted.join(spans, "key").select("id", "key", "slot", "root", "n")
 
 
 def _first_spanning(members: DataFrame, leaders: DataFrame, done: DataFrame, roots: DataFrame, reach: float) -> DataFrame:
@@ -200,25 +203,55 @@ def _across(now: DataFrame) -> DataFrame:
     return small.join(other, "key").filter("id < member and root <> other").select(F.col("id").alias("leader"), "member")
 
 
-def _led(now: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-    """Of large keys: the members that don't lead, and pairs (leader, member) across components. Half of the leaders
-    are drawn from outside the home component as long as there are such members: one that has met all others is settled
-    under its key, and when they all are, so is the key. Leaders are those with the least hash of each drawing, so they are found before the shuffle."""
-    large = now.filter(F.col("n") > SMALL)
-    drawn = [F.min_by(F.struct("id", "root"), F.struct((F.col("root") == F.col("home")) & F.lit(i % 2 == 0), F.xxhash64("id", F.lit(level), F.lit(i)))).alias(f"l{i}") for i in range(LEADERS)]
-    leads = large.groupBy("key").agg(*drawn).select("key", F.array_distinct(F.array(*(f"l{i}" for i in range(len(drawn))))).alias("leads"))
-    led = large.join(leads, "key")
-    met = led.select("id", "root", F.explode("leads").alias("l")).filter("root <> l.root").select(F.col("l.id").alias("leader"), F.col("id").alias("member"))
-    return led.filter(~F.array_contains(F.transform("leads", lambda x: x["id"]), F.col("id"))).select("id", "key", "slot"), met
+def prefixes(docs: DataFrame, wanted: DataFrame, idf: np.ndarray, threshold: float, k: int) -> DataFrame:
+    """(id, root, total, shingle, rest, short) of the texts of wanted (id, root): the shingles in whose front a common
+    one of any pair at the threshold lies. total: the text's weight; rest: what the shingle and those after it weigh;
+    short: it also lies within the front that a lighter text of a pair needs."""
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
+    long, short = 1 - threshold + 1e-6, (1 - threshold) / (1 + threshold) + 1e-6
+
+    def run(batches):
+        table = shared.value
+        for b in _slices(batches, 64):
+            h, times, counts, _ = shingles([t or "" for t in b.column("text").to_pylist()], k)
+            rarity = table[(h % np.uint64(BUCKETS)).astype(np.int64)]
+            order = np.lexsort((h, -rarity, np.repeat(np.arange(len(counts)), counts)))
+            w, h, out = (times * rarity)[order].astype(np.float64), h[order].view(np.int64), []
+            ends = np.cumsum(counts)
+            for i, (id_, root) in enumerate(zip(b.column("id").to_pylist(), b.column("root").to_pylist(), strict=True)):
+                own = w[ends[i] - counts[i] : ends[i]]
+                before = np.cumsum(own) - own
+                total = own.sum()
+                n = int(np.searchsorted(before, long * total, "right"))
+                out.append((np.full(n, id_), np.full(n, root), np.full(n, total), h[ends[i] - counts[i] :][:n], total - before[:n], before[:n] <= short * total))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["id", "root", "total", "shingle", "rest", "short"])
+
+    return _texts(docs, wanted).select("id", "root", "text").mapInArrow(run, "id long, root long, total double, shingle long, rest double, short boolean")
+
+
+def _candidates(fronts: DataFrame, threshold: float) -> DataFrame:
+    """(leader, member) of all pairs across components that may reach the threshold, of `prefixes`; the leader is the
+    lighter one."""
+    names = ("id", "root", "total", "rest")
+    a = fronts.filter("short").select("shingle", *[F.col(c).alias(f"a_{c}") for c in names])
+    b = fronts.select("shingle", *[F.col(c).alias(f"b_{c}") for c in names])
+    lighter = (F.col("a_total") < F.col("b_total")) | ((F.col("a_total") == F.col("b_total")) & (F.col("a_id") < F.col("b_id")))
+    both = F.col("a_total") + F.col("b_total")
+    reaches = F.least("a_rest", "b_rest") >= both * F.lit(threshold / (1 + threshold) - 1e-6)
+    pairs = a.join(b.hint("merge"), (a["shingle"] == b["shingle"]) & (F.col("a_root") != F.col("b_root")) & lighter & reaches)
+    return pairs.select(F.col("a_id").alias("leader"), F.col("b_id").alias("member")).distinct()
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """pairs (leader, member) that lie in different components."""
+    ends = [roots.select(F.col("id").alias(end), F.col("root").alias(at)) for end, at in (("leader", "a"), ("member", "b"))]
+    return pairs.join(ends[0], "leader", "left").join(ends[1], "member", "left").filter(F.coalesce("a", "leader") != F.coalesce("b", "member")).select("leader", "member")
 
 
-def _longer(led: DataFrame, reps: DataFrame, level: int) -> DataFrame:
-    """The led members under keys with one more sample, one beyond the bands that a key is made of; when all samples
-    are part of a key it stays as it is."""
-    if level > BANDS * ROWS - 2 * ROWS:
-        return led.select("id", "key", "slot")
-    at = (F.col("slot") % BANDS * ROWS + F.lit(ROWS - 1 + level)) % (BANDS * ROWS)
-    return led.join(reps.select("id", "samples"), "id").select("id", F.xxhash64("key", F.get("samples", at)).alias("key"), "slot")
+def _new(pairs: DataFrame, done: DataFrame) -> DataFrame:
+    """pairs (leader, member) that aren't verified yet, each once."""
+    ordered = [F.least("leader", "member").alias("a"), F.greatest("leader", "member").alias("b")]
+    return pairs.select("leader", "member", *ordered).dropDuplicates(["a", "b"]).join(done.select(*ordered), ["a", "b"], "left_anti").select("leader", "member")
 
 
 def _roots(links: DataFrame) -> DataFrame:
@@ -240,28 +273,42 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", t
     ship(df.sparkSession)
     idf = idf_table(df, text, tempering, k)
     signed = cut(signatures(df, idf, id_col, text, k))
-    reps = cut(signed.filter("id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("samples").alias("samples")))
+    reps = cut(signed.filter("id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys")))
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     members = reps.select("id", F.posexplode("keys").alias("slot", "key"))
     leaders = members.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     pairs = members.join(leaders, "key").filter("id > leader").select("leader", F.col("id").alias("member")).distinct()
     done = verified(docs, cut(pairs), idf, threshold, k)
     roots = _roots(done.filter("linked"))
-    now, level = cut(_first_spanning(members, leaders, done, roots, 1 - threshold)), 0
-    while not now.isEmpty():
-        level += 1
-        led, met = _led(now, level)
-        ordered = [F.least("leader", "member").alias("a"), F.greatest("leader", "member").alias("b")]
-        pairs = cut(_across(now).unionByName(met).select("leader", "member", *ordered).dropDuplicates(["a", "b"]).join(done.select(*ordered), ["a", "b"], "left_anti").select("leader", "member"))
-        if not pairs.isEmpty():
-            new = verified(docs, pairs, idf, threshold, k)
-            done = done.unionByName(new)
-            if not new.filter("linked").isEmpty():
-                last, roots = roots, _joined(roots, new.filter("linked"))
-                remove(last)
-        last, now = now, cut(_spanning(_longer(led, reps, level), roots))
-        remove(last)
+    now = cut(_first_spanning(members, leaders, done, roots, 1 - threshold))
+
+    def tied(pairs: DataFrame) -> None:
+        nonlocal done, roots
+        if pairs.isEmpty():
+            remove(pairs)
+            return
+        new = verified(docs, pairs, idf, threshold, k)
+        done = done.unionByName(new)
+        if not new.filter("linked").isEmpty():
+            last, roots = roots, _joined(roots, new.filter("linked"))
+            remove(last)
+
+    tied(cut(_new(_across(now), done)))
+    large = _spanning(now.filter(F.col("n") > SMALL).select("id", "key", "slot"), roots)
+    wanted = cut(large.select("id", "root").distinct())
+    fronts = cut(prefixes(docs, wanted, idf, threshold, k))
+    open_, partners = cut(_new(_candidates(fronts, threshold), done)), PARTNERS
+    for used in (now, wanted, fronts):
+        remove(used)
+    while not open_.isEmpty():
+        turn = open_.withColumn("turn", F.row_number().over(Window.partitionBy("leader").orderBy(F.xxhash64("member", "leader"))))
+        turn = cut(turn)
+        remove(open_)
+        tied(cut(turn.filter(F.col("turn") <= partners).select("leader", "member")))
+        open_, partners = cut(_apart(turn.filter(F.col("turn") > partners).select("leader", "member"), roots)), partners * 4
+        remove(turn)
         settle(df.sparkSession)
+    remove(open_)
     links = done.filter("linked")
     degree = links.select(F.col("leader").alias("id")).unionByName(links.select(F.col("member").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     classes = reps.select("digest", "id").join(roots, "id", "left").join(degree, "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

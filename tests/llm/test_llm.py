@@ -230,6 +230,34 @@ def test_near_duplicates_lose_no_link(spark, monkeypatch):
         assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()} == root
 
 
+def boilerplate_group(rng, n):
+    """n texts that share 300 words (similarity about 0.73); every second one has half of its predecessor's own words."""
+    passage, rows = sentences(rng, 300), []
+    for i in range(n):
+        own = sentences(rng, 60).split()
+        if i % 2:
+            own[:38] = rows[-1][1].split()[300:338]
+        rows.append((i, passage + " " + " ".join(own)))
+    return rows
+
+
+def test_near_duplicates_of_one_large_key(spark):
+    """Pairs above 0.8 among texts that all share bands with all others, but are no copies of them."""
+    rng = random.Random(33)
+    rows = boilerplate_group(rng, 1600)
+    df = docs(spark, rows)
+    idf = near_dedup.idf_table(df, "text", 0.25, 5)
+    own = []
+    for _, t in rows:
+        h, times, _, _ = near_dedup.shingles([t], 5)
+        own.append((h, times * idf[(h % np.uint64(near_dedup.BUCKETS)).astype(np.int64)]))
+    assert all(near_dedup.weighted_jaccard(own[i], own[i + 1]) >= 0.8 for i in range(0, 1600, 2))
+    others = [rng.sample(range(1600), 2) for _ in range(5000)]
+    assert all(near_dedup.weighted_jaccard(own[a], own[b]) < 0.8 for a, b in others if a // 2 != b // 2)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()}
+    assert sum(got[i] != i - i % 2 for i in got) == 0
+
+
 def test_sampler_estimates_weighted_jaccard():
     rng = np.random.default_rng(4)
     a = np.sort(rng.integers(0, 1 << 57, 4000).astype(np.uint64))
