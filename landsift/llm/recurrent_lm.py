@@ -11,9 +11,9 @@ tokens are exact and grow with the corpus: they are aggregated over the cluster
 
 A dictionary of the 200,000 most frequent words (of up to 64 bytes, so of bounded size) is broadcast; counts of rarer
 words are joined by the word. Training is data-parallel: in each of `rounds` rounds every task trains a copy of the
-shared weights on its own documents, and weights are averaged in a tree. A round takes every `slices`-th training
-document by hash, so that what is learnt from grows with the input; tasks have about `task_tokens` tokens, and a task
-with fewer repeats them. Output biases start from the counts of all training tokens.
+shared weights on its own documents, and weights are averaged in a tree. Round i takes the documents of slice
+i % `slices` by hash, and there are no fewer rounds than slices, so every training document is learnt from once at
+least; tasks have about `task_tokens` tokens or more, and a task with fewer repeats them. Output biases start from the counts of all training tokens.
 
 Defined cases: a null text counts as empty (one end); a null id is a training id; repeated rows count and are scored
 each; an empty table gives an empty result; other columns are not read. Texts are scored whole, of any length.
@@ -346,12 +346,14 @@ def _codes_of(shared) -> Words:
 
 def train(docs: DataFrame, lex: Lexicon, shared, rounds: int, slices: int, task_tokens: int, rate: float) -> dict[str, np.ndarray]:
     """Weights, averaged after each round over the tasks."""
+    if rounds < slices:
+        raise ValueError("fewer rounds than slices leave training documents out")
     w = start_weights(lex)
     end = lex.words.index(END)
     tasks = max(1, math.ceil(lex.n / slices / task_tokens))
     for i in range(rounds):
         crc = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(0))
-        own = docs.filter((crc % 5 != 1) & (F.floor(crc / 5) % slices == i)).coalesce(tasks)
+        own = docs.filter((crc % 5 != 1) & (F.floor(crc / 5) % slices == i % slices)).coalesce(tasks)
         held = docs.sparkSession.sparkContext.broadcast(w)
 
         def run(batches, held=held, i=i):
@@ -384,7 +386,7 @@ def train(docs: DataFrame, lex: Lexicon, shared, rounds: int, slices: int, task_
     return w
 
 
-def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", rounds: int = 3, slices: int = 48, task_tokens: int = 120_000, rate: float = 0.08) -> DataFrame:
+def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", rounds: int = 3, slices: int = 3, task_tokens: int = 120_000, rate: float = 0.08) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; scores are log10 probabilities."""
     spark = df.sparkSession
     ship(spark)

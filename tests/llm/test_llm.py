@@ -84,6 +84,26 @@ def test_language_model(spark):
     assert recurrent_lm.score_documents(docs(spark, [])).count() == 0
 
 
+def test_every_training_document_is_learnt_from(spark):
+    """The documents that the rounds' jobs read, by their plans' filters, are all training documents."""
+    import inspect
+
+    default = {k: v.default for k, v in inspect.signature(recurrent_lm.score_documents).parameters.items()}
+    rows = docs(spark, [(i, f"word{i} again") for i in range(300)]).select(F.col("doc_id").alias("id"), "text").unionByName(spark.createDataFrame([(None, "none")], "id long, text string"))
+    lex = recurrent_lm.build_lexicon(recurrent_lm.count_tokens(rows))
+    read = set()
+
+    class Noted:
+        sparkSession = spark
+
+        def filter(self, condition):
+            read.update(r["id"] for r in rows.filter(condition).collect())
+            return rows.filter(condition)
+
+    recurrent_lm.train(Noted(), lex, spark.sparkContext.broadcast(lex), default["rounds"], default["slices"], 10, 0.08)
+    assert read == {i for i in [*range(300), None] if not recurrent_lm.is_held_out(i)}
+
+
 def test_probabilities_sum_to_one_and_gradients():
     words = [f"w{i}".encode() for i in range(50)]
     counts = np.arange(100, 50, -1.0)
