@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import gc
 import math
 import os
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -21,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and only where it is unset (tests on one
-    machine) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session in one process
+    (master local) gets a temporary one; a cluster gets an error, as its executors couldn't read such a folder."""
     held = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not held:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         held = f"file://{tempfile.mkdtemp(prefix='landsift-')}"
         spark.sparkContext.setCheckpointDir(held)
         held = spark.sparkContext.getCheckpointDir() or held
@@ -49,10 +54,17 @@ def remove(df: DataFrame) -> None:
     where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
-def settle(spark: SparkSession) -> None:
-    """Let go of the shuffles of tables that are written."""
-    gc.collect()
-    spark._jvm.System.gc()
+def by_size(batches: Iterator[pa.RecordBatch], column: int | str, rows: int = 128, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of up to `rows` rows whose strings (or binaries) in `column` have up to `size` bytes together; a longer
+    one is a slice of its own. So what a worker holds at once follows the longest text, not the number of long ones."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = ends[at - 1] if at else 0
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+            yield b.slice(at, to - at)
+            at = to
 
 
 def ship(spark: SparkSession) -> None:

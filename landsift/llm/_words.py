@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -11,6 +13,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 FACTOR = 0x9E3779B97F4A7C15 | 1
+CHUNK, LONG_WORD = 1 << 20, 1 << 16
+_EDGE = re.compile(rb"[ \t-\r]")
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -26,10 +30,23 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (lower case, split at ASCII white space), and the number of words of each text. A
-    word's hash is its bytes' polynomial, from prefix sums over all bytes at once."""
-    encoded = [t.lower().encode("utf-8", "replace") for t in texts]
+def _bounded(data: bytes) -> Iterator[bytes]:
+    """data in pieces of about CHUNK bytes, cut between words; a word of more than LONG_WORD bytes is named by its
+    digest, so that pieces stay bounded however long a text or word is."""
+    at = 0
+    while at < len(data):
+        edge = _EDGE.search(data, at + CHUNK) if len(data) - at > CHUNK else None
+        end = edge.start() if edge else len(data)
+        piece = data[at:end]
+        if len(piece) > LONG_WORD:
+            words = piece.split()
+            if max(map(len, words), default=0) > LONG_WORD:
+                piece = b" ".join(w if len(w) <= LONG_WORD else b"\xff" + blake2b(w, digest_size=16).hexdigest().encode() for w in words)
+        yield piece
+        at = end
+
+
+def _piece_hashes(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"\n".join([b"", *encoded, b""]), dtype=np.uint8)
     blank = _BLANK[data]
     edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
@@ -42,6 +59,20 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.diff(np.append(0, np.searchsorted(start, ends)))
 
 
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (lower case, split at ASCII white space), and the number of words of each text. A
+    word's hash is its bytes' polynomial, from prefix sums over many bytes at once."""
+    encoded = [t.lower().encode("utf-8", "replace") for t in texts]
+    if max(map(len, encoded), default=0) <= LONG_WORD:
+        return _piece_hashes(encoded)
+    flat, lengths = [], []
+    for e in encoded:
+        parts = [_piece_hashes([p])[0] for p in _bounded(e)]
+        flat += parts
+        lengths.append(sum(map(len, parts)))
+    return np.concatenate(flat), np.array(lengths, dtype=np.int64)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -25,18 +25,24 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("a") < F.col("b")).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether edges (a, b), a < b, are stars: each b has one a and is no a itself."""
+    ends = edges.select(F.col("b").alias("u"), F.lit(1).alias("below")).unionByName(edges.select(F.col("a").alias("u"), F.lit(0).alias("below")))
+    return ends.groupBy("u").agg(F.sum("below").alias("below"), F.min("below").alias("least")).filter("below > 1 or (below = 1 and least = 0)").isEmpty()
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, root): the least id of each id's component, for the ids that edges (a, b) name. The edges then form stars,
-    which is when a round changes nothing; more than `rounds` rounds raise an error."""
+    """(id, root): the least id of each id's component, for the ids that edges (a, b) name; a table of `cut`. Null ends
+    make no edge; an edge may repeat or be a loop (a loop alone names no id); no edges give an empty table. More than
+    `rounds` rounds raise an error."""
     now = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter(F.col("a") < F.col("b")).distinct())
-    mark = None
     for _ in range(rounds):
+        if _settled(now):
+            break
         last, now = now, cut(_star(_star(now, True), False))
         remove(last)
-        seen = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
-        if seen == mark:
-            break
-        mark = seen
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("b").alias("id"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct())
+    out = cut(now.select(F.col("b").alias("id"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct()))
+    remove(now)
+    return out

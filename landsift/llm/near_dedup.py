@@ -1,27 +1,32 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
-1. Shingles of five words. Document frequencies of all shingles over all documents are counted in 2^18 hashed buckets
-   (a table of fixed size); weight = tf * idf, idf = 1 + tempering * ln(1 + N/df) / ln(1 + N/df_least): tempered, so
-   that the commonness of a large group of copies doesn't break the group itself.
-2. Improved CWS draws 30 samples a document; 10 bands of 3, and 10 finer keys of 2 neighbouring bands.
+1. Shingles of five words. Their document frequencies over all documents are counted in a sketch of two rows of 2^17
+   buckets (a fixed size): a shingle's frequency is the lesser of its two buckets' counts, each less its row's median,
+   which is what rare shingles together put into a bucket. So frequencies far above the spread of these loads come out
+   right, and those below it count as one document. weight = tf * idf, idf = 1 + tempering * ln(1 + N/df) / ln(1 + N).
+   Tempering bounds how far the commonness of a large group of copies can break the group itself: what a third of all
+   documents share keeps at least 1 / (1 + tempering) of the weight of an edit.
+2. Improved CWS draws 30 samples a document, 10 bands of 3.
 3. Documents with the same word sequence collapse to one representative (they need no pairs). Under each key all
    members are linked to the key's least id only, so a key of m members gives m - 1 pairs, never m * m.
 4. Each pair is verified on the whole texts. A leader's text is sent once for each 256 of its members; a hot leader so
    spreads over tasks.
 5. Verified pairs and copies make connected components; the least id names the class. A leader may refuse a member that
-   others of its key would accept, so keys whose members lie in several components go on: those of up to 16 members
-   have every pair across components verified. The members of all larger ones go through an exact join: shingles in one
-   order for all texts (the rarest buckets first), of two texts at the threshold t or above the rarest common shingle
-   lies within the first (1 - t) / (1 + t) of the lighter one's weight and the first 1 - t of the heavier one's, and what
-   follows it in either weighs t / (1 + t) of both weights at least. All pairs across components that meet this are
-   verified, in rounds between which those that others have tied meanwhile leave. So of the pairs that share a key
-   none is lost, whatever the size of the key; nothing is capped.
+   others of its key would accept. So the members of all keys that still span components go through an exact join,
+   whatever the size of the key, after those have left whom the triangle inequality bars from any link across:
+   shingles in one order for all texts (the rarest first), of two texts at the threshold t or above the rarest common
+   shingle lies within the first (1 - t) / (1 + t) of the lighter one's weight and the first 1 - t of the heavier one's,
+   and what follows it in either weighs t / (1 + t) of both weights at least. All pairs across components that meet this
+   are verified, in rounds between which those that others have tied meanwhile leave; a round takes a set number of
+   partners of each text, by hash, and a set multiple of it the next. So of the pairs that share a key none is lost;
+   nothing is capped.
 
 Draws are random by nature: a pair at similarity s shares a band with 1 - (1 - s^3)^10, 0.9993 at 0.8.
 
 Defined cases: null texts count as empty; texts without words are copies of one another; null ids form no pairs and
 have their copies' class; rows that repeat an id are one document, linked if any of its texts is; an empty table gives
-an empty result; other columns are not read.
+an empty result; other columns are not read. Texts and words may be of any length: workers hold one slice of about 1 MB
+or one text.
 """
 
 from __future__ import annotations
@@ -30,27 +35,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ._spark import cut, partition_sum, remove, settle, ship
+from ._spark import by_size, cut, partition_sum, remove, ship
 from ._words import mixed, shingles
 from .components import components
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 17  # of each of the two rows of the sketch
 BANDS, ROWS = 10, 3
 SLOTS = 1 << 20
-PARTNERS = 16  # of a text in the first round over candidates; each later round takes four times as many
-SMALL = 16  # members of a key up to which all pairs across components are verified at once
+PARTNERS, GROWTH = 64, 64  # partners of a text in the first round over candidates, about; each later round takes so many times as many
+BLOCK = 2048  # shingles sampled at once: what stays in the processor's cache
 SEED = 20240229
 _tables: dict[int, tuple[np.ndarray, ...]] = {}
 
 
-def _slices(batches, rows: int = 128):
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 def _draws(bits: int = 12) -> tuple[np.ndarray, ...]:
     """Tables of the sampler's variates: 1/r and r of r ~ Gamma(2, 1), ln c of c ~ Gamma(2, 1), beta ~ U(0, 1). A shingle
     takes its row of each by other bits of its hash."""
@@ -65,47 +63,64 @@ def samples(h: np.ndarray, weight: np.ndarray, counts: np.ndarray) -> np.ndarray
     """Samples of each document with shingles, as the bits of the least ln a: shingle and t decide them."""
     inverse, r, ln_c, beta = _draws()
     mask = np.uint64((1 << 12) - 1)
-    i, j, k = (((h >> np.uint64(s)) & mask).astype(np.int64) for s in (3, 15, 27))
-    ln_w, ln_a = np.log(weight).astype(np.float32)[:, None], np.empty((len(h), BANDS * ROWS), np.float32)
-    for at in range(0, len(h), 2048):  # blocks that stay in the processor's cache
-        s = slice(at, at + 2048)
-        b, t = beta[j[s]], inverse[i[s]]
+    counts = counts[counts > 0]
+    doc = np.repeat(np.arange(len(counts)), counts)
+    out = np.full((len(counts), BANDS * ROWS), np.inf, np.float32)
+    ln_w = np.log(weight).astype(np.float32)[:, None]
+    for at in range(0, len(h), BLOCK):
+        s = slice(at, at + BLOCK)
+        i, j, k = (((h[s] >> np.uint64(x)) & mask).astype(np.int64) for x in (3, 15, 27))
+        b, t = beta[j], inverse[i]
         t *= ln_w[s]
         t += b
         np.floor(t, out=t)
         t -= b
         t += 1
-        t *= r[i[s]]
-        np.subtract(ln_c[k[s]], t, out=ln_a[s])
-    counts = counts[counts > 0]
-    return np.minimum.reduceat(ln_a, np.cumsum(counts) - counts, axis=0).view(np.uint32) if len(counts) else np.zeros((0, BANDS * ROWS), np.uint32)
+        t *= r[i]
+        ln_a = np.subtract(ln_c[k], t)
+        first = np.flatnonzero(np.diff(doc[s], prepend=-1))
+        own = doc[s][first]
+        out[own] = np.minimum(out[own], np.minimum.reduceat(ln_a, first, axis=0))
+    return out.view(np.uint32)
 
 
 def keys(sample: np.ndarray) -> np.ndarray:
-    """Band keys and the finer keys of neighbouring bands, as int64."""
+    """Band keys, as int64."""
     s = sample.astype(np.uint64).reshape(len(sample), BANDS, ROWS)
     with np.errstate(over="ignore"):
         band = np.arange(BANDS, dtype=np.uint64)[None, :].repeat(len(s), 0)
         for x in range(ROWS):
             band = mixed(band * np.uint64(0x9E3779B97F4A7C15) + s[:, :, x] + np.uint64(1))
-        fine = mixed(band * np.uint64(3) + np.roll(band, 1, axis=1))
-    return np.concatenate([band, fine], axis=1).view(np.int64)
+    return band.view(np.int64)
+
+
+def _buckets(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of 57-bit hashes the buckets in both rows."""
+    return (h & np.uint64(BUCKETS - 1)).astype(np.int64), (h >> np.uint64(40)).astype(np.int64)
 
 
 def idf_table(df: DataFrame, text: str, tempering: float, k: int) -> np.ndarray:
-    """idf of each bucket, from the document frequencies over all of df."""
+    """idf by row and bucket, from the document frequencies over all of df; a shingle's is the greater of its two."""
 
     def count(batches):
-        total = np.zeros(BUCKETS + 1)
-        for b in _slices(batches):
+        total = np.zeros(2 * BUCKETS + 1)
+        for b in by_size(batches, 0):
             h, _, counts, _ = shingles([t or "" for t in b.column(0).to_pylist()], k)
-            total[:BUCKETS] += np.bincount((h % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-            total[BUCKETS] += len(counts)
+            for row, at in enumerate(_buckets(h)):
+                total[row * BUCKETS : (row + 1) * BUCKETS] += np.bincount(at, minlength=BUCKETS)
+            total[-1] += len(counts)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sum"])
 
-    total = partition_sum(df.select(text).mapInArrow(count, "sum binary"), BUCKETS + 1)
-    n, df_of = total[-1], np.maximum(total[:-1], 1)
-    return (1 + tempering * np.log1p(n / df_of) / max(np.log1p(n / df_of.min()), 1e-9)).astype(np.float32)
+    total = partition_sum(df.select(text).mapInArrow(count, "sum binary"), 2 * BUCKETS + 1)
+    rows, n = total[:-1].reshape(2, BUCKETS), max(total[-1], 1.0)
+    df_of = np.maximum(rows - np.median(rows, axis=1, keepdims=True), 1)
+    return (1 + tempering * np.log1p(n / df_of) / np.log1p(n)).astype(np.float32)
+
+
+def weights(idf: np.ndarray, h: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """tf * idf of shingles."""
+    a, b = _buckets(h)
+    return times * np.maximum(idf[0][a], idf[1][b])
 
 
 def signatures(df: DataFrame, idf: np.ndarray, id_col: str, text: str, k: int) -> DataFrame:
@@ -114,9 +129,9 @@ def signatures(df: DataFrame, idf: np.ndarray, id_col: str, text: str, k: int) -
 
     def run(batches):
         table = shared.value
-        for b in _slices(batches):
+        for b in by_size(batches, 1):
             h, times, counts, digests = shingles([t or "" for t in b.column(1).to_pylist()], k)
-            own = keys(samples(h, times * table[(h % np.uint64(BUCKETS)).astype(np.int64)], counts))
+            own = keys(samples(h, weights(table, h, times), counts))
             ends = np.append(0, np.cumsum((counts > 0) * own.shape[1])).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(own.ravel()))], names=["id", "digest", "keys"])
 
@@ -155,9 +170,9 @@ def verified(docs: DataFrame, pairs: DataFrame, idf: np.ndarray, threshold: floa
 
     def run(batches):
         table, now, lead = shared.value, None, []
-        for b in _slices(batches, 64):
+        for b in by_size(batches, "text"):
             h, times, counts, _ = shingles([t or "" for t in b.column("text").to_pylist()], k)
-            w = times * table[(h % np.uint64(BUCKETS)).astype(np.int64)]
+            w = weights(table, h, times)
             ends = np.cumsum(counts)
             out = []
             for i, (leader, salt, kind, member) in enumerate(zip(*(b.column(c).to_pylist() for c in ("leader", "salt", "kind", "id")), strict=True)):
@@ -177,30 +192,18 @@ def verified(docs: DataFrame, pairs: DataFrame, idf: np.ndarray, threshold: floa
     return out
 
 
-def _spanning(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """members (id, key, slot) of keys that span several components, with their root and n (the key's members)."""
-    rooted = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    spans = parts.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", "n")
-    return rooted.join(spans, "key").select("id", "key", "slot", "root", "n")
-
-
-def _first_spanning(members: DataFrame, leaders: DataFrame, done: DataFrame, roots: DataFrame, reach: float) -> DataFrame:
-    """_spanning after the first leaders, whose distance d to each of their members is known. Weighted Jaccard distance
-    is a metric: a member of the leader's component whose d is below that of all strangers by more than reach links to
-    none of them, and leaves."""
+def _spanning(met: DataFrame, done: DataFrame, roots: DataFrame, reach: float) -> DataFrame:
+    """(id, root) of the members that may have links across components under one of their keys. met: (key, leader, id).
+    The distance d of each member to its key's leader is known, and weighted Jaccard distance is a metric: a member of
+    the leader's component whose d is below that of all strangers by more than reach links to none of them, and leaves."""
     near = done.select("leader", F.col("member").alias("id"), (1 - F.col("similarity")).alias("d"))
-    rooted = members.join(leaders, "key").join(near, ["leader", "id"], "left").join(roots, "id", "left").select("id", "key", "slot", F.coalesce("root", "id").alias("root"), F.coalesce("d", F.lit(0.0)).alias("d"), (F.col("id") == F.col("leader")).alias("leads"))
-    groups = rooted.groupBy("key", "root").agg(F.min("d").alias("least"), F.bool_or("leads").alias("home"))
-    spans = groups.groupBy("key").agg(F.min(F.when(~F.col("home"), F.col("least"))).alias("edge"), F.max(F.when(F.col("home"), F.col("root"))).alias("at")).filter("edge is not null")
-    return _spanning(rooted.join(spans, "key").filter((F.col("root") != F.col("at")) | (F.col("d") >= F.col("edge") - reach - 1e-6)).select("id", "key", "slot"), roots)
-
-
-def _across(now: DataFrame) -> DataFrame:
-    """Pairs across components under small keys."""
-    small = now.filter(F.col("n") <= SMALL).select("key", "id", "root")
-    other = small.select("key", F.col("id").alias("member"), F.col("root").alias("other"))
-    return small.join(other, "key").filter("id < member and root <> other").select(F.col("id").alias("leader"), "member")
+    home = roots.select(F.col("id").alias("leader"), F.col("root").alias("home"))
+    rooted = met.join(near, ["leader", "id"], "left").join(roots, "id", "left").join(home, "leader", "left")
+    rooted = rooted.select("key", "id", F.coalesce("root", "id").alias("root"), F.coalesce("home", "leader").alias("home"), F.coalesce("d", F.lit(0.0)).alias("d"))
+    edges = rooted.filter("root <> home").groupBy("key").agg(F.min("d").alias("edge"))
+    open_ = rooted.join(edges, "key").filter((F.col("root") != F.col("home")) | (F.col("d") >= F.col("edge") - reach - 1e-6)).select("key", "id", "root")
+    several = open_.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    return open_.join(several, "key", "left_semi").select("id", "root").distinct()
 
 
 def prefixes(docs: DataFrame, wanted: DataFrame, idf: np.ndarray, threshold: float, k: int) -> DataFrame:
@@ -212,9 +215,9 @@ def prefixes(docs: DataFrame, wanted: DataFrame, idf: np.ndarray, threshold: flo
 
     def run(batches):
         table = shared.value
-        for b in _slices(batches, 64):
+        for b in by_size(batches, "text"):
             h, times, counts, _ = shingles([t or "" for t in b.column("text").to_pylist()], k)
-            rarity = table[(h % np.uint64(BUCKETS)).astype(np.int64)]
+            rarity = weights(table, h, np.ones(len(h)))
             order = np.lexsort((h, -rarity, np.repeat(np.arange(len(counts)), counts)))
             w, h, out = (times * rarity)[order].astype(np.float64), h[order].view(np.int64), []
             ends = np.cumsum(counts)
@@ -242,10 +245,17 @@ def _candidates(fronts: DataFrame, threshold: float) -> DataFrame:
     return pairs.select(F.col("a_id").alias("leader"), F.col("b_id").alias("member")).distinct()
 
 
+def _turns(pairs: DataFrame) -> DataFrame:
+    """pairs (leader, member) with a turn, uniform by hash below the number of the leader's pairs."""
+    sizes = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
+    uniform = F.shiftrightunsigned(F.xxhash64("member", "leader"), 11) / float(1 << 53)
+    return pairs.join(sizes, "leader").select("leader", "member", (uniform * F.col("n")).alias("turn"))
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """pairs (leader, member) that lie in different components."""
+    """pairs (leader, member, turn) that lie in different components."""
     ends = [roots.select(F.col("id").alias(end), F.col("root").alias(at)) for end, at in (("leader", "a"), ("member", "b"))]
-    return pairs.join(ends[0], "leader", "left").join(ends[1], "member", "left").filter(F.coalesce("a", "leader") != F.coalesce("b", "member")).select("leader", "member")
+    return pairs.join(ends[0], "leader", "left").join(ends[1], "member", "left").filter(F.coalesce("a", "leader") != F.coalesce("b", "member")).select("leader", "member", "turn")
 
 
 def _new(pairs: DataFrame, done: DataFrame) -> DataFrame:
@@ -255,7 +265,7 @@ def _new(pairs: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def _roots(links: DataFrame) -> DataFrame:
-    return cut(components(links.select(F.col("leader").alias("a"), F.col("member").alias("b"))))
+    return components(links.select(F.col("leader").alias("a"), F.col("member").alias("b")))
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -263,8 +273,10 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     named = links.select(F.col("leader").alias("id")).unionByName(links.select(F.col("member").alias("id"))).distinct()
     held = roots.unionByName(named.join(roots, "id", "left_anti").select("id", F.col("id").alias("root")))
     ends = [held.select(F.col("id").alias(end), F.col("root").alias(at)) for end, at in (("leader", "a"), ("member", "b"))]
-    tied = components(links.join(ends[0], "leader").join(ends[1], "member").select("a", "b")).select(F.col("id").alias("root"), F.col("root").alias("new"))
-    return cut(held.join(tied, "root", "left").select("id", F.coalesce("new", "root").alias("root")))
+    tied = components(links.join(ends[0], "leader").join(ends[1], "member").select("a", "b"))
+    out = cut(held.join(tied.select(F.col("id").alias("root"), F.col("root").alias("new")), "root", "left").select("id", F.coalesce("new", "root").alias("root")))
+    remove(tied)
+    return out
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.8, k: int = 5, tempering: float = 0.25) -> DataFrame:
@@ -275,43 +287,34 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", t
     signed = cut(signatures(df, idf, id_col, text, k))
     reps = cut(signed.filter("id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys")))
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    members = reps.select("id", F.posexplode("keys").alias("slot", "key"))
-    leaders = members.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    pairs = members.join(leaders, "key").filter("id > leader").select("leader", F.col("id").alias("member")).distinct()
-    done = verified(docs, cut(pairs), idf, threshold, k)
+    members = reps.select("id", F.explode("keys").alias("key"))
+    leaders = members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("last > leader").drop("last")
+    met = cut(members.join(leaders, "key").select("key", "leader", "id"))
+    done = verified(docs, cut(met.filter("id > leader").select("leader", F.col("id").alias("member")).distinct()), idf, threshold, k)
     roots = _roots(done.filter("linked"))
-    now = cut(_first_spanning(members, leaders, done, roots, 1 - threshold))
-
-    def tied(pairs: DataFrame) -> None:
-        nonlocal done, roots
-        if pairs.isEmpty():
-            remove(pairs)
-            return
-        new = verified(docs, pairs, idf, threshold, k)
-        done = done.unionByName(new)
-        if not new.filter("linked").isEmpty():
-            last, roots = roots, _joined(roots, new.filter("linked"))
-            remove(last)
-
-    tied(cut(_new(_across(now), done)))
-    large = _spanning(now.filter(F.col("n") > SMALL).select("id", "key", "slot"), roots)
-    wanted = cut(large.select("id", "root").distinct())
+    tables = [done]
+    wanted = cut(_spanning(met, done, roots, 1 - threshold))
+    remove(met)
     fronts = cut(prefixes(docs, wanted, idf, threshold, k))
-    open_, partners = cut(_new(_candidates(fronts, threshold), done)), PARTNERS
-    for used in (now, wanted, fronts):
-        remove(used)
+    open_ = cut(_turns(_new(_candidates(fronts, threshold), done)))
+    remove(wanted)
+    remove(fronts)
+    partners = PARTNERS
     while not open_.isEmpty():
-        turn = open_.withColumn("turn", F.row_number().over(Window.partitionBy("leader").orderBy(F.xxhash64("member", "leader"))))
-        turn = cut(turn)
-        remove(open_)
-        tied(cut(turn.filter(F.col("turn") <= partners).select("leader", "member")))
-        open_, partners = cut(_apart(turn.filter(F.col("turn") > partners).select("leader", "member"), roots)), partners * 4
-        remove(turn)
-        settle(df.sparkSession)
+        new = verified(docs, cut(open_.filter(F.col("turn") < partners).select("leader", "member")), idf, threshold, k)
+        tables.append(new)
+        done = done.unionByName(new)
+        last, roots = roots, _joined(roots, new.filter("linked"))
+        remove(last)
+        last, open_ = open_, cut(_apart(open_.filter(F.col("turn") >= partners), roots))
+        remove(last)
+        partners *= GROWTH
     remove(open_)
     links = done.filter("linked")
     degree = links.select(F.col("leader").alias("id")).unionByName(links.select(F.col("member").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = reps.select("digest", "id").join(roots, "id", "left").join(degree, "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    classes = cut(reps.select("digest", "id").join(roots, "id", "left").join(degree, "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    for used in (*tables, roots, reps):
+        remove(used)
     return signed.select("id", "digest").join(classes, "digest", "left").select(F.col("id").alias(id_col), "class_id", "n_links", F.coalesce(F.col("id") == F.col("class_id"), F.lit(False)).alias("kept"))
 
 

@@ -237,7 +237,7 @@ def test_near_duplicates_lose_no_link(spark, monkeypatch):
     own = {}
     for i, t in rows:
         h, times, _, _ = near_dedup.shingles([t], 5)
-        own[i] = h, times * idf[(h % np.uint64(near_dedup.BUCKETS)).astype(np.int64)]
+        own[i] = h, near_dedup.weights(idf, h, times)
     root = {i: i for i in own}
     for a in own:
         for b in range(a):
@@ -245,11 +245,25 @@ def test_near_duplicates_lose_no_link(spark, monkeypatch):
                 lo, hi = sorted((root[a], root[b]))
                 root = {k: lo if v == hi else v for k, v in root.items()}
     assert 1 < len(set(root.values())) < 100
-    for small in (16, 2):
-        monkeypatch.setattr(near_dedup, "SMALL", small)
+    for partners in (64, 1):
+        monkeypatch.setattr(near_dedup, "PARTNERS", partners)
+        monkeypatch.setattr(near_dedup, "GROWTH", 1 + partners)
         assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()} == root
 
 
+def test_long_texts_and_words_hash_alike(monkeypatch):
+    """Pieces of long texts give the hashes of whole ones, and a word that is longer than a piece counts as one word."""
+    from landsift.llm import _words
+
+    texts = ["a b  c\n" * 200 + "é" * 40 + " end", "", " x ", "w" * 5000 + " y " + "w" * 5000]
+    want, lengths = _words.word_hashes(texts)
+    monkeypatch.setattr(_words, "CHUNK", 64)
+    monkeypatch.setattr(_words, "LONG_WORD", 1000)
+    got, again = _words.word_hashes(texts)
+    assert list(lengths) == list(again) == [602, 0, 1, 3]
+    assert (got[:603] == want[:603]).all() and got[603] == got[605] != got[604] == want[604]
+
+
 def boilerplate_group(rng, n):
     """n texts that share 300 words (similarity about 0.73); every second one has half of its predecessor's own words."""
     passage, rows = sentences(rng, 300), []
@@ -270,7 +284,7 @@ def test_near_duplicates_of_one_large_key(spark):
     own = []
     for _, t in rows:
         h, times, _, _ = near_dedup.shingles([t], 5)
-        own.append((h, times * idf[(h % np.uint64(near_dedup.BUCKETS)).astype(np.int64)]))
+        own.append((h, near_dedup.weights(idf, h, times)))
     assert all(near_dedup.weighted_jaccard(own[i], own[i + 1]) >= 0.8 for i in range(0, 1600, 2))
     others = [rng.sample(range(1600), 2) for _ in range(5000)]
     assert all(near_dedup.weighted_jaccard(own[a], own[b]) < 0.8 for a, b in others if a // 2 != b // 2)
