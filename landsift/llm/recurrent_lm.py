@@ -9,11 +9,12 @@ tokens are exact and grow with the corpus: they are aggregated over the cluster
   within it by its training count + 0.5, with one share of 0.5 for all unknown words. So p(word) = p(class | state) *
   p(word | class[, state]) sums to 1 over known words and one unknown word a surface class.
 
-A dictionary of the 200,000 most frequent words (of up to 64 bytes, so of bounded size) is broadcast; counts of rarer
-words are joined by the word. Training is data-parallel: in each of `rounds` rounds every task trains a copy of the
-shared weights on its own documents, and weights are averaged in a tree. Round i takes the documents of slice
-i % `slices` by hash, and there are no fewer rounds than slices, so every training document is learnt from once at
-least; tasks have about `task_tokens` tokens or more, and a task with fewer repeats them. Output biases start from the counts of all training tokens.
+A dictionary of up to 200,000 most frequent words (a word of over 64 bytes goes by its digest) is broadcast; counts of
+rarer words are joined by the word. Training is data-parallel: in each of `rounds` rounds every task trains a copy of
+the shared weights on its own documents, and weights are averaged in a tree. Round i takes the documents of slice
+i % `slices` by hash, and there are no fewer rounds than slices, so every training document is learnt from, with the
+defaults exactly once, whatever the size of the corpus; a task has about `task_tokens` tokens or more. Output biases
+start from the counts of all training tokens.
 
 Defined cases: a null text counts as empty (one end); a null id is a training id; repeated rows count and are scored
 each; an empty table gives an empty result; other columns are not read. Texts are scored whole, of any length.
@@ -24,6 +25,7 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,10 @@ from ._spark import cut, partition_sum, ship
 
 END = b""
 HEAD, CLASSES, SURFACE, HIDDEN = 1024, 32, 18, 16
-DICTIONARY, WORD_BYTES, COUNTED = 200_000, 64, 200_000
+DICTIONARY, WORD_BYTES, COUNTED = 200_000, 64, 500_000
+WINDOW, LONGEST = 24, 480  # steps of a window of backpropagation, and of one that few lanes are left in
+#: Lanes, tokens gathered before they are dealt to lanes, and rate's factor, until a task has learnt WARM tokens and then
+WARM, BEGIN, THEN = 200_000, (64, 50_000, 1.0), (192, 250_000, 1.75)
 LN10 = math.log(10)
 TOP, ONES = np.float32(80), np.ones(4096, np.float32)  # logits stay below what float32 can exponentiate
 
@@ -46,17 +51,28 @@ def tokens(text: str | None) -> list[bytes]:
     return words
 
 
+def named(word: bytes) -> bytes:
+    """The word, or of one beyond WORD_BYTES a name of bounded size: a byte that UTF-8 lacks, a 128-bit digest, and what
+    `surface` looks at."""
+    return word if len(word) <= WORD_BYTES else b"\xff" + blake2b(word, digest_size=16).digest() + (b"a" if word.isascii() else b"u") + word[-1:]
+
+
 def surface(word: bytes) -> int:
-    """Class of a word outside the head, by its looks."""
-    last = word[-1:]
+    """Class of a word (or its name) outside the head, by its looks."""
+    last, ascii_ = word[-1:], word[17:18] == b"a" if word[:1] == b"\xff" else word.isascii()
     end = 1 if last in (b".", b"!", b"?") else 2 if last in (b",", b";", b":", b")", b'"', b"-") else 0
-    return (0 if word.isascii() else 9) + 3 * end + (0 if len(word) <= 5 else 1 if len(word) <= 9 else 2)
+    return (0 if ascii_ else 9) + 3 * end + (0 if len(word) <= 5 else 1 if len(word) <= 9 else 2)
 
 
 def is_held_out(id_) -> bool:
     return id_ is not None and zlib.crc32(str(id_).encode()) % 5 == 1
 
 
+def held_out(id_: str = "id"):
+    """is_held_out as a condition."""
+    return F.coalesce(F.crc32(F.col(id_).cast("string").cast("binary")) % 5 == 1, F.lit(False))
+
+
 class Words(dict):
     """word -> code: its place in the dictionary, or -1 - surface class."""
 
@@ -65,7 +81,9 @@ class Words(dict):
         self.full = len(self) + 100_000
 
     def __missing__(self, word: bytes) -> int:
-        code = -1 - surface(word)
+        code = self.get(named(word)) if len(word) > WORD_BYTES else None
+        if code is None:
+            code = -1 - surface(word)
         if len(self) < self.full:
             self[word] = code
         return code
@@ -117,10 +135,11 @@ def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarra
 
 
 class Stream:
-    """Documents dealt to lanes, the longest first to the shortest lane; a lane reads its documents one after another
-    and starts each with an empty state. The last code of a document is the end's; it is also the first input."""
+    """Texts, or parts of them, dealt to lanes, the longest first to the shortest lane; a lane reads its parts one after
+    another and begins each with the state that `states` has for it (none: the empty state) and the token that `before`
+    has for it (none: the end's, which also closes each document)."""
 
-    def __init__(self, docs: list[np.ndarray], lanes: int, end: int):
+    def __init__(self, docs: list[np.ndarray], lanes: int, end: int, before: list[int] | None = None, states: np.ndarray | None = None):
         import heapq
 
         heap = [(0, i, []) for i in range(max(1, min(lanes, len(docs))))]
@@ -129,24 +148,40 @@ class Stream:
             own.append(d)
             heapq.heapreplace(heap, (n + len(docs[d]), i, own))
         heap = sorted(heap, key=lambda x: -x[0])
+        self.states = states
         self.lengths = np.array([n for n, _, _ in heap])
-        shape = (int(self.lengths.max(initial=0)), len(heap))
-        self.target, self.doc, self.input = np.zeros(shape, np.int32), np.full(shape, -1, np.int32), np.zeros(shape, np.int32)
-        self.begin = np.zeros(shape, bool)
-        for lane, (n, _, own) in enumerate(heap):
-            if n:
-                t = np.concatenate([docs[d] for d in own])
-                sizes = np.array([len(docs[d]) for d in own])
-                first = np.cumsum(sizes) - sizes
-                self.target[:n, lane], self.doc[:n, lane] = t, np.repeat(own, sizes)
-                self.input[1:n, lane], self.input[first, lane] = t[:-1], end
-                self.begin[first, lane] = True
-
-    def windows(self, size: int):
-        for t in range(0, len(self.target), size):
-            live = int((self.lengths > t).sum())
-            s = slice(t, t + size)
-            yield self.input[s, :live], self.target[s, :live], self.doc[s, :live], self.begin[s, :live]
+        self.offsets = np.cumsum(self.lengths) - self.lengths
+        order = np.array([d for _, _, own in heap for d in own], dtype=np.int64)
+        sizes = np.array([len(docs[d]) for d in order], dtype=np.int64)
+        order, sizes = order[sizes > 0], sizes[sizes > 0]
+        first = np.cumsum(sizes) - sizes
+        self.target = np.concatenate([docs[d] for d in order]) if len(order) else np.zeros(0, np.int32)
+        self.doc = np.repeat(order, sizes).astype(np.int32)
+        self.input = np.roll(self.target, 1)
+        self.input[first] = end if before is None else np.array(before, dtype=np.int32)[order]
+        self.begin = np.zeros(len(self.target), bool)
+        self.begin[first] = True
+
+    def windows(self, size: int, tokens: int):
+        """(input, target, doc, begin) of the lanes that have tokens left, `size` steps or, of few lanes, about as many as
+        make `tokens`; doc is -1 past a lane's end. Only a window is ever laid out, so a long text among short ones costs
+        no more than its tokens."""
+        t = 0
+        while live := int((self.lengths > t).sum()):
+            to = min(t + max(size, min(LONGEST, tokens // live)), int(self.lengths[0]))
+            step = np.arange(t, to)[:, None]
+            inside = step < self.lengths[:live]
+            at = np.where(inside, self.offsets[:live] + step, 0)
+            yield self.input[at], self.target[at], np.where(inside, self.doc[at], -1), self.begin[at] & inside
+            t = to
+
+    def entered(self, begin: np.ndarray, doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """h with the first state of those lanes that begin a part."""
+        if self.states is None:
+            return np.where(begin[:, None], np.float32(0), h)
+        h = h.copy()
+        h[begin] = self.states[doc[begin]]
+        return h
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -158,64 +193,89 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def forward(w: dict[str, np.ndarray], rows: np.ndarray, begin: np.ndarray, h: np.ndarray, keep: bool = False):
-    """States of a window; rows: input rows. keep: also what the way back needs."""
+def forward(w: dict[str, np.ndarray], rows: np.ndarray, begin: np.ndarray, h: np.ndarray, keep: bool = False, enter=None):
+    """States of a window; rows: input rows. keep: also what the way back needs. enter(t, h): h where parts begin."""
     k, u = HIDDEN, w["u"]
-    hs = np.empty((*rows.shape, k), np.float32)
+    steps, lanes = rows.shape
+    hs = np.empty((steps, lanes, k), np.float32)
     x = w["x"][rows]
     x += w["b"]
-    trace = []
-    for t in range(len(rows)):
-        if begin[t].any():
-            h = np.where(begin[t][:, None], np.float32(0), h)
+    starts = begin.any(axis=1)
+    trace = None
+    if keep:
+        trace = np.empty((steps, lanes, k), np.float32), np.empty((steps, lanes, 2 * k), np.float32), np.empty((steps, lanes, k), np.float32), np.empty((steps, lanes, k), np.float32)
+    for t in range(steps):
+        if starts[t]:
+            h = np.where(begin[t][:, None], np.float32(0), h) if enter is None else enter(t, h)
         a = h @ u
         g = _sigmoid(x[t, :, : 2 * k] + a[:, : 2 * k])
-        z, r = g[:, :k], g[:, k:]
-        n = np.tanh(x[t, :, 2 * k :] + r * a[:, 2 * k :])
-        new = n + z * (h - n)
+        n = g[:, k:] * a[:, 2 * k :]
+        n += x[t, :, 2 * k :]
+        np.tanh(n, out=n)
+        new = hs[t]
+        np.subtract(h, n, out=new)
+        new *= g[:, :k]
+        new += n
         if keep:
-            trace.append((h, z, r, n, a[:, 2 * k :]))
-        hs[t] = h = new
+            for kept, value in zip(trace, (h, g, n, a[:, 2 * k :]), strict=True):
+                kept[t] = value
+        h = new
     return hs, h, trace
 
 
+def _bounded(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no state (of components up to 1) can bring a logit of `weights` (one row an output) to TOP."""
+    return float((np.abs(weights).sum(axis=1) + np.abs(bias)).max(initial=0)) < TOP
+
+
 def log_probs(w: dict[str, np.ndarray], lex: Lexicon, hs: np.ndarray, cls: np.ndarray, word: np.ndarray, grads: dict | None = None):
-    """ln p(class) (+ ln p(word | class) in the head) of each state's target. With grads, they and d loss / d state."""
+    """ln p(class) (+ ln p(word | class) in the head) of each state's target. With grads, they and d loss / d state.
+    States go by class, so that each class is one slice."""
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    hs, cls, word = hs[order], cls[order], word[order]
+    at, safe = np.arange(len(cls)), _bounded(w["wc"].T, w["bc"]) and _bounded(w["wo"], w["bo"])
     logits = hs @ w["wc"]
     logits += w["bc"]
-    np.minimum(logits, TOP, out=logits)
-    e = np.exp(logits)
+    if not safe:
+        np.minimum(logits, TOP, out=logits)
+    chosen = logits[at, cls].astype(np.float64)
+    e = np.exp(logits, out=logits)
     s = e @ ONES[: e.shape[1]]
-    at = np.arange(len(cls))
-    out = (logits[at, cls] - np.log(s)).astype(np.float64)
-    back = None
+    total = s.astype(np.float64)
     if grads is not None:
-        e /= s[:, None]
+        e *= (1 / s)[:, None]
         e[at, cls] -= 1
         grads["wc"] += hs.T @ e
-        grads["bc"] += e.sum(axis=0)
+        grads["bc"] += ONES[:1].repeat(len(e)) @ e
         back = e @ w["wc"].T
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(len(lex.edges) + 1))
+    ends = np.searchsorted(cls, np.arange(len(lex.edges) + 1))
     for c, (a, b) in enumerate(lex.edges):
-        own = order[ends[c] : ends[c + 1]]
-        if not len(own):
+        lo, hi = ends[c], ends[c + 1]
+        if lo == hi:
             continue
-        h = hs[own]
-        logits = h @ w["wo"][a:b].T
+        h, wo = hs[lo:hi], w["wo"][a:b]
+        logits = h @ wo.T
         logits += w["bo"][a:b]
-        np.minimum(logits, TOP, out=logits)
-        e = np.exp(logits)
+        if not safe:
+            np.minimum(logits, TOP, out=logits)
+        i, j = at[: hi - lo], word[lo:hi] - a
+        chosen[lo:hi] += logits[i, j]
+        e = np.exp(logits, out=logits)
         s = e @ ONES[: b - a]
-        i, j = np.arange(len(own)), word[own] - a
-        out[own] += logits[i, j] - np.log(s)
+        total[lo:hi] *= s
         if grads is not None:
-            e /= s[:, None]
+            e *= (1 / s)[:, None]
             e[i, j] -= 1
             grads["wo"][a:b] += e.T @ h
             grads["bo"][a:b] += e.sum(axis=0)
-            back[own] += e @ w["wo"][a:b]
-    return out, back
+            back[lo:hi] += e @ wo
+    out = np.empty(len(chosen))
+    out[order] = chosen - np.log(total)
+    if grads is None:
+        return out, None
+    unsorted = np.empty_like(back)
+    unsorted[order] = back
+    return out, unsorted
 
 
 def split_codes(lex: Lexicon, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,65 +286,98 @@ def split_codes(lex: Lexicon, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Trainer:
-    """Adagrad over windows of truncated backpropagation."""
+    """Adagrad over windows of truncated backpropagation. `mean` is the weights' average over the tokens learnt, the
+    later ones counting more in proportion, which what a few long texts do last can't pull away."""
 
     def __init__(self, lex: Lexicon, w: dict[str, np.ndarray], rate: float):
         self.lex, self.w, self.rate = lex, w, rate
         self.square = {k: np.full(v.shape, 1e-2, np.float32) for k, v in w.items()}
+        self.mean, self.seen, self.weight, self.fresh = {k: v.copy() for k, v in w.items()}, 0, 0.0, 0
 
-    def window(self, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray, begin: np.ndarray, h: np.ndarray) -> np.ndarray:
+    def window(self, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray, begin: np.ndarray, h: np.ndarray, enter=None) -> np.ndarray:
+        """One step of descent; returns the states of all tokens. Gradients end at the window's and the parts' edges."""
         w, k = self.w, HIDDEN
         rows = split_codes(self.lex, inputs)[1]
-        hs, last, trace = forward(w, rows, begin, h, keep=True)
+        hs, _, (h0, g, n, an) = forward(w, rows, begin, h, keep=True, enter=enter)
         flat = hs[valid]
         cls, _ = split_codes(self.lex, targets[valid])
-        grads = {n: np.zeros_like(v) for n, v in w.items() if n != "x"}
+        grads = {name: np.zeros_like(v) for name, v in w.items() if name != "x"}
         _, back = log_probs(w, self.lex, flat, cls, targets[valid], grads)
         dh_out = np.zeros_like(hs)
         dh_out[valid] = back
-        dx = np.empty((*rows.shape, 3 * k), np.float32)
-        dh = np.zeros_like(h)
+        z, r = g[:, :, :k], g[:, :, k:]
+        to_n, to_z, to_r = (1 - z) * (1 - n * n), (h0 - n) * z * (1 - z), an * r * (1 - r)
+        da, dn_all = np.empty((*rows.shape, 3 * k), np.float32), np.empty_like(hs)
+        dh, back_u, starts = np.zeros_like(h), w["u"].T.copy(), begin.any(axis=1)
         for t in range(len(rows) - 1, -1, -1):
-            h0, z, r, n, an = trace[t]
-            dh = dh + dh_out[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (h0 - n) * z * (1 - z)
-            dr = dn * an * r * (1 - r)
-            dx[t, :, :k], dx[t, :, k : 2 * k], dx[t, :, 2 * k :] = dz, dr, dn
-            da = np.concatenate([dz, dr, dn * r], axis=1)
-            grads["u"] += h0.T @ da
-            dh = dh * z + da @ w["u"].T
-            dh[begin[t]] = 0
-        grads["b"] = dx.sum(axis=(0, 1))
+            dh += dh_out[t]
+            d, dn = da[t], dn_all[t]
+            np.multiply(dh, to_n[t], out=dn)
+            np.multiply(dh, to_z[t], out=d[:, :k])
+            np.multiply(dn, to_r[t], out=d[:, k : 2 * k])
+            np.multiply(dn, r[t], out=d[:, 2 * k :])
+            dh *= z[t]
+            dh += d @ back_u
+            if starts[t]:
+                dh[begin[t]] = 0
+        grads["u"] = h0.reshape(-1, k).T @ da.reshape(-1, 3 * k)
+        da[:, :, 2 * k :] = dn_all
+        dx = da.reshape(-1, 3 * k)
+        grads["b"] = dx.sum(axis=0)
         scale = np.float32(1 / self.nominal)  # a window that few lanes are left in counts less
-        for n, g in grads.items():
-            self._step(n, slice(None), g * scale)
-        touched, where = np.unique(rows, return_inverse=True)
-        g = np.zeros((len(touched), 3 * k), np.float32)
-        np.add.at(g, where.ravel(), dx.reshape(-1, 3 * k))
-        self._step("x", touched, g * scale)
-        return last
+        for name, grad in grads.items():
+            self._step(name, slice(None), grad * scale)
+        order = np.argsort(rows, axis=None, kind="stable")
+        sorted_rows = rows.ravel()[order]
+        first = np.flatnonzero(np.diff(sorted_rows, prepend=-1))
+        self._step("x", sorted_rows[first], np.add.reduceat(dx[order], first, axis=0) * scale)
+        self.fresh += len(flat)
+        if self.fresh >= 8 * self.nominal:
+            self.average()
+        return hs
+
+    def average(self) -> None:
+        """Take the present weights into the mean, for the tokens learnt since the last time."""
+        if self.fresh:
+            self.seen += self.fresh
+            self.weight += float(self.seen) * self.fresh
+            share = np.float32(self.seen * self.fresh / self.weight)
+            for name, v in self.mean.items():
+                v += share * (self.w[name] - v)
+            self.fresh = 0
 
     def _step(self, name: str, at, g: np.ndarray) -> None:
         np.clip(g, -0.5, 0.5, out=g)
         self.square[name][at] += g * g
         self.w[name][at] -= np.float32(self.rate) * g / np.sqrt(self.square[name][at])
 
-    def learn(self, docs: list[np.ndarray], end: int, lanes: int = 64, size: int = 24) -> None:
-        """Texts of over 1,000 tokens are learnt in parts, so that lanes end together."""
+    def learn(self, texts: list[tuple[np.ndarray, int, np.ndarray]], end: int, lanes: int = 64, size: int = WINDOW, part: int = 1000) -> list[tuple[np.ndarray, int, np.ndarray]]:
+        """texts: (codes, those learnt already, state after these). Up to `part` tokens of each are learnt, so that lanes
+        end together; returns the texts that have more, with the state that the next part goes on from."""
         self.nominal = lanes * size
-        s = Stream([d[a : a + 1000] for d in docs for a in range(0, len(d), 1000)], lanes, end)
-        h = np.zeros((s.target.shape[1], HIDDEN), np.float32)
-        for inputs, targets, doc, begin in s.windows(size):
-            h = self.window(inputs, targets, doc >= 0, begin, h[: inputs.shape[1]])
-
-
-def score_codes(lex: Lexicon, w: dict[str, np.ndarray], docs: list[np.ndarray], end: int, lanes: int = 512, size: int = 16) -> np.ndarray:
+        docs = [codes[at : at + part] for codes, at, _ in texts]
+        states = np.array([h for *_, h in texts], dtype=np.float32)
+        s = Stream(docs, lanes, end, [codes[at - 1] if at else end for codes, at, _ in texts], states)
+        left = {i for i, (codes, at, _) in enumerate(texts) if at + part < len(codes)}
+        last = {}
+        h = np.zeros((len(s.lengths), HIDDEN), np.float32)
+        for inputs, targets, doc, begin in s.windows(size, self.nominal):
+            hs = self.window(inputs, targets, doc >= 0, begin, h[: inputs.shape[1]], lambda t, h, begin=begin, doc=doc: s.entered(begin[t], doc[t], h))
+            h = hs[-1]
+            if left:
+                final = doc.copy()  # places where a part ends
+                final[:-1][doc[:-1] == doc[1:]] = -1
+                for t, lane in zip(*np.nonzero(np.isin(final, list(left))), strict=True):
+                    last[int(doc[t, lane])] = hs[t, lane].copy()
+        return [(texts[i][0], texts[i][1] + part, last[i]) for i in sorted(left)]
+
+
+def score_codes(lex: Lexicon, w: dict[str, np.ndarray], docs: list[np.ndarray], end: int, lanes: int = 256, size: int = 32) -> np.ndarray:
     """Sum of ln p(class) and, in the head, ln p(word | class) of each document."""
     out = np.zeros(len(docs))
     s = Stream(docs, lanes, end)
-    h = np.zeros((s.target.shape[1], HIDDEN), np.float32)
-    for inputs, targets, doc, begin in s.windows(size):
+    h = np.zeros((len(s.lengths), HIDDEN), np.float32)
+    for inputs, targets, doc, begin in s.windows(size, lanes * size):
         hs, h, _ = forward(w, split_codes(lex, inputs)[1], begin, h[: inputs.shape[1]])
         valid = doc >= 0
         t = targets[valid]
@@ -298,23 +391,23 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         def rows(c):
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["token", "c"])
+            return pa.RecordBatch.from_arrays([pa.array([named(w) for w in c], pa.binary()), pa.array(list(c.values()), pa.int64())], names=["token", "c"])
 
         total: Counter = Counter()
         for b in batches:
-            for id_, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if not is_held_out(id_):
-                    total.update(tokens(text.as_py()))
+            for text in b.column(0):
+                total.update(tokens(text.as_py()))
                 if len(total) > COUNTED:
                     yield rows(total)
                     total = Counter()
         yield rows(total)
 
-    return docs.mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    return docs.filter(~held_out()).select("text").mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 def build_lexicon(counts: DataFrame) -> Lexicon:
-    """From cut counts: totals over all tokens, and the dictionary (bounded: a set number of words of a set length)."""
+    """From cut counts: totals over all tokens, and the dictionary: all words from the least count on from which they are
+    DICTIONARY at most, so the driver gets a histogram and then no more words than that, of bounded size."""
 
     def sums(batches):
         t = np.zeros(SURFACE + 2)
@@ -325,9 +418,17 @@ def build_lexicon(counts: DataFrame) -> Lexicon:
         yield pa.RecordBatch.from_arrays([pa.array([t.tobytes()], pa.binary())], names=["sum"])
 
     totals = partition_sum(counts.mapInArrow(sums, "sum binary"), SURFACE + 2)
-    best = counts.filter((F.length("token") <= WORD_BYTES) & (F.length("token") > 0)).orderBy(F.desc("c"), "token").limit(DICTIONARY).collect()
+    size = F.floor(F.log2(F.col("c").cast("double")) * 8).cast("int")  # a histogram of at most 512 bins
+    words_ = counts.filter(F.length("token") > 0)
+    least, most = None, 0
+    for r in sorted(words_.groupBy(size.alias("size")).count().collect(), reverse=True):
+        most += r["count"]
+        if most > DICTIONARY:
+            break
+        least = r["size"]
+    best = [] if least is None else sorted((-r["c"], bytes(r["token"])) for r in words_.filter(size >= least).collect())
     ends = counts.filter(F.length("token") == 0).first()
-    words, c = [bytes(r[0]) for r in best], np.array([r[1] for r in best], dtype=np.float64)
+    words, c = [w for _, w in best], np.array([-n for n, _ in best], dtype=np.float64)
     place = min(HEAD - 1, len(words))
     return Lexicon([*words[:place], END, *words[place:]], np.insert(c, place, ends[1] if ends else 0), totals[:SURFACE], totals[SURFACE], totals[SURFACE + 1])
 
@@ -345,7 +446,8 @@ def _codes_of(shared) -> Words:
 
 
 def train(docs: DataFrame, lex: Lexicon, shared, rounds: int, slices: int, task_tokens: int, rate: float) -> dict[str, np.ndarray]:
-    """Weights, averaged after each round over the tasks."""
+    """Weights, averaged after each round over the tasks. A task learns its documents once, in the order they come, a
+    part of each at a time; of a long one the state goes on from part to part."""
     if rounds < slices:
         raise ValueError("fewer rounds than slices leave training documents out")
     w = start_weights(lex)
@@ -353,32 +455,33 @@ def train(docs: DataFrame, lex: Lexicon, shared, rounds: int, slices: int, task_
     tasks = max(1, math.ceil(lex.n / slices / task_tokens))
     for i in range(rounds):
         crc = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(0))
-        own = docs.filter((crc % 5 != 1) & (F.floor(crc / 5) % slices == i % slices)).coalesce(tasks)
+        own = docs.filter(~held_out() & (F.floor(crc / 5) % slices == i % slices)).coalesce(tasks)
         held = docs.sparkSession.sparkContext.broadcast(w)
 
-        def run(batches, held=held, i=i):
+        def run(batches, held=held):
             lexicon, known = shared.value, _codes_of(shared)
-            trainer = Trainer(lexicon, {k: v.copy() for k, v in held.value.items()}, rate / (1 + i))
-            seen, kept, waiting, n = 0, [], [], 0
+            trainer = Trainer(lexicon, {k: v.copy() for k, v in held.value.items()}, rate)
+            waiting, fresh, seen, pace = [], 0, 0, BEGIN
+            empty = np.zeros(HIDDEN, np.float32)
+
+            def learnt():
+                trainer.rate = rate * pace[2]
+                return trainer.learn(waiting, end, pace[0])
+
             for b in batches:
                 for text in b.column(1):
                     codes = np.fromiter(map(known.__getitem__, tokens(text.as_py())), dtype=np.int32)
-                    waiting.append(codes)
-                    n += len(codes)
-                    if n >= 50_000:
-                        trainer.learn(waiting, end)
-                        seen += n
-                        kept, waiting, n = (kept + waiting if seen < task_tokens else []), [], 0
-            if waiting:
-                trainer.learn(waiting, end)
-                seen += n
-                kept += waiting
-            size = seen
-            while kept and seen < task_tokens:
-                trainer.learn(kept, end)
-                seen += max(1, sum(map(len, kept)))
-            flat = pack(trainer.w)
-            yield pa.RecordBatch.from_arrays([pa.array([np.append(flat * size, size).tobytes()], pa.binary())], names=["sum"])
+                    waiting.append((codes, 0, empty))
+                    fresh += len(codes)
+                    if fresh >= pace[1]:
+                        waiting, seen, fresh = learnt(), seen + fresh, 0
+                        pace = BEGIN if seen < WARM else THEN
+            seen += fresh
+            while waiting:
+                waiting = learnt()
+            trainer.average()
+            flat = pack(trainer.mean)
+            yield pa.RecordBatch.from_arrays([pa.array([np.append(flat * seen, seen).tobytes()], pa.binary())], names=["sum"])
 
         flat = partition_sum(own.mapInArrow(run, "sum binary"), sum(v.size for v in w.values()) + 1)
         if flat[-1]:
@@ -386,7 +489,7 @@ def train(docs: DataFrame, lex: Lexicon, shared, rounds: int, slices: int, task_
     return w
 
 
-def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", rounds: int = 3, slices: int = 3, task_tokens: int = 120_000, rate: float = 0.08) -> DataFrame:
+def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", rounds: int = 3, slices: int = 3, task_tokens: int = 120_000, rate: float = 0.3) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; scores are log10 probabilities."""
     spark = df.sparkSession
     ship(spark)
@@ -406,16 +509,16 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", r
 
         def out():
             nonlocal row
-            ln = score_codes(lexicon, w, docs_, end)
-            cols = [[] for _ in range(6)]
-            for d, codes in enumerate(docs_):
-                inside = codes[codes >= 0]
-                mid = inside[inside >= lexicon.head]
-                tail = -1 - codes[codes < 0]
-                model = ln[d] / LN10 + log_c[mid].sum() - log_class[lexicon.surface_of[mid]].sum() - log_class[tail].sum()
-                for c, x in zip(cols, (part << 40 | row, is_held_out(ids[d]), len(codes), int((lexicon.counts[inside] > 0).sum()), log_c[inside].sum(), model), strict=True):
-                    c.append(x)
-                row += 1
+            n, sizes = len(docs_), np.array([len(d) for d in docs_])
+            codes, doc = np.concatenate(docs_), np.repeat(np.arange(n), sizes)
+            tail, mid, inside = codes < 0, codes >= lexicon.head, codes >= 0
+            base = np.bincount(doc[inside], log_c[codes[inside]], n)
+            known_ = np.bincount(doc[inside][lexicon.counts[codes[inside]] > 0], minlength=n)
+            model = score_codes(lexicon, w, docs_, end) / LN10
+            model += np.bincount(doc[mid], log_c[codes[mid]] - log_class[lexicon.surface_of[codes[mid]]], n)
+            model -= np.bincount(doc[tail], log_class[-1 - codes[tail]], n)
+            cols = [(part << 40) + row + np.arange(n), [is_held_out(i) for i in ids], sizes, known_, base, model]
+            row += n
             kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], pa.array(tails, pa.list_(pa.binary()))], names=["id", "row", "held_out", "n_tokens", "n_known", "base", "model", "tail"])
 
@@ -425,7 +528,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", r
                 codes = np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words))
                 ids.append(id_)
                 docs_.append(codes)
-                tails.append([words[i] for i in np.flatnonzero(codes < 0)])
+                tails.append([named(words[i]) for i in np.flatnonzero(codes < 0)])
                 n += len(codes)
                 if n >= 1_000_000:
                     yield out()
