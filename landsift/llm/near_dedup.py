@@ -44,6 +44,7 @@ BUCKETS = 1 << 17  # of each of the two rows of the sketch
 BANDS, ROWS = 10, 3
 SLOTS = 1 << 20
 PARTNERS, GROWTH = 64, 64  # partners of a text in the first round over candidates, about; each later round takes so many times as many
+BEFORE = 8  # shingles of a front that each one of it remembers
 BLOCK = 2048  # shingles sampled at once: what stays in the processor's cache
 SEED = 20240229
 _tables: dict[int, tuple[np.ndarray, ...]] = {}
@@ -207,9 +208,10 @@ def _spanning(met: DataFrame, done: DataFrame, roots: DataFrame, reach: float) -
 
 
 def prefixes(docs: DataFrame, wanted: DataFrame, idf: np.ndarray, threshold: float, k: int) -> DataFrame:
-    """(id, root, total, shingle, rest, short) of the texts of wanted (id, root): the shingles in whose front a common
-    one of any pair at the threshold lies. total: the text's weight; rest: what the shingle and those after it weigh;
-    short: it also lies within the front that a lighter text of a pair needs."""
+    """(id, root, total, shingle, rest, short, before) of the texts of wanted (id, root): the shingles in whose front a
+    common one of any pair at the threshold lies. total: the text's weight; rest: what the shingle and those after it
+    weigh; short: it also lies within the front that a lighter text of a pair needs; before: the BEFORE shingles before
+    it, so that a pair is mostly met at its first common shingle alone."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     long, short = 1 - threshold + 1e-6, (1 - threshold) / (1 + threshold) + 1e-6
 
@@ -226,22 +228,27 @@ def prefixes(docs: DataFrame, wanted: DataFrame, idf: np.ndarray, threshold: flo
                 before = np.cumsum(own) - own
                 total = own.sum()
                 n = int(np.searchsorted(before, long * total, "right"))
-                out.append((np.full(n, id_), np.full(n, root), np.full(n, total), h[ends[i] - counts[i] :][:n], total - before[:n], before[:n] <= short * total))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["id", "root", "total", "shingle", "rest", "short"])
+                out.append((np.full(n, id_), np.full(n, root), np.full(n, total), h[ends[i] - counts[i] :][:n], total - before[:n], before[:n] <= short * total, np.minimum(np.arange(n), BEFORE)))
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+            shingle, sizes = columns[3], columns.pop()
+            to = np.cumsum(sizes)
+            place = np.repeat(np.arange(len(sizes)) - sizes, sizes) + np.arange(int(sizes.sum())) - np.repeat(to - sizes, sizes)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, to).astype(np.int32)), pa.array(shingle[place]))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], names=["id", "root", "total", "shingle", "rest", "short", "before"])
 
-    return _texts(docs, wanted).select("id", "root", "text").mapInArrow(run, "id long, root long, total double, shingle long, rest double, short boolean")
+    return _texts(docs, wanted).select("id", "root", "text").mapInArrow(run, "id long, root long, total double, shingle long, rest double, short boolean, before array<long>")
 
 
 def _candidates(fronts: DataFrame, threshold: float) -> DataFrame:
     """(leader, member) of all pairs across components that may reach the threshold, of `prefixes`; the leader is the
-    lighter one."""
-    names = ("id", "root", "total", "rest")
+    lighter one. A shingle before which both have a common one isn't their first, so it is passed over."""
+    names = ("id", "root", "total", "rest", "before")
     a = fronts.filter("short").select("shingle", *[F.col(c).alias(f"a_{c}") for c in names])
     b = fronts.select("shingle", *[F.col(c).alias(f"b_{c}") for c in names])
     lighter = (F.col("a_total") < F.col("b_total")) | ((F.col("a_total") == F.col("b_total")) & (F.col("a_id") < F.col("b_id")))
     both = F.col("a_total") + F.col("b_total")
     reaches = F.least("a_rest", "b_rest") >= both * F.lit(threshold / (1 + threshold) - 1e-6)
-    pairs = a.join(b.hint("merge"), (a["shingle"] == b["shingle"]) & (F.col("a_root") != F.col("b_root")) & lighter & reaches)
+    pairs = a.join(b.hint("merge"), (a["shingle"] == b["shingle"]) & (F.col("a_root") != F.col("b_root")) & lighter & reaches & ~F.arrays_overlap("a_before", "b_before"))
     return pairs.select(F.col("a_id").alias("leader"), F.col("b_id").alias("member")).distinct()
 
 
