@@ -2,13 +2,14 @@
 
 Rules (host, path, verdict) fit a host and its subdomains where the path begins with theirs; the longest wins. URLs
 that a rule decides are the labelled ones: boosted trees of depth 2 learn from all of them, on lexical features
-(length, depth, digit ratio, entropy, parameter counts and more) and the last host label's statistics. Features are cut
-into at most 16 bins by approximate quantiles over all rows; labelled rows are pre-aggregated to their distinct bin
-vectors; each tree level is one aggregation of gradients by (node, feature, bin), a histogram of fixed size, and the
-trees become one expression.
+(length, depth, digit ratio, entropy, parameter counts and more) and the last host label's statistics. Labels of both
+kinds weigh the same in total, since the rules block far more than they allow and the verdict is for the URLs that they
+are silent on. Features are cut into at most 16 bins by approximate quantiles over all rows; labelled rows are
+pre-aggregated to their distinct bin vectors; each tree level is one aggregation of gradients by (node, feature, bin), a
+histogram of fixed size, and the trees become one expression.
 
-Suffix statistics are kept for the 1,000 most frequent last labels (of up to 64 characters: a bounded broadcast);
-all others share the overall rate, which is a feature's definition and drops no row.
+Suffix statistics cover every last label, in 4,096 hash buckets (a table of fixed size); labels that share a bucket share
+its rate.
 
 Defined cases: a null url or one without :// has an empty host and path, and is judged like any other; repeated rows
 are judged each; without labels the verdict is allow, with labels of one kind it is that kind; an empty table gives an
@@ -17,7 +18,6 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,7 +34,7 @@ RULES = (
     ("org", "/es/", "block"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BINS, SUFFIXES, SUFFIX_CHARS = 16, 1000, 64
+BINS, SUFFIXES = 16, 4096
 FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "query_length", "punctuation", "secure", "fragment", "suffix_rate", "suffix_seen")
 
 
@@ -66,7 +66,7 @@ def _entropy(text: Column) -> Column:
 
 
 def lexical(df: DataFrame, url: str = "url") -> DataFrame:
-    """df (with host and path) with the numeric features but the suffix's, and its last host label."""
+    """df (with host and path) with the numeric features but the suffix's, and the bucket of its last host label."""
     u = F.coalesce(F.col(url), F.lit(""))
     n = F.length(u).cast("double")
 
@@ -88,16 +88,17 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
             "punctuation": without(u, "-_.~%+=&"),
             "secure": F.startswith(F.lower(u), F.lit("https:")).cast("double"),
             "fragment": F.contains(u, F.lit("#")).cast("double"),
-            "suffix": F.substring(F.substring_index(F.substring_index("host", ":", 1), ".", -1), 1, SUFFIX_CHARS),
+            "suffix": F.pmod(F.xxhash64(F.substring_index(F.substring_index("host", ":", 1), ".", -1)), F.lit(SUFFIXES)),
         }
     )
 
 
-def suffix_statistics(labelled: DataFrame) -> DataFrame:
-    """(suffix, suffix_rate, suffix_seen) from rows (suffix, y); rates are drawn to the overall one by ten rows."""
+def suffix_statistics(labelled: DataFrame) -> tuple[DataFrame, float]:
+    """(suffix, suffix_rate, suffix_seen) from rows (suffix, y), and the overall rate, to which rates are drawn by ten
+    rows."""
     by = labelled.groupBy("suffix").agg(F.sum("y").alias("good"), F.count(F.lit(1)).alias("n"))
     overall = by.agg((F.sum("good") / F.sum("n")).alias("rate")).first()[0] or 0.0
-    return by.orderBy(F.desc("n"), "suffix").limit(SUFFIXES).select("suffix", ((F.col("good") + 10 * overall) / (F.col("n") + 10)).alias("suffix_rate"), F.log1p("n").alias("suffix_seen")), overall
+    return by.select("suffix", ((F.col("good") + 10 * overall) / (F.col("n") + 10)).alias("suffix_rate"), F.log1p("n").alias("suffix_seen")), overall
 
 
 def _binned(cuts: dict[str, list[float]]) -> dict[str, Column]:
@@ -161,11 +162,13 @@ def boost(train: DataFrame, trees: int, rate: float, reg: float, base: float) ->
     return made
 
 
-def judge(df: DataFrame, rules=RULES, id_col: str = "page_id", url: str = "url", trees: int = 8, rate: float = 0.5, reg: float = 1.0) -> DataFrame:
-    """id, host, path, rule, verdict, score (the method's probability of block, for every row)."""
+def judge(df: DataFrame, rules=RULES, id_col: str = "page_id", url: str = "url", trees: int = 8, rate: float = 0.5, reg: float = 1.0, learn: Column | None = None) -> DataFrame:
+    """id, host, path, rule, verdict, score (the method's probability of block, for every row). learn: condition on `_id`
+    that admits a URL's label to learning; all by default."""
     rule, verdict = rule_columns(rules)
     rows = lexical(with_parts(df.select(F.col(id_col).alias("_id"), F.col(url).alias("_url")), "_url"), "_url").withColumns({"rule": rule, "given": verdict})
-    labelled = rows.filter(F.col("given").isNotNull()).withColumn("y", (F.col("given") == "block").cast("double"))
+    admitted = F.col("given").isNotNull() & (F.coalesce(learn, F.lit(False)) if learn is not None else F.lit(True))
+    labelled = rows.filter(admitted).withColumn("y", (F.col("given") == "block").cast("double"))
     stats, overall = suffix_statistics(labelled)
     stats = cut(stats)
     full = rows.join(F.broadcast(stats), "suffix", "left").fillna({"suffix_rate": overall, "suffix_seen": 0.0})
@@ -173,12 +176,13 @@ def judge(df: DataFrame, rules=RULES, id_col: str = "page_id", url: str = "url",
     cuts = {c: sorted(set(points[c] or [])) for c in FEATURES}
     binned = full.withColumns(_binned(cuts))
     names = [f"b{i}" for i in range(len(FEATURES))]
-    train = cut(binned.filter(F.col("given").isNotNull()).groupBy(*names).agg(F.sum((F.col("given") == "block").cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("n")))
+    train = cut(binned.filter(admitted).groupBy(*names).agg(F.sum((F.col("given") == "block").cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("n")))
     y, n = train.agg(F.coalesce(F.sum("y"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0))).first()
     if y in (0.0, n):
         margin = F.lit(20.0 if n and y else -20.0)
     else:
-        base = math.log(y / (n - y))
-        margin = reduce(lambda a, t: a + _leaf(t, names), boost(train, trees, rate, reg, base), F.lit(base))
+        blocks, allows = n / (2 * y), n / (2 * (n - y))
+        weighed = train.select(*names, (F.col("y") * blocks).alias("y"), (F.col("y") * blocks + (F.col("n") - F.col("y")) * allows).alias("n"))
+        margin = reduce(lambda a, t: a + _leaf(t, names), boost(weighed, trees, rate, reg, 0.0), F.lit(0.0))
     score = 1 / (1 + F.exp(-margin))
     return binned.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("given", F.when(score > 0.5, "block").otherwise("allow")).alias("verdict"), score.alias("score"))
