@@ -5,8 +5,9 @@ group, the text decides membership byte for byte, so a collision makes two group
 shuffle (partial aggregation), so a text that a third of all rows share sends one row a task. Only (hash, sha256,
 id, size) of each group returns to the rows.
 
-Defined cases: a null text counts as empty; null ids lose against every id, and a group of null ids keeps its rows;
-rows that repeat id and text share one fate; an empty table gives an empty result; other columns are not read.
+Defined cases: a null text counts as empty; null ids lose against every id; exactly one row of a group is kept, also
+where rows repeat the id that stays or have null ids alone; an empty table gives an empty result; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -23,16 +24,18 @@ def content_hash(text: Column) -> Column:
 
 
 def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", keep: str = "min", hashed: Callable[[Column], Column] = content_hash) -> DataFrame:
-    """One row for each input row: id, keep_id, group_size, kept, text_sha256. keep: min or max, which id stays."""
+    """One row for each input row: id, keep_id, group_size, kept, text_sha256. keep: min or max, which id stays. Rows that
+    repeat id and text are counted before they meet their group and told apart again after it."""
     rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     groups = (
         rows.groupBy(hashed(F.col("_text")).alias("_hash"), "_text")
         .agg(F.count(F.lit(1)).alias("group_size"), (F.max if keep == "max" else F.min)("_id").alias("keep_id"))
         .select("_hash", F.sha2("_text", 256).alias("text_sha256"), "group_size", "keep_id")
     )
-    named = rows.select("_id", hashed(F.col("_text")).alias("_hash"), F.sha2("_text", 256).alias("text_sha256"))
-    return named.join(groups, ["_hash", "text_sha256"]).select(
-        F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+    named = rows.select("_id", hashed(F.col("_text")).alias("_hash"), F.sha2("_text", 256).alias("text_sha256")).groupBy("_hash", "text_sha256", "_id").agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    stays = F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_time") == 1)
+    return named.join(groups, ["_hash", "text_sha256"]).withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(
+        F.col("_id").alias(id_col), "keep_id", "group_size", stays.alias("kept"), "text_sha256"
     )
 
 
