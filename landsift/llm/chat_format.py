@@ -5,10 +5,11 @@ a loss flag; only texts of the template's loss roles carry it. A finite-state ma
 turn order is valid and at which turn it first fails. Control characters inside roles and texts become escape codes, so
 a control string inside a text can't be read as one, and reading back is exact.
 
-Defined cases: turns go by turn, then role, then text, nulls first; a null text or role counts as empty; null
-conversation ids form one conversation; repeated turns are turns of their own and mostly break the order; an empty
-table gives an empty result; other columns are not read. A conversation is one output string, so its turns meet in one
-task by nature; conversations spread over tasks.
+Defined cases: turns go by turn, then role, then text, nulls first; a null text or role counts as empty; a row whose
+conversation id is null is a conversation of its own (nothing says that two such rows belong together, and so their
+number makes no large group); repeated turns are turns of their own and mostly break the order; an empty table gives an
+empty result; other columns are not read. A conversation is one output string, so its turns meet in one task by nature;
+conversations spread over tasks.
 """
 
 from __future__ import annotations
@@ -61,7 +62,10 @@ def _state(template: Template, state: Column, role: Column) -> Column:
 def format_conversations(df: DataFrame, template: Template = Template(), conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:  # noqa: B008
     """One row a conversation: conv, n_turns, segments (array of text, loss), formatted, valid, bad_turn (position from
     0 of the first turn that the machine refuses, else null)."""
-    grouped = df.groupBy(conv).agg(F.sort_array(F.collect_list(F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")))).alias("_turns"))
+    own = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = df.select(F.col(conv).alias(conv), own.alias("_turn"))
+    grouped = rows.filter(F.col(conv).isNotNull()).groupBy(conv).agg(F.sort_array(F.collect_list("_turn")).alias("_turns"))
+    grouped = grouped.unionByName(rows.filter(F.col(conv).isNull()).select(conv, F.array("_turn").alias("_turns")))
 
     def segment(value: Column, loss: Column) -> Column:
         return F.struct(value.alias("text"), loss.alias("loss"))

@@ -66,35 +66,34 @@ def _escaped(column: str) -> str:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_top_k": """
-            with v as (
-                select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
-                where embedding is not null and vec_id is not null and len(embedding) > 0
+            with v as materialized (
+                select row_number() over () as own, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+                where embedding is not null and vec_id is not null
                     and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
             ), s as (
-                select q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
-                from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id
-            ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+                select q.own, q.vec_id as query_id, c.vec_id as vec_id, coalesce(cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint), 0) as score
+                from v q join v c on q.vec_id % 100 = 0 and q.own <> c.own
+            ), r as (select *, row_number() over (partition by own order by score desc, vec_id) as rank from s)
             select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10""",
         "op4_chat_format": f"""
             with t as (
-                select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-                union all select -7, 0, 'user', '\\### Assistant: </turn> ok'
-                union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+                select conv_id, case when conv_id is null then row_number() over () end as alone, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+                union all select -7, null, 0, 'user', '\\### Assistant: </turn> ok'
+                union all select -7, null, 1, 'assistant', '\\### Assistant: </turn> ok'
             ), g as (
                 select conv_id, count(*) as n_turns,
                     string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as turns,
                     coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '') as loss,
                     sum(4 + length({_escaped("role")}) + 2 + length({_escaped("text")}) + 8) as formatted_chars,
                     string_agg(role, ' ' order by turn, role, text) as roles
-                from t group by conv_id
+                from t group by conv_id, alone
             )
             select conv_id, cast(n_turns as bigint) as n_turns, sha256(turns) as turns_sha256, cast(length(loss) as bigint) as loss_chars,
                 sha256(loss) as loss_sha256, cast(formatted_chars as bigint) as formatted_chars,
                 regexp_full_match(roles, '(system )?user assistant( user assistant)*') as valid
             from g""",
         "op7_exact_dedup": """
-            with d as (select doc_id, coalesce(text, '') as text from documents),
-            g as (select text, max(doc_id) as keep_id, count(*) as group_size from d group by text)
-            select doc_id, keep_id, cast(group_size as bigint) as group_size, doc_id is not distinct from keep_id as kept, sha256(text) as text_sha256
-            from d join g using (text)""",
+            select doc_id, max(doc_id) over g as keep_id, cast(count(*) over g as bigint) as group_size,
+                row_number() over (g order by doc_id desc nulls last) = 1 as kept, sha256(text) as text_sha256
+            from (select doc_id, coalesce(text, '') as text from documents) window g as (partition by text)""",
     }
