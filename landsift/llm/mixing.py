@@ -1,33 +1,39 @@
 """Mixing sources to target weights, DataFrame functions only.
 
-Token counts are summed to cells (source, language, topic). Iterative proportional fitting rakes the cells' token
-weights until every marginal (source, language, topic) has its target share; then a document's probability is its
-cell's wanted over its available tokens, scaled until the expected tokens meet the budget, and a document stays if a
-hash of its id falls below it: the choice is the same on every run and after a lost executor. A cell that is wanted
-beyond what it has is saturated (probability 1), and the others make up for it.
+Token counts are summed to cells (source, language, topic). The budget, a share of all tokens, is dealt to the values of
+each dimension by their target shares; a value that has fewer tokens than that gives all it has, and the others of its
+dimension share the rest in proportion to their targets. Iterative proportional fitting then rakes the cells' wanted
+tokens until every marginal has what it was dealt, under the bound that no cell gives more than it has: a cell that
+would, or whose value gives all it has, is held at its tokens, and the others are raked again. A document's probability is its cell's wanted over its
+available tokens, and it stays if a hash of its id falls below that: the choice is the same on every run and after a
+lost executor. `marginals` says what each value was meant to get, was dealt and reaches, and whether its target is met,
+short of tokens, or barred by the other dimensions; if the sweeps end without a fit there is a warning as well.
 
 Targets are given per dimension as shares by value; values that are not named share what is left in proportion to
-their tokens. A dimension without targets is tempered: shares in proportion to tokens ** temperature. The budget is a
-share of all tokens; with None, the largest is taken that saturates no cell, so that all marginals are met exactly in
-expectation, however little that may leave.
+their tokens. A dimension without targets is tempered: shares in proportion to tokens ** temperature. With the budget
+None, the largest is taken that saturates no cell, so that all marginals are met exactly in expectation, however little
+that may leave.
 
-Topics come from a column or expression; by default they are the form of the text (figures, list, long, short, prose).
+All sums are aggregations that combine within tasks first, and factors come back to the cells by a join, so neither a
+language nor a source meets in one task. Topics come from a column or expression; by default they are the form of the
+text (figures, list, long, short, prose).
 
 Defined cases: null texts count as empty with one token, null categories as ''; rows with null ids are chosen by their
 text's hash; repeated rows share one fate; targets for absent values are left out and the rest scaled; an empty table
-gives an empty result; other columns are kept by `mixed` and not read by `probabilities`.
+gives an empty result; other columns, whatever their names, are kept by `mixed` and not read by `probabilities`.
 """
 
 from __future__ import annotations
 
+import warnings
+from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ._spark import cut
+from ._spark import cut, remove
 
 DIMS = ("source", "lang", "topic")
-SMALL_CELLS = 20_000  # cells up to which their table is broadcast; more are joined by shuffle
+SMALL = 20_000  # rows up to which a table of cells or values is broadcast; more are joined by shuffle
 
 
 def token_count(text: Column) -> Column:
@@ -48,80 +54,142 @@ def form(text: Column, n_tokens: Column) -> Column:
     )
 
 
-def described(df: DataFrame, id_col: str, text: str, source: str, lang: str, topic: Column | None) -> DataFrame:
-    """df with _id, _u (uniform from the id's hash), _n (tokens) and the three dimensions as _source, _lang, _topic."""
+def described(df: DataFrame, id_col: str, text: str, source: str, lang: str, topic: Column | None) -> tuple[DataFrame, str]:
+    """df with a struct column that its name (which df hasn't) is returned of: u (uniform from the id's hash), n (tokens)
+    and the three dimensions."""
+    name = "_mix"
+    while name in df.columns:
+        name += "_"
     t = F.coalesce(F.col(text), F.lit(""))
-    key = F.coalesce(F.xxhash64(F.lit("mix"), F.when(F.col(id_col).isNotNull(), F.col(id_col))), F.lit(0))
-    key = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit("mix"), t)).otherwise(key)
-    out = df.withColumns({"_u": F.shiftrightunsigned(key, 11) / float(1 << 53), "_n": token_count(t), "_source": F.coalesce(F.col(source).cast("string"), F.lit("")), "_lang": F.coalesce(F.col(lang).cast("string"), F.lit(""))})
-    return out.withColumn("_topic", F.coalesce(topic if topic is not None else form(t, F.col("_n")), F.lit("")))
-
-
-def targets(cells: DataFrame, dim: str, given: dict[str, float] | None, temperature: float) -> DataFrame:
-    """(dim, target): shares that sum to 1 over the values that occur."""
-    by = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("t"))
-    everything = Window.partitionBy()  # over the values of one dimension, not over rows
-    if given:
-        named = F.coalesce(*[F.when(F.col(dim) == k, F.lit(float(v))) for k, v in given.items()], F.lit(None).cast("double"))
-        by = by.withColumn("named", named)
-        left = F.greatest(F.lit(1.0) - F.coalesce(F.sum("named").over(everything), F.lit(0.0)), F.lit(0.0))
-        others = F.sum(F.when(F.col("named").isNull(), F.col("t"))).over(everything)
-        want = F.coalesce(F.col("named"), left * F.col("t") / others)
-    else:
-        want = F.pow("t", F.lit(temperature))
-    return by.withColumn("want", want).select(dim, (F.col("want") / F.sum("want").over(everything)).alias(f"target{dim}"))
-
-
-def fitted(cells: DataFrame, given: dict[str, dict[str, float]], temperature: float, tolerance: float, sweeps: int) -> DataFrame:
-    """cells with w: weights that sum to 1 and have the target marginals. Cells are few for each value of a dimension
-    and documents don't occur here, so windows over a dimension are small."""
-    now = cells
-    for d in DIMS:
-        now = now.join(targets(cells, f"_{d}", given.get(d), temperature), f"_{d}")
-    now = now.withColumn("w", F.col("tokens").cast("double"))
-    for i in range(sweeps):
-        for d in DIMS:
-            total = F.sum("w").over(Window.partitionBy(f"_{d}"))
-            now = now.withColumn("w", F.when(total > 0, F.col("w") * F.col(f"target_{d}") / total).otherwise(0.0))
-        if i % 3 == 2 or i == sweeps - 1:
-            now = cut(now)
-            off = now.groupBy("_source").agg(F.abs(F.sum("w") - F.first("target_source")).alias("e")).unionByName(now.groupBy("_lang").agg(F.abs(F.sum("w") - F.first("target_lang")).alias("e")), allowMissingColumns=True)
-            if (off.agg(F.max("e")).first()[0] or 0.0) < tolerance:
-                break
-    return now
-
-
-def rates(df: DataFrame, given: dict[str, dict[str, float]], temperature: float, budget: float | None, tolerance: float, sweeps: int) -> tuple[DataFrame, int]:
-    """(_source, _lang, _topic, _p) of described rows, and the number of cells."""
-    cells = cut(df.groupBy(*[f"_{d}" for d in DIMS]).agg(F.sum("_n").alias("tokens"), F.count(F.lit(1)).alias("documents")))
-    number = cells.count()
-    done = fitted(cells, given, temperature, tolerance, sweeps)
-    total, most = done.agg(F.sum("tokens"), F.max(F.col("w") / F.col("tokens"))).first()
-    scale = (budget * total if budget is not None else 1 / most) if total and most else 0.0
-    for _ in range(30 if budget is not None and scale else 0):
-        full = F.col("w") * scale >= F.col("tokens")
-        held, free = done.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(full, F.lit(0.0)).otherwise(F.col("w")))).first()
-        new = (budget * total - held) / free if free else scale
-        if new <= scale * (1 + 1e-9):
+    key = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit("mix"), t)).otherwise(F.xxhash64(F.lit("mix"), F.col(id_col)))
+    n = token_count(t)
+    own = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (source, lang)]
+    form_ = F.coalesce(topic if topic is not None else form(t, n), F.lit(""))
+    return df.withColumn(name, F.struct((F.shiftrightunsigned(key, 11) / float(1 << 53)).alias("u"), n.alias("n"), *[c.alias(d) for d, c in zip(DIMS, (*own, form_), strict=True)])), name
+
+
+def goals(cells: DataFrame, given: dict[str, dict[str, float]], temperature: float, budget: float | None) -> DataFrame:
+    """(dim, value, tokens, share, want): shares that sum to 1 over the values of a dimension that occur, and what the
+    budget deals them; without a budget want is the share."""
+    by = reduce(DataFrame.unionByName, [cells.groupBy(F.lit(d).alias("dim"), F.col(d).alias("value")).agg(F.sum("tokens").cast("double").alias("tokens")) for d in DIMS])
+    named = F.coalesce(*[F.when((F.col("dim") == d) & (F.col("value") == k), F.lit(float(v))) for d in DIMS for k, v in (given.get(d) or {}).items()], F.lit(None).cast("double"))
+    by = by.withColumn("named", named)
+    sums = by.groupBy("dim").agg(F.coalesce(F.sum("named"), F.lit(0.0)).alias("taken"), F.sum(F.when(F.col("named").isNull(), F.col("tokens"))).alias("others"))
+    left = F.greatest(F.lit(1.0) - F.col("taken"), F.lit(0.0)) * F.col("tokens") / F.col("others")
+    raw = F.when(F.col("dim").isin(*[d for d in DIMS if given.get(d)]), F.coalesce("named", left)).otherwise(F.pow("tokens", F.lit(temperature)))
+    by = by.join(F.broadcast(sums), "dim").select("dim", "value", "tokens", raw.alias("raw"))
+    held = cut(by.join(F.broadcast(by.groupBy("dim").agg(F.sum("raw").alias("all"))), "dim").select("dim", "value", "tokens", (F.col("raw") / F.col("all")).alias("share")))
+    if budget is None:
+        return held.withColumn("want", F.col("share"))
+    scale = dict.fromkeys(DIMS, budget)
+    for _ in range(60):
+        scaled = F.col("share") * reduce(lambda c, d: c.when(F.col("dim") == d, F.lit(scale[d])), DIMS, F.when(F.lit(False), F.lit(0.0)))
+        full = scaled >= F.col("tokens")
+        last, rows = dict(scale), held.groupBy("dim").agg(F.sum(F.when(full, F.col("tokens")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("share")))).collect()
+        for d, taken, free in rows:
+            if free > 0:
+                scale[d] = (budget - taken) / free
+        if all(scale[d] <= last[d] * (1 + 1e-12) for d in DIMS):
             break
-        scale = new
-    return done.select(*[f"_{d}" for d in DIMS], F.least(F.lit(1.0), F.col("w") / F.col("tokens") * F.lit(scale)).alias("_p")), number
+    return held.withColumn("want", F.least("tokens", scaled))
+
+
+def _off(now: DataFrame, goal: DataFrame) -> DataFrame:
+    """goal with reached: the tokens that the cells now give each value."""
+    got = reduce(DataFrame.unionByName, [now.groupBy(F.lit(d).alias("dim"), F.col(d).alias("value")).agg(F.sum(F.col("tokens") * F.col("p")).alias("reached")) for d in DIMS])
+    return goal.join(got, ["dim", "value"])
+
 
+def fitted(cells: DataFrame, goal: DataFrame, values: dict[str, int], total: float, bounded: bool, tolerance: float, sweeps: int) -> tuple[DataFrame, float]:
+    """cells with p, wanted over available tokens, and the largest miss of a marginal as a share of total. A cell's p is
+    the product of its values' factors, 1 at most if bounded (else it may exceed 1); a step fits one dimension's factors.
+    What a value gives whole isn't raked."""
 
-def _joined(df: DataFrame, p: DataFrame, number: int) -> DataFrame:
-    return df.join(F.broadcast(p) if number <= SMALL_CELLS else p, [f"_{d}" for d in DIMS])
+    def small(d: str, table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if values[d] <= SMALL else table
 
+    base = cells.withColumn("whole", F.lit(False))
+    for d in DIMS if bounded else ():
+        own = goal.filter((F.col("dim") == d) & (F.col("want") >= F.col("tokens") * (1 - 1e-9))).select(F.col("value").alias(d), F.lit(True).alias("all"))
+        base = base.join(small(d, own), d, "left").withColumn("whole", F.col("whole") | F.col("all").isNotNull()).drop("all")
+    base = cut(base)
+    factors = {d: cut(goal.filter(F.col("dim") == d).select(F.col("value").alias(d), "want", F.lit(1.0).alias("f"), F.lit(0.0).alias("miss"))) for d in DIMS}
 
-def probabilities(df: DataFrame, given: dict[str, dict[str, float]] | None = None, temperature: float = 0.5, budget: float | None = 0.5, topic: Column | None = None, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", tolerance: float = 1e-6, sweeps: int = 60) -> DataFrame:
+    def product() -> DataFrame:
+        out = base.withColumn("p", F.lit(1.0))
+        for d in DIMS:
+            out = out.join(small(d, factors[d].select(d, "f")), d).withColumn("p", F.col("p") * F.col("f")).drop("f")
+        p = F.least(F.col("p"), F.lit(1.0)) if bounded else F.col("p")
+        return out.withColumn("p", F.when(F.col("whole"), 1.0).otherwise(p))
+
+    worst = 0.0
+    for _ in range(sweeps):
+        for d in DIMS:
+            full = (F.col("p") >= 1) if bounded else F.lit(False)
+            part = F.when(F.col("whole"), 0.0).otherwise(F.col("tokens") * F.col("p"))
+            got = product().groupBy(d).agg(F.sum(F.when(F.col("whole"), F.col("tokens")).otherwise(0.0)).alias("whole"), F.sum(F.when(full, part).otherwise(0.0)).alias("held"), F.sum(F.when(full, 0.0).otherwise(part)).alias("free"))
+            raked, open_ = F.col("held") + F.col("free"), F.col("want") - F.col("whole")
+            grow, shrink = (open_ - F.col("held")) / F.col("free"), F.greatest(open_ / raked, F.lit(1e-6))
+            x = F.when((F.col("free") > 0) & (open_ >= raked), grow).when(raked > 0, F.least(shrink, F.lit(1.0)) if bounded else shrink).otherwise(1.0)
+            miss = F.abs(F.col("whole") + raked - F.col("want"))
+            last, factors[d] = factors[d], cut(got.join(small(d, factors[d].drop("miss")), d).select(d, "want", (F.col("f") * x).alias("f"), miss.alias("miss")))
+            remove(last)
+        misses = reduce(DataFrame.unionByName, [factors[d].select("miss") for d in DIMS])  # before each step
+        worst = (misses.agg(F.max("miss")).first()[0] or 0.0) / max(total, 1e-300)
+        if worst < tolerance:
+            break
+    done = cut(product())
+    for used in (base, *factors.values()):
+        remove(used)
+    return done, worst
+
+
+def rates(rows: DataFrame, given: dict[str, dict[str, float]], temperature: float, budget: float | None, tolerance: float, sweeps: int) -> tuple[DataFrame, DataFrame, int, float]:
+    """(cells with p, goals, number of cells, tokens wanted) of rows (n and the dimensions)."""
+    cells = cut(rows.groupBy(*DIMS).agg(F.sum("n").cast("double").alias("tokens")))
+    counted = cells.agg(F.count(F.lit(1)), F.sum("tokens"), *[F.count_distinct(d) for d in DIMS]).first()
+    number, total, values = counted[0], counted[1] or 0.0, dict(zip(DIMS, counted[2:], strict=True))
+    wanted = budget * total if budget is not None else 1.0
+    goal = cut(goals(cells, given, temperature, wanted if budget is not None else None))
+    done, worst = fitted(cells, goal, values, wanted, budget is not None, tolerance, sweeps)
+    if worst >= tolerance:
+        warnings.warn(f"raking ended after {sweeps} sweeps with a marginal off by {worst:.2g} of the wanted tokens; see marginals()", stacklevel=3)
+    if budget is None and number:
+        most = done.agg(F.max("p")).first()[0]
+        done = done.withColumn("p", F.least(F.lit(1.0), F.col("p") / F.lit(most)))
+        wanted = 1 / most
+        goal = goal.withColumn("want", F.col("want") * F.lit(wanted))
+    return done, goal, number, wanted
+
+
+def _joined(rows: DataFrame, name: str, p: DataFrame, number: int) -> DataFrame:
+    p = p.select(F.struct(*DIMS).alias(f"{name}cell"), F.col("p").alias(f"{name}p"))
+    cell = F.struct(*[F.col(f"{name}.{d}").alias(d) for d in DIMS])
+    return rows.join(F.broadcast(p) if number <= SMALL else p, cell == F.col(f"{name}cell"))
+
+
+def probabilities(df: DataFrame, given: dict[str, dict[str, float]] | None = None, temperature: float = 0.5, budget: float | None = 0.5, topic: Column | None = None, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", tolerance: float = 1e-4, sweeps: int = 60) -> DataFrame:
     """id, source, lang, topic, n_tokens, probability, selected of each row."""
-    rows = described(df, id_col, text, source, lang, topic).select(F.col(id_col).alias("_id"), "_u", "_n", *[f"_{d}" for d in DIMS])
-    rows = cut(rows)
-    p, number = rates(rows, given or {}, temperature, budget, tolerance, sweeps)
-    return _joined(rows, p, number).select(F.col("_id").alias(id_col), F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_n").alias("n_tokens"), F.col("_p").alias("probability"), (F.col("_u") < F.col("_p")).alias("selected"))
+    rows, name = described(df, id_col, text, source, lang, topic)
+    rows = cut(rows.select(F.col(id_col).alias("id"), F.col(name)))
+    p, _, number, _ = rates(rows.select(f"{name}.*"), given or {}, temperature, budget, tolerance, sweeps)
+    own = [F.col(f"{name}.{d}").alias(d) for d in DIMS]
+    return _joined(rows, name, p, number).select(F.col("id").alias(id_col), *own, F.col(f"{name}.n").alias("n_tokens"), F.col(f"{name}p").alias("probability"), (F.col(f"{name}.u") < F.col(f"{name}p")).alias("selected"))
 
 
-def mixed(df: DataFrame, given: dict[str, dict[str, float]] | None = None, temperature: float = 0.5, budget: float | None = 0.5, topic: Column | None = None, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", tolerance: float = 1e-6, sweeps: int = 60) -> DataFrame:
+def mixed(df: DataFrame, given: dict[str, dict[str, float]] | None = None, temperature: float = 0.5, budget: float | None = 0.5, topic: Column | None = None, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", tolerance: float = 1e-4, sweeps: int = 60) -> DataFrame:
     """The rows of df that are selected, columns unchanged."""
-    rows = described(df, id_col, text, source, lang, topic)
-    p, number = rates(rows, given or {}, temperature, budget, tolerance, sweeps)
-    return _joined(rows, p, number).filter(F.col("_u") < F.col("_p")).select(*[F.col(f"`{c}`") for c in df.columns])
+    rows, name = described(df, id_col, text, source, lang, topic)
+    p, _, number, _ = rates(rows.select(f"{name}.*"), given or {}, temperature, budget, tolerance, sweeps)
+    return _joined(rows, name, p, number).filter(F.col(f"{name}.u") < F.col(f"{name}p")).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def marginals(df: DataFrame, given: dict[str, dict[str, float]] | None = None, temperature: float = 0.5, budget: float | None = 0.5, topic: Column | None = None, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", tolerance: float = 1e-4, sweeps: int = 60) -> DataFrame:
+    """dim, value, tokens, target, dealt, reached (shares of the wanted tokens) and status: met, short (the value has
+    fewer tokens than its target, or stands in for one that has) or barred (the other dimensions' bounds keep it from
+    what it was dealt)."""
+    rows, name = described(df, id_col, text, source, lang, topic)
+    p, goal, _, wanted = rates(rows.select(f"{name}.*"), given or {}, temperature, budget, tolerance, sweeps)
+    shares = _off(p, goal).select("dim", "value", "tokens", F.col("share").alias("target"), *[(F.col(c) / F.lit(wanted)).alias(to) for c, to in (("want", "dealt"), ("reached", "reached"))])
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) < 1e-3
+    return shares.withColumn("status", F.when(~near("reached", "dealt"), "barred").when(~near("dealt", "target"), "short").otherwise("met"))
