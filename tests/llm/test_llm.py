@@ -37,26 +37,40 @@ def test_query_equals_sql(spark, name):
 
 
 # 1 ---------------------------------------------------------------------------------------------------------------
-def brute_top(rows, queries_, k):
+def brute_top(rows, asked, k):
+    """Every row that is asked for against every other row, in Python's integers."""
     out = []
-    for q in queries_:
-        scores = sorted((-sum(a * b for a, b in zip(rows[q], v, strict=False)), i) for i, v in rows.items() if i != q)[:k]
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
+    for n, (q, own) in enumerate(rows):
+        if asked(q):
+            scores = sorted((-max(-(2**63 - 1), min(2**63 - 1, sum(a * b for a, b in zip(own, v, strict=False)))), i) for m, (i, v) in enumerate(rows) if m != n)[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
     return sorted(out)
 
 
 def test_top_k(spark):
     rng = random.Random(5)
-    vectors = {i: [rng.gauss(0, 1) for _ in range(6)] for i in range(600)}
-    vectors |= {i: vectors[3] for i in range(600, 900)}  # copies and ties
-    rows = [(i, v, "x") for i, v in vectors.items()] + [(5, vectors[5], "again"), (1000, None, ""), (1100, [], ""), (1200, [1.0, None], ""), (1300, [float("nan")], ""), (1400, [1e30], ""), (None, [1.0] * 6, "")]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
-    want = brute_top({i: [math.floor(1024 * x) for x in v] for i, v in vectors.items()}, [i for i in vectors if i % 100 == 0], 10)
+    vectors = [(i, [rng.gauss(i % 7, 1) for _ in range(6)]) for i in range(600)]
+    vectors += [(i, vectors[3][1]) for i in range(600, 900)]  # copies and ties
+    vectors += [(5, vectors[5][1]), (5, vectors[6][1]), (200, vectors[200][1]), (200, vectors[9][1]), (1100, []), (7, []), (1400, [200000.0, 1.0]), (1500, [0.0, -3e5, 2.0])]
+    rows = [(i, v, "x") for i, v in vectors] + [(1000, None, ""), (1200, [1.0, None], ""), (1300, [float("nan")], ""), (1301, [float("inf")], ""), (None, [1.0] * 6, "")]
+    schema = "vec_id long, embedding array<double>, score string"
+    df = spark.createDataFrame(rows, schema)
+    want = brute_top([(i, [math.floor(1024 * x) for x in v]) for i, v in vectors], lambda i: i % 100 == 0, 10)
     for shard_rows in (100, 10_000):
         got = topk.top_k(df, lambda c: c % 100 == 0, shard_rows=shard_rows).collect()
         assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
     assert topk.top_k(df.filter("false"), lambda c: c % 100 == 0).count() == 0
-    assert topk.top_k(df.filter("vec_id in (100, 7)"), lambda c: c % 100 == 0).count() == 1
+    assert topk.top_k(df.filter("vec_id in (100, 7)"), lambda c: c % 100 == 0).count() == 2
+
+
+def test_top_k_beyond_float(spark):
+    """Components whose products float64 can't hold exactly, next to small ones."""
+    rng = random.Random(6)
+    vectors = [(i, [float(rng.choice([1, 3, 2**28 + 1, 2**29 + 7])) * rng.choice([-1, 1]) for _ in range(4)]) for i in range(0, 60)] + [(100, [2.0**33 + 1, 1.0]), (101, [-(2.0**33), 5.0]), (102, [1e18, 1.0]), (200, [1.5] * 4)]
+    want = brute_top([(i, [math.floor(1024 * x) for x in v]) for i, v in vectors], lambda i: i % 100 == 0, 10)
+    for shard_rows in (7, 10_000):
+        got = topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), lambda c: c % 100 == 0, shard_rows=shard_rows).collect()
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
 
 
 # 2 ---------------------------------------------------------------------------------------------------------------
@@ -182,13 +196,15 @@ def test_boosting_learns(spark):
 
 # 4 ---------------------------------------------------------------------------------------------------------------
 def test_chat(spark):
-    rows = [(1, 0, "system", "s"), (1, 1, "user", "### assistant: </turn>\n\\b \\\\l <#:"), (1, 2, "assistant", None), (2, 0, "assistant", "a"), (2, 1, "user", "u"), (3, 0, "user", LONG), (3, 1, "assistant", ""), (3, 1, "assistant", ""), (None, None, "user: x", "y"), (4, 0, None, "")]
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "### assistant: </turn>\n\\b \\\\l <#:"), (1, 2, "assistant", None), (2, 0, "assistant", "a"), (2, 1, "user", "u"), (3, 0, "user", LONG), (3, 1, "assistant", ""), (3, 1, "assistant", ""), (None, None, "user: x", "y"), (None, 1, "assistant", "z"), (4, 0, None, "")]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
-    out = {r["conv_id"]: r for r in chat_format.read_back(chat_format.format_conversations(df)).collect()}
+    every = chat_format.read_back(chat_format.format_conversations(df)).collect()
+    assert sorted((r["n_turns"], r["turns"][0]["text"]) for r in every if r["conv_id"] is None) == [(1, "y"), (1, "z")]
+    out = {r["conv_id"]: r for r in every if r["conv_id"] is not None}
     for conv in out:
         own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] or 0, r[2] or "", r[3] or ""))
         assert [(t["role"], t["text"]) for t in out[conv]["turns"]] == [(r[2] or "", r[3] or "") for r in own]
-    assert {c: (r["valid"], r["bad_turn"]) for c, r in out.items()} == {1: (True, None), 2: (False, 0), 3: (False, 2), 4: (False, 0), None: (False, 0)}
+    assert {c: (r["valid"], r["bad_turn"]) for c, r in out.items()} == {1: (True, None), 2: (False, 0), 3: (False, 2), 4: (False, 0)}
     assert [s["loss"] for s in out[2]["segments"]] == [False, True, False, False, False, False]
     got = {r["conv_id"]: r for r in chat_format.summary(df).collect()}
     assert got[2]["loss_sha256"] == hashlib.sha256(b"a").hexdigest() and got[2]["loss_chars"] == 1
@@ -354,16 +370,17 @@ def test_tokenizer(spark):
 
 # 7 ---------------------------------------------------------------------------------------------------------------
 def test_exact_dedup(spark):
-    rows = [(3, "a"), (1, "a"), (9, "A"), (4, None), (5, ""), (7, LONG), (8, LONG), (None, "n"), (2, "a "), (3, "a")]
+    rows = [(3, "a"), (1, "a"), (9, "A"), (4, None), (5, ""), (7, LONG), (8, LONG), (None, "n"), (2, "a "), (3, "a"), (None, "n"), (8, LONG)]
     df = docs(spark, rows).withColumn("kept", F.lit("clash"))
     for keep, hashed in (("max", exact_dedup.content_hash), ("min", exact_dedup.content_hash), ("max", lambda c: F.lit(b"x"))):
         got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in exact_dedup.duplicate_groups(df, keep=keep, hashed=hashed).collect())
         want = Counter()
-        for i, t in rows:
+        for at, (i, t) in enumerate(rows):
             own = [j for j, u in rows if (u or "") == (t or "")]
             ids = [j for j in own if j is not None]
             best = (max if keep == "max" else min)(ids, default=None)
-            want[i, best, len(own), i == best, hashlib.sha256((t or "").encode()).hexdigest()] += 1
+            first = next(n for n, (j, u) in enumerate(rows) if (u or "") == (t or "") and j == best)
+            want[i, best, len(own), at == first, hashlib.sha256((t or "").encode()).hexdigest()] += 1
         assert got == want
     stay = exact_dedup.distinct_documents(df).collect()
     assert sorted((str(r["doc_id"]), r["text"]) for r in stay) == sorted([("1", "a"), ("9", "A"), ("4", ""), ("7", LONG), ("None", "n"), ("2", "a ")])
