@@ -62,7 +62,7 @@ def described(df: DataFrame, id_col: str, text: str, source: str, lang: str, top
         name += "_"
     t = F.coalesce(F.col(text), F.lit(""))
     key = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit("mix"), t)).otherwise(F.xxhash64(F.lit("mix"), F.col(id_col)))
-    n = token_count(t)
+    df, n = df.withColumn(name, token_count(t)), F.col(name)  # a column of its own, so that it is counted once
     own = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (source, lang)]
     form_ = F.coalesce(topic if topic is not None else form(t, n), F.lit(""))
     return df.withColumn(name, F.struct((F.shiftrightunsigned(key, 11) / float(1 << 53)).alias("u"), n.alias("n"), *[c.alias(d) for d, c in zip(DIMS, (*own, form_), strict=True)])), name
