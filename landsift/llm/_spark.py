@@ -49,9 +49,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 def remove(df: DataFrame) -> None:
     """Delete a table that `cut` wrote and that nothing reads any more."""
-    jvm, path = df.sparkSession._jvm, df._landsift_path
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    discard(df.sparkSession, df._landsift_path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def by_size(batches: Iterator[pa.RecordBatch], column: int | str, rows: int = 128, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ across their borders, so above the pieces the join is concatenation. Decoding co
 
 Defined cases: a null text counts as empty and has no tokens; repeated rows are encoded each; an empty table gives an
 empty table; all input columns are kept, and input columns named like an output are replaced. A text is held whole by
-one worker; texts are taken in slices of a few hundred rows.
+one worker; texts are taken in slices of about 1 MB or one text.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ import heapq
 import re
 import uuid
 from array import array
-from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -28,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import ship
+from ._spark import by_size, ship
 
 LEAF = 24  # bytes up to which a piece is merged directly
-KEPT_PIECES, KEPT_PAIRS = 300_000, 200_000  # entries of a worker's caches; a full cache starts anew with the next text
+KEPT_PIECES, KEPT_PAIRS, KEPT_BYTES = 300_000, 200_000, 256  # entries of a worker's caches, which start anew when full, and bytes of a piece that is kept
 NEVER = 1 << 60
 
 
@@ -73,7 +72,11 @@ class Pieces(dict):
         self.encode = encode
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        self[piece] = ids = self.encode(piece)
+        ids = self.encode(piece)
+        if len(piece) <= KEPT_BYTES:
+            if len(self) >= KEPT_PIECES:
+                self.clear()
+            self[piece] = ids
         return ids
 
 
@@ -166,8 +169,6 @@ class Codec:
         return (self.narrow if self.narrow and NARROW.fullmatch(text) else self.wide).findall(text)
 
     def encode(self, text: str) -> array:
-        if len(self.pieces) >= KEPT_PIECES:
-            self.pieces.clear()
         return array("i", chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
 
     def decode(self, ids) -> bytes:
@@ -184,12 +185,6 @@ def _codec(shared, pattern: str, key: str) -> Codec:
     return _codecs[key]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded") -> DataFrame:
     """df with the token ids of `text` (array of int) and, unless `decoded` is None, the bytes that these ids decode
     to. Narrow: no shuffle; the rank table (under 1 MB for 50,000 tokens) is broadcast."""
@@ -202,7 +197,7 @@ def round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str =
 
     def run(batches):
         codec = _codec(shared, pattern, key)
-        for b in _slices(batches):
+        for b in by_size(batches, kept.index(text), rows=256):
             all_ids, ends, back = array("i"), [0], []
             for t in b.column(kept.index(text)).to_pylist():
                 own = codec.encode(t or "")
@@ -227,7 +222,7 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", decoded: st
 
     def run(batches):
         codec = _codec(shared, ".+", key)
-        for b in _slices(batches):
+        for b in (x.slice(at, 64) for x in batches for at in range(0, x.num_rows, 64)):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([codec.decode(x or ()) for x in b.column(kept.index(ids)).to_pylist()], pa.binary())], names=[*kept, decoded])
 
     return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)

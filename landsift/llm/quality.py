@@ -1,7 +1,8 @@
 """Quality classifier: document statistics, random Fourier features of a Gaussian kernel, ridge scores from
 partition-summed normal equations, isotonic calibration.
 
-All documents are measured; all labelled training rows take part in the sums (nothing is sampled). What leaves a task
+Beside the Fourier features the ridge has a linear part, the standardised statistics themselves, so that what is linear
+in them needn't be pieced together from cosines. All documents are measured; all labelled training rows take part in the sums (nothing is sampled). What leaves a task
 is one matrix of fixed size. Calibration pools adjacent violators over a histogram of 2,000 score bins, so its size is
 fixed too.
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, partition_sum, ship
+from ._spark import by_size, cut, partition_sum, remove, ship
 
 FEATURES, WIDTH, RIDGE, BINS = 24, 512, 1e-3, 2000
 LOW, HIGH = -1.0, 2.0  # range of the bins of raw scores
@@ -53,11 +54,9 @@ def measure(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     """(id, x): the statistics of each row's whole text."""
 
     def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                s = b.slice(at, 512)
-                x = np.array([statistics(t or "") for t in s.column(1).to_pylist()], dtype=np.float64).reshape(-1)
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.ListArray.from_arrays(pa.array(np.arange(s.num_rows + 1, dtype=np.int32) * FEATURES), pa.array(x))], names=["id", "x"])
+        for s in by_size(batches, 1, rows=512):
+            x = np.array([statistics(t or "") for t in s.column(1).to_pylist()], dtype=np.float64).reshape(-1)
+            yield pa.RecordBatch.from_arrays([s.column(0), pa.ListArray.from_arrays(pa.array(np.arange(s.num_rows + 1, dtype=np.int32) * FEATURES), pa.array(x))], names=["id", "x"])
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, x array<double>")
 
@@ -128,6 +127,7 @@ def fit(measured: DataFrame, labels: DataFrame, train, label: str = "quality", i
     total = partition_sum(rows.mapInArrow(normal, "sum binary"), size * size + size + 2)
     a, v, (n, good) = total[: size * size].reshape(size, size), total[size * size : -2], total[-2:]
     if good in (0, n):
+        remove(rows)
         model.points = (np.array([0.0]), np.array([good / n if n else 1.0]))
         return model
     model.beta = np.linalg.solve(a + RIDGE * n * np.diag(np.append(0, np.ones(size - 1))) + 1e-9 * n * np.eye(size), v)
@@ -140,6 +140,7 @@ def fit(measured: DataFrame, labels: DataFrame, train, label: str = "quality", i
         yield pa.RecordBatch.from_arrays([pa.array([h.tobytes()], pa.binary())], names=["sum"])
 
     good_of, all_of = partition_sum(rows.mapInArrow(histogram, "sum binary"), 2 * BINS).reshape(2, BINS)
+    remove(rows)
     fitted = isotonic(good_of, all_of)
     full = np.flatnonzero(all_of > 0)
     model.points = (LOW + (full + 0.5) * (HIGH - LOW) / BINS, fitted[full])
@@ -171,14 +172,14 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col:
 def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows that the classifier rejects; every column and row that stays is unchanged."""
     ship(docs.sparkSession)
-    model = fit(cut(measure(docs, id_col, text)), labels, ~held_out("id"), id_col=id_col)
+    measured = cut(measure(docs, id_col, text))
+    model = fit(measured, labels, ~held_out("id"), id_col=id_col)
+    remove(measured)
     schema, names = docs.schema, docs.columns
 
     def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                s = b.slice(at, 512)
-                x = np.array([statistics(t or "") for t in s.column(names.index(text)).to_pylist()], dtype=np.float64)
-                yield s.filter(pa.array(model.score(x.reshape(-1, FEATURES)) >= threshold))
+        for s in by_size(batches, names.index(text), rows=512):
+            x = np.array([statistics(t or "") for t in s.column(names.index(text)).to_pylist()], dtype=np.float64)
+            yield s.filter(pa.array(model.score(x.reshape(-1, FEATURES)) >= threshold))
 
     return docs.mapInArrow(run, schema)

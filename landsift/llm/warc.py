@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import ship
+from ._spark import by_size, ship
 
 CRLF = b"\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -114,10 +114,8 @@ def responses(pages: DataFrame, id_col: str = "page_id", url: str = "url", page:
     ship(pages.sparkSession)
 
     def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                s = b.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array([response(u, h) for u, h in zip(s.column(1).to_pylist(), s.column(2).to_pylist(), strict=True)], pa.binary())], names=["id", "record"])
+        for s in by_size(batches, 2, rows=256):
+            yield pa.RecordBatch.from_arrays([s.column(0), pa.array([response(u, h) for u, h in zip(s.column(1).to_pylist(), s.column(2).to_pylist(), strict=True)], pa.binary())], names=["id", "record"])
 
     return pages.select(F.col(id_col).cast("long").alias("id"), F.col(url).alias("url"), F.col(page).alias("page")).mapInArrow(run, f"id long, {RESPONSES}")
 
@@ -143,18 +141,17 @@ def derive(records: DataFrame) -> DataFrame:
     names = ["id", *[f.split()[0] for f in DERIVED.split(", ")]]
 
     def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 128):
-                s, out = b.slice(at, 128), [[] for _ in names]
-                for id_, data in zip(s.column(0).to_pylist(), s.column(1).to_pylist(), strict=True):
-                    for headers, block in parse(data or b""):
-                        if headers.get("warc-type") != "response":
-                            continue
-                        for kind, rid, origin, made in derivatives(headers, block):
-                            own, text = next(parse(made))
-                            for c, x in zip(out, (id_, kind, rid, origin, headers.get("warc-target-uri"), own["x-source-payload-digest"], own["warc-block-digest"], len(text), text.decode(), made), strict=True):
-                                c.append(x)
-                kinds = [pa.int64(), *[pa.string()] * 6, pa.int64(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
+        for s in by_size(batches, 1):
+            out = [[] for _ in names]
+            for id_, data in zip(s.column(0).to_pylist(), s.column(1).to_pylist(), strict=True):
+                for headers, block in parse(data or b""):
+                    if headers.get("warc-type") != "response":
+                        continue
+                    for kind, rid, origin, made in derivatives(headers, block):
+                        own, text = next(parse(made))
+                        for c, x in zip(out, (id_, kind, rid, origin, headers.get("warc-target-uri"), own["x-source-payload-digest"], own["warc-block-digest"], len(text), text.decode(), made), strict=True):
+                            c.append(x)
+            kinds = [pa.int64(), *[pa.string()] * 6, pa.int64(), pa.string(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
 
     return records.select("id", "record").mapInArrow(run, f"id long, {DERIVED}")
