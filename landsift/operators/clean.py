@@ -13,10 +13,10 @@ from ..schema import LAT, LNG, QUERY_COLUMNS, TYPES
 NUMBER = r"^[+-]?([0-9]+(_?[0-9]+)*\.?([0-9]+(_?[0-9]+)*)?|\.[0-9]+(_?[0-9]+)*)([eE][+-]?[0-9]+)?$"
 
 
-def to_double(c: Column) -> Column:
-    """A plain decimal number, or null; underscores between digits are allowed, suffixes and names are not."""
-    text = strip(c)
-    return F.when(text.rlike(NUMBER), F.regexp_replace(text, "_", "").try_cast("double"))
+def to_double(text: Column) -> Column:
+    """A plain decimal number of stripped text, or null; underscores between digits are allowed, suffixes and names are
+    not."""
+    return F.when(text.rlike(NUMBER), F.translate(text, "_", "").try_cast("double"))
 
 
 def rounded(c: Column) -> Column:
@@ -24,40 +24,35 @@ def rounded(c: Column) -> Column:
     return F.when(F.abs(c) < 9e18, F.rint(c).cast("long"))
 
 
-def parse_price(c: Column) -> Column:
-    """A positive amount; $ and , are ignored."""
-    value = rounded(to_double(F.translate(c, "$,", "")))
-    return F.when(value > 0, value)
-
-
-def parse_count(c: Column, blank_is_zero: bool = False) -> Column:
-    value = rounded(to_double(c))
-    return F.when(F.coalesce(strip(c), F.lit("")) == "", F.lit(0).cast("long")).otherwise(value) if blank_is_zero else value
-
-
 def valid_date(c: Column) -> Column:
     return c.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(c, "yyyy-MM-dd").isNotNull()
 
 
 def cleaned(raw: DataFrame) -> DataFrame:
-    """Typed columns of raw string rows, and `reason`: the first rule broken, or null. Other columns stay."""
-    text = {c: F.coalesce(strip(F.col(c)), F.lit("")) for c in ("id", "title", "description", "colonia", "municipio", "estado", "listed_date", "source")}
-    kind = F.lower(F.coalesce(strip(F.col("type")), F.lit("")))
-    price, m2, bedrooms = parse_price(F.col("price_mxn")), parse_count(F.col("m2")), parse_count(F.col("bedrooms"), True)
-    lat, lng = to_double(F.col("lat")), to_double(F.col("lng"))
+    """Typed columns of raw string rows, and `reason`: the first rule broken, or null. Other columns stay. A price's $ and
+    commas are ignored, blank bedrooms are none. Texts are stripped, read as numbers and rounded in projections of their
+    own, so that each step is worked out once a value, however often the next one names it."""
+    others = [F.col(f"`{c}`") for c in raw.columns if c not in QUERY_COLUMNS]
+
+    def step(rows: DataFrame, new: dict[str, Column]) -> DataFrame:
+        return rows.select(*others, *[new.get(c, F.col(c)).alias(c) for c in QUERY_COLUMNS])
+
+    rows = step(raw, {c: F.coalesce(strip(F.translate(c, "$,", "") if c == "price_mxn" else F.col(c)), F.lit("")) for c in QUERY_COLUMNS})
+    numbers = {c: to_double(F.col(c)) for c in ("price_mxn", "m2", "lat", "lng")} | {"bedrooms": F.when(F.col("bedrooms") == "", 0.0).otherwise(to_double(F.col("bedrooms")))}
+    rows = step(rows, numbers | {"type": F.lower("type")})
+    rows = step(rows, {c: rounded(F.col(c)) for c in ("price_mxn", "m2", "bedrooms")})
+    rows = step(rows, {"price_mxn": F.when(F.col("price_mxn") > 0, F.col("price_mxn"))})
     broken = [
-        (text["id"] == "", "missing_id"),
-        (price.isNull(), "bad_price"),
-        (~F.coalesce(m2 > 0, F.lit(False)), "bad_m2"),
-        (~F.coalesce(bedrooms >= 0, F.lit(False)), "bad_bedrooms"),
-        (~kind.isin(*TYPES), "bad_type"),
-        ((text["colonia"] == "") | (text["municipio"] == "") | (text["estado"] == ""), "missing_location"),
-        (~F.coalesce(lat.between(*LAT) & lng.between(*LNG), F.lit(False)), "bad_coords"),
-        (~valid_date(text["listed_date"]), "bad_date"),
+        (F.col("id") == "", "missing_id"),
+        (F.col("price_mxn").isNull(), "bad_price"),
+        (~F.coalesce(F.col("m2") > 0, F.lit(False)), "bad_m2"),
+        (~F.coalesce(F.col("bedrooms") >= 0, F.lit(False)), "bad_bedrooms"),
+        (~F.col("type").isin(*TYPES), "bad_type"),
+        ((F.col("colonia") == "") | (F.col("municipio") == "") | (F.col("estado") == ""), "missing_location"),
+        (~F.coalesce(F.col("lat").between(*LAT) & F.col("lng").between(*LNG), F.lit(False)), "bad_coords"),
+        (~valid_date(F.col("listed_date")), "bad_date"),
     ]
-    reason = F.coalesce(*[F.when(test, F.lit(name)) for test, name in broken])
-    typed = text | {"price_mxn": price, "m2": m2, "bedrooms": bedrooms, "type": kind, "lat": lat, "lng": lng}
-    return raw.select(*[c for c in raw.columns if c not in QUERY_COLUMNS], *[typed[c].alias(c) for c in QUERY_COLUMNS], reason.alias("reason"))
+    return rows.withColumn("reason", F.coalesce(*[F.when(test, F.lit(name)) for test, name in broken]))
 
 
 def first_of_id(rows: DataFrame, *order: str) -> DataFrame:

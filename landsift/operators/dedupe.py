@@ -23,6 +23,7 @@ def parents(rows: DataFrame, hashed: bool = True) -> DataFrame:
         (simhash64(F.coalesce("description", F.lit(""))) if hashed else F.col("simhash")).alias("simhash"),
         floor_div(F.col("lat"), CELL_DEGREES).alias("x"), floor_div(F.col("lng"), CELL_DEGREES).alias("y"),
     )
+    base = cut(base)  # fingerprints are made once, not on both sides of the join
     around = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.struct(i.alias("order"), (F.col("x") + F.floor(i / 3) - 1).alias("x"), (F.col("y") + i % 3 - 1).alias("y")))
     later = base.withColumn("near", F.explode(around)).alias("a")
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.filterlang import apply_filter
-from ..schema import QUERY_COLUMNS, SLICE_COLUMNS
+from ..schema import QUERY_COLUMNS, SLICE_COLUMNS, TABLE_COLUMNS
 
 ROWS, SLICE_ROWS, TABLE_ROWS, MARKERS = 20, 5000, 300, 400
 
@@ -46,8 +46,11 @@ def sort_listings(df: DataFrame, field: str, direction: str = "asc", order: str
     return df.orderBy(key.asc() if direction == "asc" else key.desc(), F.asc(order))
 
 
-def table_rows(df: DataFrame, rows: int = TABLE_ROWS) -> DataFrame:
-    return df.limit(rows)
+def table_rows(df: DataFrame, field: str = "listed_date", direction: str = "desc", rows: int = TABLE_ROWS) -> DataFrame:
+    """The explorer's table: its 8 columns of the first rows by one of them."""
+    if field not in TABLE_COLUMNS:
+        raise ValueError(f"{field!r} is not a column of the table: {', '.join(TABLE_COLUMNS)}")
+    return sort_listings(df, field, direction).limit(rows).select(*TABLE_COLUMNS)
 
 
 def strided(df: DataFrame, order: list, most: int = MARKERS) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import clean, dedupe, enrich, explore, stats
-from ..schema import PRICE_LADDER
-from ..sources import generate
-from ..sources.store import ship
+from ..schema import PRICE_LADDER, QUERY_COLUMNS
+from ..sources import generate, readers, writers
+from ..sources.store import cut, scratch, ship
 from . import fixtures, quickfilter
 
 _QUERIES: dict = {}
@@ -95,11 +97,15 @@ def q_hist_equal(spark, sf_dir):
     return stats.equal_width(fixtures.listings(spark, sf_dir)).withColumns({"low": F.round("low", 4), "high": F.round("high", 4)})
 
 
-@register(f"""with {fixtures.LISTINGS_SQL}, towns as (select colonia, municipio, count(*) as n, min(id) as first from listings where m2 > 0 group by colonia, municipio),
-    mode as (select colonia, municipio, row_number() over (partition by colonia order by n desc, first) as rn from towns)
-    select l.colonia, m.municipio, count(*) as count, round(median(cast(price_mxn as double) / m2), 4) as median_price_per_m2 from listings l join mode m on m.colonia = l.colonia and rn = 1 where m2 > 0 group by l.colonia, m.municipio""")
+@register(f"""with {fixtures.LISTINGS_SQL}, named as (select id, m2, price_mxn, municipio, colonia || ' ' || cast(bedrooms as varchar) || ' ' || left(title, 1) as colonia from listings where m2 > 0),
+    towns as (select colonia, municipio, count(*) as n, min(id) as first from named group by colonia, municipio),
+    mode as (select colonia, municipio, row_number() over (partition by colonia order by n desc, first) as rn, min(first) over (partition by colonia) as seen from towns)
+    select l.colonia, m.municipio, count(*) as count, round(median(cast(price_mxn as double) / m2), 4) as median_price_per_m2 from named l join mode m on m.colonia = l.colonia and rn = 1
+    group by l.colonia, m.municipio, seen order by median(cast(price_mxn as double) / m2) desc, seen limit 20""")
 def q_colonia_ranking(spark, sf_dir):
-    return stats.colonia_ranking(fixtures.listings(spark, sf_dir)).withColumn("median_price_per_m2", F.round("median_price_per_m2", 4))
+    """The 20 dearest of 150 neighbourhoods."""
+    rows = fixtures.listings(spark, sf_dir).withColumn("colonia", F.concat_ws(" ", "colonia", F.col("bedrooms").cast("string"), F.substring("title", 1, 1)))
+    return stats.colonia_ranking(rows).withColumn("median_price_per_m2", F.round("median_price_per_m2", 4))
 
 
 _JUDGED = f"""{fixtures.RAW_SQL}, typed as (
@@ -231,9 +237,25 @@ def q_stride(spark, sf_dir):
     return explore.strided(rows, [F.desc("listed_date"), F.asc("id")]).select("id")
 
 
-@register(f"with {fixtures.LISTINGS_SQL} select id, municipio from listings where lat is not null and not (lat = 0 and lng = 0)")
+@register(f"with {fixtures.LISTINGS_SQL} select id, municipio, cast(row_number() over (order by municipio, id) as integer) as place from listings where lat is not null and not (lat = 0 and lng = 0)")
 def q_sort_locale(spark, sf_dir):
-    return explore.sort_listings(explore.plottable(fixtures.listings(spark, sf_dir)), "municipio").select("id", "municipio")
+    """The place of each row in the sorted output, as it is written."""
+    return _placed(explore.sort_listings(explore.plottable(fixtures.listings(spark, sf_dir)), "municipio").select("id", "municipio"))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows with their place in the order that they have: partitions of a sorted table follow one another, and ids rise
+    within each, so the place is the number of rows in earlier partitions and of earlier rows in one's own."""
+    held = cut(rows.withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}))
+    before = {r["_p"]: r["n"] for r in held.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
+    starts = [(p, sum(n for q, n in before.items() if q < p)) for p in before]
+    offset = rows.sparkSession.createDataFrame(starts, "_p int, _start long")
+    return held.join(F.broadcast(offset), "_p").select(*rows.columns, (F.col("_start") + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int").alias("place"))
+
+
+@register(f"with {fixtures.LISTINGS_SQL}, top as (select * from listings order by price_mxn desc, id limit 300) select title, price_mxn, m2, bedrooms, type, colonia, municipio, listed_date from top")
+def q_table_columns(spark, sf_dir):
+    return explore.table_rows(fixtures.listings(spark, sf_dir), "price_mxn", "desc")
 
 
 @register(f"with {fixtures.LISTINGS_SQL} select id, {', '.join(f'cast(floor(({c} - {m}) / 0.01) + (case when ({c} - {m}) / 0.01 - floor(({c} - {m}) / 0.01) > 0.5 then 1 else 0 end) as bigint) as {c}_cell' for c, m in (('lat', '(lat % 0.01)'), ('lng', '(case when lng % 0.01 < 0 then (lng % 0.01 + 0.01) % 0.01 else lng % 0.01 end)')))} from listings")
@@ -256,8 +278,83 @@ def q_union_sources(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register()
+def _uniform(salt: str) -> str:
+    return f"(('0x' || substr(md5(cast(n as varchar) || ':{salt}'), 1, 13))::bigint / 4503599627370496.0)"
+
+
+@register(f"""with numbers as (select unnest(range((select count(*) from orders))) as n), drawn as (select {_uniform("dup")} as dup, {_uniform("broken")} as broken, cast(floor({_uniform("fault")} * 5) as integer) as fault from numbers),
+    reasons as (select 'kept' as reason from drawn union all select 'kept' from drawn where dup < 0.03
+        union all select case fault when 1 then 'bad_m2' when 2 then 'bad_type' when 3 then 'missing_location' else 'bad_price' end from drawn where broken < 0.01)
+    select reason, count(*) as n from reasons group by reason""")
 def q_generated(spark, sf_dir):
     """Drop reasons of generated listings, as many as there are orders."""
     raw = generate.generate(spark, fixtures.table(spark, sf_dir, "orders").count())
     return clean.drop_statistics(clean.first_of_id(clean.cleaned(raw), "id"))
+
+
+_MESSY = """messy as (select 'S' || cast(s_suppkey as varchar) as id, 'Señal "' || cast(s_suppkey as varchar) || '", día ' || cast(s_nationkey as varchar) as title,
+    case when s_suppkey % 3 = 0 then 'línea uno' || chr(10) || 'línea, dos' else ' ñandú ' end as description, cast(s_nationkey * 1000 + 5 as varchar) as price_mxn, '80' as m2, '' as bedrooms, 'Casa' as type,
+    'Peñón' as colonia, 'Mérida' as municipio, 'Yucatán' as estado, '20.5' as lat, '-89.5' as lng, '2024-05-06' as listed_date,
+    case s_suppkey % 3 when 0 then 'a' when 1 then 'b' else 'c' end as source from supplier)"""
+
+
+@register(f"with {_MESSY} select id, title, description, price_mxn, m2, bedrooms, type, colonia, municipio, estado, lat, lng, listed_date, source from messy")
+def q_roundtrip_csv(spark, sf_dir):
+    """Raw listings written as CSV files, those of one source in Latin-1, and read again by their bytes' encoding."""
+    sql = _MESSY.removeprefix("messy as (").removesuffix(")").replace(" as varchar)", " as string)").replace("from supplier", "from {supplier}")
+    folder = f"{scratch(spark)}/roundtrip-{uuid.uuid4().hex}"
+    writers.write_raw(spark.sql(sql, supplier=fixtures.table(spark, sf_dir, "supplier")), folder, ("b",))
+    return readers.raw_listings(spark, folder).select(*[F.coalesce(c, F.lit("")).alias(c) for c in QUERY_COLUMNS])
+
+
+@register(f"with {fixtures.LISTINGS_SQL} select {COLS}, dup_of, cast(null as varchar) as ageb_id, cast(null as varchar) as marginacion_grade, cast(null as double) as marginacion_index from listings")
+def q_roundtrip_table(spark, sf_dir):
+    """The stored table, written, replaced by itself and read."""
+    path = f"{scratch(spark)}/stored-{uuid.uuid4().hex}"
+    writers.store(fixtures.listings(spark, sf_dir), path)
+    writers.replace(readers.stored(spark, path), path)
+    return readers.stored(spark, path)
+
+
+@register(f"with {fixtures.LISTINGS_SQL} select id, title, price_mxn, m2, bedrooms, type, colonia, municipio, estado, lat, lng, listed_date from listings where dup_of is null order by listed_date desc, id limit 5000")
+def q_roundtrip_json(spark, sf_dir):
+    """The explorer's slice as a JSON array, written and read."""
+    folder = f"{scratch(spark)}/slice-{uuid.uuid4().hex}"
+    text_ = writers.slice_text(explore.web_slice(fixtures.listings(spark, sf_dir)))  # 5,000 rows by its definition
+    spark.createDataFrame([(text_,)], "value string").coalesce(1).write.text(folder)
+    return readers.slice_json(spark, folder)
+
+
+_RING_GEOJSON = """shapes as (select n_nationkey as k, cast(n_nationkey % 5 as double) / 4 as lat, cast(n_nationkey as double) / 8 - 99 as lng, n_name as town from nation)"""
+
+
+@register(f"with {_RING_GEOJSON} select cast(row_number() over (order by k) - 1 as bigint) as ordinal, 'P' || cast(k as varchar) as ageb_id, town as municipio, lat as min_lat, lng as min_lng, lat + 0.5 as max_lat, lng + 0.25 as max_lng from shapes")
+def q_source_geojson(spark, sf_dir):
+    """A FeatureCollection of a square a nation, read with places and boxes."""
+    folder = f"{scratch(spark)}/shapes-{uuid.uuid4().hex}"
+    sql = _RING_GEOJSON.removeprefix("shapes as (").removesuffix(")").replace("from nation", "from {nation}")
+    rows = spark.sql(sql, nation=fixtures.table(spark, sf_dir, "nation"))
+    corner = lambda dy, dx: F.array(F.col("lng") + dx, F.col("lat") + dy)
+    feature = F.struct("k", F.struct(F.concat(F.lit("P"), F.col("k").cast("string")).alias("CVEGEO"), F.col("town").alias("NOM_MUN")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(F.array(corner(0, 0), corner(0.5, 0), corner(0.5, 0.25), corner(0, 0.25))).alias("coordinates")).alias("geometry"))
+    whole = rows.agg(F.sort_array(F.collect_list(feature)).alias("features")).select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value"))
+    whole.coalesce(1).write.text(folder)
+    return readers.polygons(spark, folder).drop("ring")
+
+
+@register(f"with {_hashes_sql('customer', 'c_custkey', 'c_name')} select k as c_custkey, simhash as arrow, simhash as sql, 0 as bits from hashed")
+def q_simhash_kernels(spark, sf_dir):
+    """Both fingerprint kernels over the same texts."""
+    ship(spark)
+    both = fixtures.table(spark, sf_dir, "customer").select("c_custkey", text.fingerprint(F.col("c_name")).alias("arrow"), text.fingerprint(F.col("c_name"), "sql").alias("sql"))
+    return both.withColumn("bits", text.hamming(F.col("arrow"), F.col("sql")))
+
+
+@register(f"""with {fixtures.LISTINGS_SQL}, {fixtures.DIAMONDS_SQL}, points as (select distinct lat, lng from listings),
+    near as (select * from points join corners on lat between y - 0.03 and y + 0.03 and lng between x - 0.02 and x + 0.02),
+    tested as (select lat, lng, ordinal, bool_or((blng - alng) * (lat - alat) - (blat - alat) * (lng - alng) = 0 and lat between least(alat, blat) and greatest(alat, blat) and lng between least(alng, blng) and greatest(alng, blng)) as edge,
+        sum(case when (alat > lat) <> (blat > lat) then case when lng < (blng - alng) * (lat - alat) / (blat - alat) + alng then 1 else 0 end else 0 end) as n from near group by lat, lng, ordinal),
+    found as (select lat, lng, min(ordinal) as ordinal from tested where edge or n % 2 = 1 group by lat, lng)
+    select id, 'R' || cast(ordinal as varchar) as ageb_id from listings left join found using (lat, lng)""")
+def q_pip_many(spark, sf_dir):
+    """All listings against 2,000 rings."""
+    return enrich.batch_assign(fixtures.listings(spark, sf_dir), fixtures.diamonds(spark))

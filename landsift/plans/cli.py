@@ -15,6 +15,7 @@ from ..sources import readers, writers
 from .filterlang import FilterError, apply_filter, to_number
 
 TABLE = "data/listings.parquet"
+#: Commands, option names and what they default to are the interface; the wording is our own.
 USAGE = f"""landsift - questions to a stored listings table
 
   landsift query [expr] [--db path] [--limit N] [--columns a,b,c] [--json]
@@ -43,7 +44,7 @@ def parse_args(argv: list[str]) -> tuple[list[str], dict[str, str | bool]]:
 
 def text_option(options: dict, key: str) -> str | None:
     if options.get(key) is True:
-        raise ValueError(f"Option --{key} requires a value")
+        raise ValueError(f"--{key} was given without its value")
     return options.get(key)
 
 
@@ -52,7 +53,7 @@ def number_option(options: dict, key: str) -> float | None:
     if raw is None:
         return None
     if (n := to_number(raw)) is None:
-        raise ValueError(f"Option --{key} expects a number, got {raw!r}")
+        raise ValueError(f"--{key} takes a number; {raw!r} is none")
     return n
 
 
@@ -64,7 +65,7 @@ def _query(df, expr, options, say: Callable[[str], None]) -> None:
     if options.get("json"):
         say(json.dumps(rows, ensure_ascii=False, indent=2))
         return
-    more = f", showing first {limit:g} - pass --limit to see more" if limit > 0 and len(rows) == limit else ""
+    more = f"; --limit cut the list at {limit:g}" if limit > 0 and len(rows) == limit else ""
     say(writers.text_table(rows, out.columns))
     say(f"({len(rows)} row{'' if len(rows) == 1 else 's'}{more})")
 
@@ -91,7 +92,7 @@ def _export(df, expr, options, say: Callable[[str], None]) -> None:
     writers.pick_format(kind, out)
     rows = explore.newest(apply_filter(df, expr)).select(*explore.resolve_columns(text_option(options, "columns")))
     text, n = writers.export(rows, kind, out)
-    say(f"Exported {n} row{'' if n == 1 else 's'} ({writers.pick_format(kind, out)}) -> {os.path.abspath(out)}" if out else text.removesuffix("\n"))
+    say(f"{n} row{'' if n == 1 else 's'} as {writers.pick_format(kind, out)} in {os.path.abspath(out)}" if out else text.removesuffix("\n"))
 
 
 def main(argv: list[str], spark: SparkSession | None = None, say: Callable[[str], None] = print, complain: Callable[[str], None] | None = None) -> int:
@@ -105,7 +106,7 @@ def main(argv: list[str], spark: SparkSession | None = None, say: Callable[[str]
         say(USAGE)
         return 0
     if argv[0] not in commands:
-        complain(f"Unknown command {argv[0]!r}\n\n{USAGE}")
+        complain(f"no such command: {argv[0]}\n\n{USAGE}")
         return 1
     try:
         spark = spark or SparkSession.builder.appName("landsift").getOrCreate()

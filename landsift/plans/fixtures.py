@@ -118,3 +118,19 @@ def polygons(spark: SparkSession, towns: DataFrame | None = None) -> DataFrame:
 
 
 EDGES_SQL = "edges(ordinal, ageb_id, alat, alng, blat, blng) as (values " + ", ".join(f"({o}, '{i}', cast({a[0]!r} as double), cast({a[1]!r} as double), cast({b[0]!r} as double), cast({b[1]!r} as double))" for o, i, r in RINGS if len(r) > 2 for a, b in zip(r, r[1:] + r[:1], strict=True)) + ")"
+
+
+def diamonds(spark: SparkSession) -> DataFrame:
+    """2,000 diamonds, 40 by 50, that overlap their neighbours: rings of four vertices around y, x."""
+    from ..sources.readers import boxed
+
+    y, x = (F.lit(19.0) + (F.col("id") % 40).cast("double") / 40), (F.lit(-99.8) + F.floor(F.col("id") / 40).cast("double") / 62.5)
+    corner = lambda dy, dx: F.struct((y + dy).alias("lat"), (x + dx).alias("lng"))
+    ring = F.array(corner(0.02, 0.0), corner(0.0, 0.0125), corner(-0.02, 0.0), corner(0.0, -0.0125))
+    return boxed(spark.range(2000).select(F.col("id").alias("ordinal"), F.concat(F.lit("R"), F.col("id").cast("string")).alias("ageb_id"), ring.alias("ring")))
+
+
+DIAMONDS_SQL = """centres as (select r as ordinal, cast(19.0 as double) + cast(r % 40 as double) / 40 as y, cast(-99.8 as double) + cast(r // 40 as double) / 62.5 as x from (select unnest(range(2000)) as r)),
+    corners as (select ordinal, y, x, unnest([{'a': y + 0.02::double, 'b': x + 0.0::double, 'c': y + 0.0::double, 'd': x + 0.0125::double}, {'a': y + 0.0::double, 'b': x + 0.0125::double, 'c': y + -0.02::double, 'd': x + 0.0::double},
+        {'a': y + -0.02::double, 'b': x + 0.0::double, 'c': y + 0.0::double, 'd': x + -0.0125::double}, {'a': y + 0.0::double, 'b': x + -0.0125::double, 'c': y + 0.02::double, 'd': x + 0.0::double}]) as e from centres)""".replace("corners as (", "listed as (", 1) + """,
+    corners as (select ordinal, y, x, e.a as alat, e.b as alng, e.c as blat, e.d as blng from listed)"""

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import sys
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import clean, dedupe, enrich, explore, stats
-from ..sources import readers, writers
+from ..sources import generate, readers, writers
 from ..sources.store import cut
 
 
@@ -54,3 +56,39 @@ def write_summary(spark: SparkSession, table: str, out: str) -> dict:
 
 def export_slice(spark: SparkSession, table: str, out: str, rows: int = explore.SLICE_ROWS) -> int:
     return writers.write_slice(explore.web_slice(readers.stored(spark, table), rows), out)
+
+
+def make(spark: SparkSession, raw: str, rows: str = "97000") -> dict:
+    """Generated listings as raw CSV files, those of the second source in Latin-1."""
+    writers.write_raw(generate.generate(spark, int(rows)), raw, (generate.SOURCES[1],))
+    return {"files": len(readers.listing_files(spark, raw))}
+
+
+#: stage -> (function, its arguments as the command line takes them)
+STAGES: dict[str, tuple[Callable, str]] = {
+    "generate": (make, "RAW [ROWS]"),
+    "build": (build, "RAW TABLE"),
+    "relabel": (relabel, "TABLE"),
+    "locate": (locate, "TABLE POLYGONS ATTRIBUTES"),
+    "summary": (lambda spark, table, out: {"groups": len(write_summary(spark, table, out)["by_colonia"])}, "TABLE OUT"),
+    "slice": (lambda spark, table, out, rows=explore.SLICE_ROWS: {"rows": export_slice(spark, table, out, int(rows))}, "TABLE OUT [ROWS]"),
+}
+
+
+def main(argv: list[str], spark: SparkSession | None = None, say: Callable[[str], None] = print) -> int:
+    """python -m landsift.plans.pipeline STAGE ARGUMENT...: one stage, whose figures are printed as JSON."""
+    usage = "\n".join(f"python -m landsift.plans.pipeline {name} {words}" for name, (_, words) in STAGES.items())
+    if not argv or argv[0] not in STAGES:
+        say(usage)
+        return 1
+    run, words = STAGES[argv[0]]
+    most = len(words.split())
+    if not most - words.count("[") <= len(argv) - 1 <= most:
+        say(usage)
+        return 1
+    say(json.dumps(run(spark or SparkSession.builder.appName("landsift").getOrCreate(), *argv[1:]), ensure_ascii=False))
+    return 0
+
+
+if __name__ == "__main__":
+    sys.exit(main(sys.argv[1:]))

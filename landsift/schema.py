@@ -32,9 +32,13 @@ ENRICHED = tuple(LISTING.names[15:])
 RAW = T.StructType([T.StructField(n, _STRING) for n in QUERY_COLUMNS])
 #: The 12 columns of the explorer's slice.
 SLICE_COLUMNS = ("id", "title", "price_mxn", "m2", "bedrooms", "type", "colonia", "municipio", "estado", "lat", "lng", "listed_date")
+#: The 8 columns of the explorer's table.
+TABLE_COLUMNS = ("title", "price_mxn", "m2", "bedrooms", "type", "colonia", "municipio", "listed_date")
 #: Filter field -> column.
 FIELDS = {"price": "price_mxn", "m2": "m2", "bedrooms": "bedrooms", "type": "type", "colonia": "colonia", "municipio": "municipio", "listed": "listed_date"}
 NUMERIC = frozenset({"price", "m2", "bedrooms"})
+#: Types, bounds of coordinates, duplicate thresholds (bits, metres, m2) and grid, the state that is enriched
+#: and the share of its rows that should get a polygon.
 TYPES = ("casa", "departamento", "terreno", "local")
 LAT, LNG = (14.0, 33.0), (-118.5, -86.0)
 #: Upper bounds of the price ladder; the last bucket is open.

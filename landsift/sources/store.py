@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,9 +15,12 @@ ROOT = Path(__file__).resolve().parents[2]
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; only where it is unset (tests) a temporary one."""
+    """The shared folder of spark.checkpoint.dir. Where it is unset, a session in one process (master local) gets a
+    temporary one; a cluster gets an error, as its executors couldn't read such a folder."""
     held = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not held:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='landsift-')}")
         held = spark.sparkContext.getCheckpointDir()
     return held

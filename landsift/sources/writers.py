@@ -20,8 +20,8 @@ def store(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """A stored table by one that is derived from it: written beside it, then swapped by renames, so that readers see
-    the old table or the new one."""
+    """A stored table by one that is derived from it: written beside it, then swapped by two renames. Readers see the old
+    table or the new one, or for a moment between the renames none."""
     spark = df.sparkSession
     new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     store(df, new)
@@ -33,14 +33,24 @@ def replace(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, folder: str) -> None:
-    """CSV files with a header, distributed; quotes only where needed, null as nothing."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(folder)
+    """CSV files with a header, distributed; quotes only where needed, blanks kept, null as nothing."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
 
 
 def write_raw(df: DataFrame, folder: str, latin1: tuple[str, ...] = ()) -> None:
-    """One folder of CSV files for each source; those of `latin1` in that encoding."""
-    for name, rows in (("ISO-8859-1", df.filter(F.col("source").isin(*latin1))), ("UTF-8", df.filter(~F.col("source").isin(*latin1)))):
-        rows.withColumn("file", F.col("source")).write.mode("append").option("header", True).option("escape", '"').option("encoding", name).partitionBy("file").csv(folder)
+    """CSV files listings_<source>_<number>.csv of each source, those of `latin1` in that encoding: what
+    readers.raw_listings takes."""
+    spark, place = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    fs = place(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name, rows in (("ISO-8859-1", df.filter(F.col("source").isin(*latin1))), ("UTF-8", df.filter(~F.coalesce(F.col("source").isin(*latin1), F.lit(False))))):
+        made = f"{folder}/_{uuid.uuid4().hex}"
+        rows.withColumn("file", F.coalesce("source", F.lit(""))).write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("encoding", name).partitionBy("file").csv(made)
+        found = fs.globStatus(place(f"{made}/file=*/part-*"))
+        for i, status in enumerate(found or []):
+            at = status.getPath()
+            source = at.getParent().getName().removeprefix("file=")
+            fs.rename(at, place(f"{folder}/listings_{source}_{i}.csv"))
+        fs.delete(place(made), True)
 
 
 def csv_text(rows: list, columns: list[str]) -> str:
@@ -73,12 +83,17 @@ def export(df: DataFrame, format: str | None = None, out: str | None = None) ->
     return text, len(rows)
 
 
+def slice_text(df: DataFrame) -> str:
+    """A compact JSON array of a slice that is capped already."""
+    return json.dumps([r.asDict() for r in df.collect()], ensure_ascii=False, separators=(",", ":"))
+
+
 def write_slice(df: DataFrame, out: str) -> int:
-    """A compact JSON array of a slice that is capped already; returns its rows."""
-    rows = [json.dumps(r.asDict(), ensure_ascii=False, separators=(",", ":")) for r in df.collect()]
+    """slice_text as a file; returns its rows."""
+    text = slice_text(df)
     with open(out, "w", encoding="utf-8") as f:
-        f.write("[" + ",".join(rows) + "]")
-    return len(rows)
+        f.write(text)
+    return len(json.loads(text))
 
 
 def number(value, digits: int = 0) -> str:
@@ -98,4 +113,4 @@ def text_table(rows: list[dict], columns: list[str]) -> str:
     return "\n".join("  ".join(v.ljust(w) for v, w in zip(line, widths, strict=True)) for line in (columns, ["-" * w for w in widths], *cells))
 
 
-__all__ = ["QUERY_COLUMNS", "csv_text", "export", "json_text", "number", "pick_format", "replace", "short_money", "store", "text_table", "write_csv", "write_raw", "write_slice"]
+__all__ = ["QUERY_COLUMNS", "csv_text", "export", "json_text", "number", "pick_format", "replace", "short_money", "slice_text", "store", "text_table", "write_csv", "write_raw", "write_slice"]

@@ -21,7 +21,13 @@ def filtered(stream: DataFrame, expr: str | None) -> DataFrame:
 
 
 def located(stream: DataFrame, polygons: DataFrame) -> DataFrame:
-    """Rows of the stream with each polygon of their municipality that holds them (ordinal, ageb_id), or null."""
-    p = polygons.select(F.col("municipio").alias("_town"), "ordinal", "ageb_id", "ring", "min_lat", "max_lat", "min_lng", "max_lng")
-    inside = (F.col("municipio") == F.col("_town")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat")) & F.col("lng").between(F.col("min_lng"), F.col("max_lng")) & point_in_polygon(F.col("lat"), F.col("lng"), F.col("ring"))
-    return stream.join(p, inside, "left").drop("_town", "ring", "min_lat", "max_lat", "min_lng", "max_lng")
+    """Rows of the stream with the first polygon by ordinal of their municipality that holds them (ordinal, ageb_id), or
+    null: one row each. A town's polygons are a static list, so nothing is kept between batches."""
+    box = ("min_lat", "min_lng", "max_lat", "max_lng")
+    towns = polygons.groupBy(F.col("municipio").alias("_town")).agg(F.sort_array(F.collect_list(F.struct("ordinal", "ageb_id", "ring", *box))).alias("_rings"))
+
+    def holds(p):
+        return F.col("lat").between(p["min_lat"], p["max_lat"]) & F.col("lng").between(p["min_lng"], p["max_lng"]) & point_in_polygon(F.col("lat"), F.col("lng"), p["ring"])
+
+    first = F.get(F.filter("_rings", holds), F.lit(0))
+    return stream.join(towns, F.col("municipio") == F.col("_town"), "left").withColumns({"ordinal": first["ordinal"], "ageb_id": first["ageb_id"]}).drop("_town", "_rings")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from landsift.functions import geo, text
 from landsift.operators import clean, dedupe, enrich, explore, stats
-from landsift.plans import cli, pipeline, quickfilter
+from landsift.plans import cli, fixtures, pipeline, quickfilter
 from landsift.schema import LISTING, QUERY_COLUMNS
 from landsift.sources import generate, readers, writers
 from landsift.streaming import gate
@@ -186,7 +186,7 @@ def test_pipeline_and_cli(spark, tmp_path):
 
     said: list[str] = []
     run = lambda *a: (said.clear(), cli.main([*a, "--db", table], spark, said.append, said.append))[1]
-    assert run("query", "colonia:roma", "--columns", "id,m2", "--limit=1") == 0 and said == ["id  m2\n--  --\nB   80", "(1 row, showing first 1 - pass --limit to see more)"]
+    assert run("query", "colonia:roma", "--columns", "id,m2", "--limit=1") == 0 and said == ["id  m2\n--  --\nB   80", "(1 row; --limit cut the list at 1)"]
     assert run("stats", "--by", "type") == 0 and said[0] == "listings: 3" and "by type" in said[4]
     assert run("export", "id=" + "x") == 1 and said[0].endswith("(position 0)")
     assert run("export", "price>0", "--out", str(tmp_path / "o.csv"), "--columns", "colonia") == 0 and (tmp_path / "o.csv").read_text() == 'colonia\nRoma\nRoma\n"La ""Villa"", N"\n'
@@ -210,3 +210,55 @@ def test_streaming_parts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("gate").count() == 1
+
+
+def test_points_are_drawn_inside_polygons(spark):
+    rings = fixtures.polygons(spark).withColumn("municipio", F.lit("Centro"))
+    inside = {r["ageb_id"]: [(p["lat"], p["lng"]) for p in r["ring"]] for r in rings.collect() if len(r["ring"]) > 2}
+    rows = spark.range(300).select(F.col("id").alias("n"), F.when(F.col("id") % 3 == 0, "Zapopan").otherwise("Centro").alias("municipio"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lng"))
+    got = generate.points_in(rows, rings).collect()
+    assert len(got) == 300
+    for r in got:
+        if r["municipio"] == "Zapopan":
+            assert (r["lat"], r["lng"]) == (1.0, 2.0)
+        else:
+            assert any(py_inside(r["lat"], r["lng"], ring) for ring in inside.values())
+    thin = spark.createDataFrame([(0, "Centro", [(0.0, 0.0), (1.0, 0.0), (2.0, 0.0)], 0.0, 0.0, 2.0, 0.0)], "ordinal long, municipio string, ring array<struct<lat:double,lng:double>>, min_lat double, min_lng double, max_lat double, max_lng double")
+    assert {(r["lat"], r["lng"]) for r in generate.points_in(rows.filter("municipio = 'Centro'"), thin).collect()} == {(1.0, 0.0)}
+
+
+def test_generated_rows_follow_their_context(spark):
+    context = spark.createDataFrame([("Centro", 3, 20000.0), ("Mérida", 1, 90000.0), ("Elsewhere", 9, 1.0)], "municipio string, weight long, price_base double")
+    got = generate.primaries(spark, 2000, context).groupBy("municipio").agg(F.count("*").alias("n"), F.avg(F.when(F.col("type") == "casa", F.col("price_mxn") / F.col("m2"))).alias("p")).collect()
+    by = {r["municipio"]: r for r in got}
+    assert set(by) == {"Centro", "Mérida"} and 2.4 < by["Centro"]["n"] / by["Mérida"]["n"] < 3.7 and by["Mérida"]["p"] > 3 * by["Centro"]["p"]
+
+
+def test_streamed_rows_get_the_first_polygon(spark, tmp_path):
+    rings = fixtures.polygons(spark).withColumn("municipio", F.lit("Centro"))
+    points = [("a", "Centro", 19.15, -99.15), ("b", "Centro", 19.3, -99.2), ("c", "Centro", 0.0, 0.0), ("d", "Else", 19.15, -99.15), ("e", "Centro", None, None)]
+    rows = spark.createDataFrame(points, "id string, municipio string, lat double, lng double")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = gate.located(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), rings)
+    query = stream.writeStream.format("memory").queryName("located").trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert {r["id"]: r["ageb_id"] for r in spark.table("located").collect()} == {"a": "A1", "b": "A2", "c": None, "d": None, "e": None}
+
+
+def test_batch_stages_from_the_command_line(spark, tmp_path):
+    said: list[str] = []
+    run = lambda *a: (said.clear(), pipeline.main([*map(str, a)], spark, said.append))[1]
+    assert run() == 1 and run("build", "x") == 1 and run("nothing") == 1
+    assert run("generate", tmp_path / "raw", 400) == 0 and json.loads(said[0])["files"] >= 4
+    assert run("build", tmp_path / "raw", tmp_path / "table") == 0
+    done = json.loads(said[0])
+    assert done["rows"] + done["dropped"] == done["read"] and done["rows"] >= 400 and done["duplicates"] > 0
+    assert run("relabel", tmp_path / "table") == 0 and json.loads(said[0])["duplicates"] == done["duplicates"]
+    assert run("summary", tmp_path / "table", tmp_path / "s.json") == 0 and run("slice", tmp_path / "table", tmp_path / "t.json", 7) == 0 and json.loads(said[0]) == {"rows": 7}
+
+
+def test_kernels_agree(spark):
+    rows = spark.createDataFrame([("Hola, año 2024",), ("",), (None,), ("a a b",), ("日本 x-y_z",), ("W" * 300,)], "t string")
+    assert all(r["a"] == r["b"] for r in rows.select(text.fingerprint(F.col("t")).alias("a"), text.fingerprint(F.col("t"), "sql").alias("b")).collect())
+    with pytest.raises(ValueError):
+        text.fingerprint(F.col("t"), "other")
