@@ -7,7 +7,7 @@ tokens until every marginal has what it was dealt, under the bound that no cell
 would, or whose value gives all it has, is held at its tokens, and the others are raked again. A document's probability is its cell's wanted over its
 available tokens, and it stays if a hash of its id falls below that: the choice is the same on every run and after a
 lost executor. `marginals` says what each value was meant to get, was dealt and reaches, and whether its target is met,
-short of tokens, or barred by the other dimensions; if the sweeps end without a fit there is a warning as well.
+short of tokens, or barred by the other dimensions; if the sweeps end, or get no nearer, without a fit there is a warning as well.
 
 Targets are given per dimension as shares by value; values that are not named share what is left in proportion to
 their tokens. A dimension without targets is tempered: shares in proportion to tokens ** temperature. With the budget
@@ -122,7 +122,7 @@ def fitted(cells: DataFrame, goal: DataFrame, values: dict[str, int], total: flo
         p = F.least(F.col("p"), F.lit(1.0)) if bounded else F.col("p")
         return out.withColumn("p", F.when(F.col("whole"), 1.0).otherwise(p))
 
-    worst = 0.0
+    worst, least, since = 0.0, float("inf"), 0
     for _ in range(sweeps):
         for d in DIMS:
             full = (F.col("p") >= 1) if bounded else F.lit(False)
@@ -136,7 +136,8 @@ def fitted(cells: DataFrame, goal: DataFrame, values: dict[str, int], total: flo
             remove(last)
         misses = reduce(DataFrame.unionByName, [factors[d].select("miss") for d in DIMS])  # before each step
         worst = (misses.agg(F.max("miss")).first()[0] or 0.0) / max(total, 1e-300)
-        if worst < tolerance:
+        least, since = (worst, 0) if worst < 0.98 * least else (least, since + 1)
+        if worst < tolerance or since == 6:  # fitted, or no longer getting nearer: the bounds bar it
             break
     done = cut(product())
     for used in (base, *factors.values()):
@@ -153,7 +154,7 @@ def rates(rows: DataFrame, given: dict[str, dict[str, float]], temperature: floa
     goal = cut(goals(cells, given, temperature, wanted if budget is not None else None))
     done, worst = fitted(cells, goal, values, wanted, budget is not None, tolerance, sweeps)
     if worst >= tolerance:
-        warnings.warn(f"raking ended after {sweeps} sweeps with a marginal off by {worst:.2g} of the wanted tokens; see marginals()", stacklevel=3)
+        warnings.warn(f"raking ended with a marginal off by {worst:.2g} of the wanted tokens; see marginals()", stacklevel=3)
     if budget is None and number:
         most = done.agg(F.max("p")).first()[0]
         done = done.withColumn("p", F.least(F.lit(1.0), F.col("p") / F.lit(most)))

@@ -328,5 +328,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", t
 def distinct_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.8, k: int = 5) -> DataFrame:
     """df with one document of each class, the smallest id; columns unchanged. Only dropped ids are joined back, and
     rows with null ids stay."""
-    dropped = near_duplicates(df, id_col, text, threshold, k).filter(F.col(id_col).isNotNull() & ~F.col("kept")).select(F.col(id_col).alias("_dropped")).distinct()
-    return df.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
+    name = "_dropped"
+    while name in df.columns:
+        name += "_"
+    dropped = near_duplicates(df, id_col, text, threshold, k).filter(F.col(id_col).isNotNull() & ~F.col("kept")).select(F.col(id_col).alias(name)).distinct()
+    return df.join(dropped, F.col(id_col) == F.col(name), "left_anti")

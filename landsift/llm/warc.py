@@ -6,18 +6,18 @@ page's text. Record ids are derived from content, so a lost task writes the same
 records are parsed and written one by one, in slices.
 
 Defined cases: a null html is an empty body, a null url leaves WARC-Target-URI out; a record that can't be parsed or
-isn't a response yields no derivative in `derive` (the count of parsed records is the caller's to compare); repeated
-rows yield records each, with equal ids; an empty table gives an empty result; other columns are not read.
+isn't a response yields no derivative in `derive`, and reading goes on after it; chunked and gzipped or deflated bodies
+are unpacked for the text, while digests and lengths are of the body as it was sent; repeated rows yield records each, with equal ids; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html as html_
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -58,20 +58,57 @@ def record(kind: str, id_: str, headers: list[tuple[str, str]], content_type: st
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record in data, which may be gzipped record by record; ends at the first that is cut
-    off or malformed."""
-    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+    """(headers, block) of each record in data, which may be gzipped record by record (a damaged member ends what can be
+    unpacked). A record that is cut off or malformed is passed over: reading goes on at the next line that begins one."""
+    if data[:2] == b"\x1f\x8b":
+        data = _unpacked(data)
     at = 0
-    while data.startswith(b"WARC/", at) and (end := data.find(CRLF + CRLF, at)) >= 0:
+    while (at := data.find(b"WARC/", at)) >= 0:
+        end = data.find(CRLF + CRLF, at)
+        if (at and data[at - 1 : at] != b"\n") or end < 0:
+            at += 5
+            continue
         headers = {}
         for line in data[at:end].split(CRLF)[1:]:
             k, _, v = line.decode("utf-8", "replace").partition(":")
             headers[k.strip().lower()] = v.strip()
         size = headers.get("content-length", "")
         if not size.isdigit() or end + 4 + int(size) > len(data):
-            return
+            at += 5
+            continue
         yield headers, data[end + 4 : end + 4 + int(size)]
-        at = end + 8 + int(size)
+        at = end + 4 + int(size)
+
+
+def _unpacked(data: bytes) -> bytes:
+    """All members of a gzip file, up to the first that is damaged."""
+    out = []
+    while data:
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data) + member.flush())
+        except zlib.error:
+            break
+        data = member.unused_data.lstrip(b"\0")
+    return b"".join(out)
+
+
+def plain_body(body: bytes, http: dict[str, str]) -> bytes:
+    """A response's body without chunks and content coding (gzip, deflate); one that doesn't follow its header stays as
+    it is."""
+    if "chunked" in http.get("transfer-encoding", "").lower():
+        rest, parts = body, []
+        while (m := re.match(rb"([0-9a-fA-F]+)[^\r\n]*\r\n", rest)) and int(m[1], 16):
+            parts.append(rest[m.end() : m.end() + int(m[1], 16)])
+            rest = rest[m.end() + int(m[1], 16) + 2 :]
+        body = b"".join(parts) if parts else body
+    coding = http.get("content-encoding", "").lower().strip()
+    for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding, ()):
+        try:
+            return zlib.decompress(body, bits)
+        except zlib.error:
+            continue
+    return body
 
 
 def response(url: str | None, page: str | None, date: str = DATE) -> bytes:
@@ -86,12 +123,13 @@ def derivatives(headers: dict[str, str], block: bytes) -> list[tuple[str, str, s
     head, _, body = block.partition(CRLF + CRLF)
     status, *lines = head.decode("latin-1").split("\r\n")
     http = [tuple(map(str.strip, line.partition(":")[::2])) for line in lines if ":" in line]
-    kind = dict((k.lower(), v) for k, v in http).get("content-type", "")
+    named = {k.lower(): v for k, v in http}
+    kind, plain = named.get("content-type", ""), plain_body(body, named)
     charset = m[1] if (m := re.search(r"charset=[\"']?([\w-]+)", kind, re.I)) else "utf-8"
     try:
-        page = body.decode(charset, "replace")
+        page = plain.decode(charset, "replace")
     except LookupError:
-        page = body.decode("utf-8", "replace")
+        page = plain.decode("utf-8", "replace")
     origin, payload = headers.get("warc-record-id", ""), headers.get("warc-payload-digest") or digest(body)
     linked = [(n, headers[n.lower()]) for n in ("WARC-Target-URI", "WARC-Date") if n.lower() in headers] + [("WARC-Refers-To", origin)]
     title = " ".join(html_.unescape(_TAG.sub("", t[1])).split()) if (t := _TITLE.search(page)) else ""
@@ -121,7 +159,8 @@ def responses(pages: DataFrame, id_col: str = "page_id", url: str = "url", page:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(id, record) of WARC files, plain or gzipped; id is null. A file is split into records in its task."""
+    """(id, record) of WARC files, plain or gzipped; id is null. A file is split into records in its task, which holds it
+    whole: files are to be of the usual size, about 1 GB at most."""
     ship(spark)
 
     def run(batches):

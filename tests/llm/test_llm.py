@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -82,8 +83,6 @@ def test_language_model(spark):
     assert len(got) == len(rows)
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     toks = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
-    import re
-
     words = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", toks(t)), ""]
     c = Counter(w for i, t in rows if not held(i) for w in words(t))
     n, v = sum(c.values()), len(c)
@@ -464,6 +463,282 @@ def test_warc(spark, tmp_path):
     assert list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc")) == [] and warc.derive(warc.responses(df.filter("false"))).count() == 0
 
 
+def test_warc_records_read_by_other_means(spark):
+    """Derivatives of real pages, taken apart by the standard library's e-mail and HTML parsers."""
+    from email.parser import BytesParser
+    from html.parser import HTMLParser
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.words, self.hidden, self.links = [], 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style", "noscript", "template")
+            self.links += [v or "" for k, v in attrs if tag == "a" and k == "href"]
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style", "noscript", "template")
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.words += data.split()
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    html = {r["page_id"]: r for r in pages.collect()}
+    made = {r["id"]: bytes(r["record"]) for r in warc.responses(pages).collect()}
+    rows = warc.derive(warc.responses(pages)).collect()
+    assert len(made) == len(html) and Counter(r["id"] for r in rows) == dict.fromkeys(html, 2)
+
+    def taken_apart(data):
+        first, rest = data.split(b"\r\n", 1)
+        head, rest = rest.split(b"\r\n\r\n", 1)
+        headers = BytesParser().parsebytes(head + b"\r\n\r\n", headersonly=True)
+        assert first == b"WARC/1.1" and rest.endswith(b"\r\n\r\n") and len(rest) == int(headers["Content-Length"]) + 4
+        assert headers["WARC-Block-Digest"] == "sha1:" + __import__("base64").b32encode(hashlib.sha1(rest[:-4]).digest()).decode()
+        return headers, rest[:-4]
+
+    same = 0
+    for r in rows:
+        source, block = taken_apart(made[r["id"]])
+        headers, body = taken_apart(bytes(r["record"]))
+        assert headers["WARC-Refers-To"] == source["WARC-Record-ID"] == r["refers_to"] and headers["WARC-Target-URI"] == html[r["id"]]["url"]
+        assert block.split(b"\r\n\r\n", 1)[1] == html[r["id"]]["html"].encode() and headers["X-Source-Payload-Digest"] == source["WARC-Payload-Digest"]
+        words = Words()
+        words.feed(html[r["id"]]["html"])
+        if r["kind"] == "conversion":
+            same += "".join(body.decode().split()) == "".join(words.words)
+        else:
+            assert re.findall(r"^outlink: ?(.*)\r$", body.decode(), re.M) == [" ".join(x.split()) for x in words.links]
+    assert same >= 0.9 * len(html)
+
+
+def test_warc_skips_damage_and_unpacks_bodies():
+    import gzip
+    import zlib
+
+    good = [warc.response(f"http://a/{i}", f"<p>page {i}</p>") for i in range(3)]
+    for data in (good[0] + b"WARC/1.1\r\nContent-Length: 99999\r\n\r\ncut" + b"\r\n" + good[1] + good[2], b"junk\r\n" + b"".join(good), gzip.compress(good[0]) + gzip.compress(good[1]) + gzip.compress(good[2])):
+        assert [h["warc-target-uri"] for h, _ in warc.parse(data)] == ["http://a/0", "http://a/1", "http://a/2"]
+    assert len(list(warc.parse(gzip.compress(good[0]) + gzip.compress(good[1])[:-9]))) >= 1
+    page = "<p>über</p>".encode()
+    chunks = b"4\r\n" + page[:4] + b"\r\n" + f"{len(page) - 4:x}".encode() + b"\r\n" + page[4:] + b"\r\n0\r\n\r\n"
+    for extra, body in ((b"", page), (b"Content-Encoding: gzip", gzip.compress(page)), (b"Content-Encoding: deflate", zlib.compress(page)), (b"Transfer-Encoding: chunked", chunks), (b"Content-Encoding: gzip", page)):
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n" + extra + (b"\r\n" if extra else b"") + b"\r\n" + body
+        made = warc.derivatives({"warc-record-id": "x"}, block)
+        assert next(warc.parse(made[1][3]))[1].decode() == "über" and made[1][3].count(warc.digest(body).encode()) == 1
+
+
+# second implementations -------------------------------------------------------------------------------------------
+def test_url_features_and_rates_by_hand(spark):
+    urls = ["https://a.Example.com:80/en/7198/x?a=1&b=2#top", "http://b.net/de/", "no scheme", "", "x://h", "http://é.org/a%20b?", "http://c.org/es/9", None] + [f"http://s{i}.{'com' if i % 3 else 'net'}/{'en' if i % 2 else 'de'}/{i}" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rule, given = url_filter.rule_columns()
+    rows = url_filter.lexical(url_filter.with_parts(df)).withColumns({"rule": rule, "given": given}).collect()
+    for r in rows:
+        u = r["url"] or ""
+        rest = u.split("://", 1)[1] if "://" in u else ""
+        host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+        path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+        query = m[1] if (m := re.search(r"\?([^#]*)", u)) else ""
+        counts = Counter(u)
+        entropy = -sum(c / len(u) * math.log2(c / len(u)) for c in counts.values())
+        want = [len(u), len(host), len(path), path.count("/"), host.count(".") + 1, sum(c in "0123456789" for c in u) / max(1, len(u)), entropy, query.count("&") + 1 if query else 0, len(query), sum(c in "-_.~%+=&" for c in u), u.lower().startswith("https:"), "#" in u]
+        assert np.allclose([r[f] for f in url_filter.FEATURES[:12]], want), u
+    y = {r["page_id"]: float(r["given"] == "block") for r in rows if r["given"]}
+    labelled = spark.createDataFrame([(r["suffix"], y[r["page_id"]]) for r in rows if r["page_id"] in y], "suffix long, y double")
+    got, overall = url_filter.suffix_statistics(labelled)
+    by = {}
+    for r in rows:
+        if r["page_id"] in y:
+            by.setdefault(r["suffix"], []).append(y[r["page_id"]])
+    assert overall == pytest.approx(sum(y.values()) / len(y))
+    assert {r["suffix"]: (round(r["suffix_rate"], 9), round(r["suffix_seen"], 9)) for r in got.collect()} == {k: (round((sum(v) + 10 * overall) / (len(v) + 10), 9), round(math.log1p(len(v)), 9)) for k, v in by.items()}
+
+
+def test_trees_by_exhaustive_search(spark):
+    """Boosting against a plain search over all splits of all rows."""
+    rng = np.random.default_rng(3)
+    n = len(url_filter.FEATURES)
+    x = rng.integers(0, 4, (80, n))
+    p = np.where(x[:, 2] > 1, 0.8, 0.2) + 0.15 * (x[:, 5] > 2)
+    size = rng.integers(1, 5, 80).astype(float)
+    y = np.minimum(size, rng.binomial(size.astype(int), np.minimum(p, 1)).astype(float))
+    train = spark.createDataFrame([(*map(int, r), float(a), float(b)) for r, a, b in zip(x, y, size, strict=True)], ", ".join(f"b{i} int" for i in range(n)) + ", y double, n double")
+    got = url_filter.boost(train, 3, 0.5, 1.0, 0.0)
+    margin, want = np.zeros(80), []
+
+    def best(rows):
+        g, h = (y - size * q)[rows], (size * q * (1 - q))[rows]
+        found, split = 1e-9, None
+        for i in range(n):
+            for b in sorted(set(x[rows, i]))[:-1]:
+                left = x[rows, i] <= b
+                gain = g[left].sum() ** 2 / (h[left].sum() + 1) + g[~left].sum() ** 2 / (h[~left].sum() + 1) - g.sum() ** 2 / (h.sum() + 1)
+                if gain > found + 1e-9:
+                    found, split = gain, (i, int(b), 0.5 * g[left].sum() / (h[left].sum() + 1), 0.5 * g[~left].sum() / (h[~left].sum() + 1))
+        return split or 0.5 * g.sum() / (h.sum() + 1)
+
+    for _ in range(3):
+        q = 1 / (1 + np.exp(-margin))
+        i, b, *_ = best(np.ones(80, bool))
+        want.append((i, b, best(x[:, i] <= b), best(x[:, i] > b)))
+        for side, part in ((x[:, i] <= b, want[-1][2]), (x[:, i] > b, want[-1][3])):
+            margin = margin + np.where(side, np.where(x[:, part[0]] <= part[1], part[2], part[3]) if isinstance(part, tuple) else part, 0)
+    flat = lambda t: [v for node in t for v in (flat(node) if isinstance(node, tuple) else [node])]
+    assert np.allclose(flat(got), flat(want))
+
+
+def test_url_filter_on_held_out_rules(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    held = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 4 == 2
+    rows = [r for r in url_filter.judge(pages, learn=~held("_id")).filter(held("page_id")).collect() if r["rule"]]
+    good, bad = ([r["score"] for r in rows if r["verdict"] == v] for v in ("allow", "block"))
+    assert good and bad and sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(good) * len(bad)) > 0.8
+    assert {r["verdict"] for r in url_filter.judge(pages).collect() if r["rule"] is None} == {"allow", "block"}
+
+
+def test_ridge_and_calibration_by_dense_algebra(spark):
+    rng = random.Random(12)
+    rows = [(i, sentences(rng, 40) + ("." if i % 3 else " BUY!!! $$$")) for i in range(240)]
+    labels = [(i, int(i % 3 > 0) if i % 11 else int(i % 2)) for i in range(240)]
+    x = np.array([quality.statistics(t) for _, t in rows])
+    learnt = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    model = quality.Model(x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6))
+    z = model.lift(x[learnt])
+    target = np.array([labels[i][1] for i in learnt], dtype=float)
+    n, size = len(learnt), z.shape[1]
+    stacked = np.concatenate([z, np.sqrt(quality.RIDGE * n) * np.diag(np.append(0, np.ones(size - 1))), np.sqrt(1e-9 * n) * np.eye(size)])
+    beta = np.linalg.lstsq(stacked, np.append(target, np.zeros(2 * size)), rcond=None)[0]
+    raw = model.lift(x) @ beta
+    bins = np.clip(((raw - quality.LOW) / (quality.HIGH - quality.LOW) * quality.BINS).astype(int), 0, quality.BINS - 1)
+    good, all_ = np.bincount(bins[learnt], target, quality.BINS), np.bincount(bins[learnt], minlength=quality.BINS)
+    full = np.flatnonzero(all_)
+    fit = [max(min(good[a : b + 1].sum() / all_[a : b + 1].sum() for b in full if b >= i) for a in full if a <= i) for i in full]  # the max-min form of isotonic regression
+    want = np.interp(raw, quality.LOW + (full + 0.5) * (quality.HIGH - quality.LOW) / quality.BINS, fit)
+    got = {r["doc_id"]: r["score"] for r in quality.classify(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    off = np.abs(np.array([got[i] for i, _ in rows]) - want)
+    assert (off < 1e-6).mean() > 0.98  # a raw score at a bin's edge may fall on its other side
+
+
+def test_bounded_raking_by_hand(spark):
+    """Budget 0.5: dealt shares by plain water-filling, reached ones within 1e-3 or named, no cell beyond its tokens."""
+    rng = random.Random(17)
+    rows = [(i, sentences(rng, rng.randint(1, 60)), rng.choice(["en", "en", "en", "de", "fr"]), rng.choice("aaaabbc") if i > 30 else "rare", i) for i in range(1200)]
+    df = spark.createDataFrame(rows, DOC)
+    given = {"lang": {"en": 0.4, "de": 0.3, "fr": 0.3}, "source": {"rare": 0.3, "a": 0.3, "b": 0.2, "c": 0.2}}
+    got = mixing.marginals(df, given, budget=0.5, topic=F.lit("one")).collect()
+    tokens = {}
+    for _, t, lang, source, _ in rows:
+        for d, v in (("lang", lang), ("source", source), ("topic", "one")):
+            tokens[d, v] = tokens.get((d, v), 0) + len(t.split())
+    budget = 0.5 * tokens["topic", "one"]
+    for d in ("lang", "source", "topic"):
+        shares = given.get(d, {"one": 1.0})
+        full, left = set(), budget
+        while True:
+            rest = sum(s for v, s in shares.items() if v not in full)
+            left = budget - sum(tokens[d, v] for v in full)
+            over = {v for v, s in shares.items() if v not in full and left * s / rest >= tokens[d, v]}
+            if not over:
+                break
+            full |= over
+        for r in got:
+            if r["dim"] == d:
+                want = tokens[d, r["value"]] if r["value"] in full else left * shares[r["value"]] / rest
+                assert r["tokens"] == tokens[d, r["value"]] and abs(r["target"] - shares[r["value"]]) < 1e-9 and abs(r["dealt"] - want / budget) < 1e-6
+    assert all(abs(r["reached"] - r["dealt"]) < 1e-3 for r in got) and {r["status"] for r in got if r["value"] == "rare"} == {"short"}
+    out = mixing.probabilities(df, given, budget=0.5, topic=F.lit("one")).collect()
+    assert max(r["probability"] for r in out) <= 1
+    for r in got:
+        reached = sum(o["n_tokens"] * o["probability"] for o in out if o[{"source": "source", "lang": "lang", "topic": "topic"}[r["dim"]]] == r["value"])
+        assert abs(reached / budget - r["reached"]) < 1e-6
+    both = spark.createDataFrame([(i, "w " * 9, "en" if i < 40 else "de", "a" if i < 40 else "b", 0) for i in range(100)], DOC)
+    with pytest.warns(UserWarning, match="raking ended"):
+        barred = mixing.marginals(both, {"lang": {"en": 0.5, "de": 0.5}, "source": {"a": 0.3, "b": 0.7}}, budget=0.5, topic=F.lit("one")).collect()
+    assert "barred" in {r["status"] for r in barred}
+    clash = df.withColumns({"_mix": F.col("doc_id"), "_mix_": F.lit("x"), "probability": F.lit(2)})
+    kept = mixing.mixed(clash, given, budget=0.5, topic=F.lit("one"))
+    assert kept.columns == clash.columns and {(r["doc_id"], r["_mix"]) for r in kept.collect()} == {(r["doc_id"], r["doc_id"]) for r in out if r["selected"]}
+    with pytest.warns(UserWarning, match="raking ended"):
+        mixing.probabilities(df, {"lang": {"en": 0.01, "de": 0.98, "fr": 0.01}}, budget=None, topic=F.lit("one"), sweeps=1)
+
+
+def test_language_model_scores_by_loops():
+    """score_codes against one token after another in plain float64."""
+    words = [f"w{i}".encode() for i in range(70)]
+    lex = recurrent_lm.Lexicon([*words, recurrent_lm.END], np.arange(71, 0, -1.0), np.full(recurrent_lm.SURFACE, 400.0), 2556.0, 71.0)
+    rng = np.random.default_rng(5)
+    w = {k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float32) for k, v in recurrent_lm.start_weights(lex).items()}
+    texts = [rng.integers(-recurrent_lm.SURFACE, 71, n).astype(np.int32) for n in (1, 9, 130, 40)]
+    k, heads, end = recurrent_lm.HIDDEN, len(lex.edges), 70
+
+    def row(code):
+        return code if 0 <= code < lex.head else lex.head + (-1 - code if code < 0 else lex.surface_of[code])
+
+    def plain(codes):
+        h, last, total = np.zeros(k), end, 0.0
+        for c in codes:
+            x, a = w["x"][row(last)].astype(float) + w["b"], h @ w["u"].astype(float)
+            z, r = (1 / (1 + np.exp(-(x[i : i + k] + a[i : i + k]))) for i in (0, k))
+            n = np.tanh(x[2 * k :] + r * a[2 * k :])
+            h = (1 - z) * n + z * h
+            logits = h @ w["wc"] + w["bc"]
+            inside = next((i for i, (lo, hi) in enumerate(lex.edges) if lo <= c < hi), None)
+            cls = inside if inside is not None else heads + (row(c) - lex.head)
+            total += logits[cls] - np.log(np.exp(logits).sum())
+            if inside is not None:
+                lo, hi = lex.edges[inside]
+                own = w["wo"][lo:hi] @ h + w["bo"][lo:hi]
+                total += own[c - lo] - np.log(np.exp(own).sum())
+            last = c
+        return total
+
+    assert np.allclose(recurrent_lm.score_codes(lex, w, texts, end), [plain(t) for t in texts], atol=2e-3)
+
+
+def test_state_goes_on_through_parts_of_a_long_text():
+    """With a rate of 0, the states at which parts begin are those of the whole text."""
+    words = [f"w{i}".encode() for i in range(30)]
+    lex = recurrent_lm.Lexicon([*words, recurrent_lm.END], np.ones(31), np.full(recurrent_lm.SURFACE, 40.0), 31.0, 31.0)
+    w, rng = recurrent_lm.start_weights(lex), np.random.default_rng(2)
+    codes = rng.integers(0, 31, 95).astype(np.int32)
+    waiting, short = [(codes, 0, np.zeros(recurrent_lm.HIDDEN, np.float32))], (codes[:7], 0, np.zeros(recurrent_lm.HIDDEN, np.float32))
+    one, starts = recurrent_lm.Trainer(lex, w, 0.0), []
+    waiting.append(short)
+    while waiting:
+        waiting = one.learn(waiting, 30, 2, 8, 40)
+        starts += [(at, h) for _, at, h in waiting]
+    assert [at for at, _ in starts] == [40, 80]
+    rows = np.append(30, codes[:-1])[:, None]
+    whole = recurrent_lm.forward(w, rows, np.arange(95)[:, None] == 0, np.zeros((1, recurrent_lm.HIDDEN), np.float32))[0]
+    assert all(np.allclose(h, whole[at - 1, 0], atol=1e-5) for at, h in starts)
+
+
+def test_frequencies_are_counted_apart_from_the_crowd(spark):
+    """The sketch's estimate of what many texts share, among many rare shingles."""
+    rng = random.Random(4)
+    passage = sentences(rng, 12)
+    rows = [(i, (passage + " " if i % 10 == 0 else "") + sentences(rng, 300)) for i in range(1500)]
+    idf = near_dedup.idf_table(docs(spark, rows), "text", 1.0, 5)
+    h, times, _, _ = near_dedup.shingles([passage], 5)
+    common = near_dedup.weights(idf, h, times)
+    assert np.allclose(common, 1 + np.log1p(1500 / 150) / np.log1p(1500), atol=0.03)
+    h, times, _, _ = near_dedup.shingles([rows[1][1]], 5)
+    assert np.median(near_dedup.weights(idf, h, times)) > 1.85
+
+
+def test_empty_tables_and_clashing_names(spark):
+    empty, labels = docs(spark, []), spark.createDataFrame([], "doc_id long, quality int")
+    ranks, pattern = bpe.tokenizer()
+    for out in (quality.kept_documents(empty, labels), near_dedup.distinct_documents(empty), exact_dedup.distinct_documents(empty), mixing.mixed(empty), bpe.decode(bpe.round_trip(empty, ranks, pattern), ranks)):
+        assert out.count() == 0
+    rows = docs(spark, [(1, "a b c d e f"), (2, None), (3, "a b c d e f")]).withColumns({"id": F.lit("x"), "row": F.lit(1), "score": F.lit("s"), "kept": F.lit(2), "_dropped": F.lit(3), "x": F.lit(4), "token": F.lit("t")})
+    assert {r["doc_id"] for r in near_dedup.distinct_documents(rows).collect()} == {1, 2}
+    assert {r["doc_id"] for r in recurrent_lm.score_documents(rows).collect()} == {r["doc_id"] for r in quality.classify(rows, labels).collect()} == {1, 2, 3}
+    assert quality.kept_documents(rows, labels).columns == rows.columns and exact_dedup.distinct_documents(rows).columns == rows.columns
+
+
 # pipeline --------------------------------------------------------------------------------------------------------
 def test_pipeline(spark):
     import corpus_pipeline
@@ -477,13 +752,28 @@ def test_pipeline(spark):
         if name != "tokens":
             assert rows and set(rows[0].asDict()) == set(source.columns)
             now = spark.createDataFrame(rows, source.schema)
+    texts = {r["doc_id"]: r["text"] for r in source.collect()}
+    scores = {r["doc_id"]: r["score"] for r in quality.classify(source, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    assert seen[0] == {i for i, x in scores.items() if x >= 0.7}
     good = {r["doc_id"] for r in labels if r["quality"] == 1}
     assert len(seen[0] & good) > 0.9 * len(good)
-    texts = {r["doc_id"]: r["text"] for r in source.collect()}
     assert seen[1] == set({texts[i]: i for i in sorted(seen[0], reverse=True)}.values())
-    for i, a in enumerate(sorted(seen[2])):
-        for b in sorted(seen[2])[i + 1 :]:
-            x, y = shingle_set(texts[a]), shingle_set(texts[b])
-            assert len(x & y) < 0.9 * len(x | y)
-    assert seen[3] <= seen[2] and seen[4] == seen[3]
-    assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == seen[4]
+    idf = near_dedup.idf_table(source.filter(F.col("doc_id").isin(*seen[1])), "text", 0.25, 5)
+    own = {}
+    for i in seen[1]:
+        h, times, _, _ = near_dedup.shingles([texts[i] or ""], 5)
+        own[i] = h, near_dedup.weights(idf, h, times)
+    root = {i: i for i in own}
+    for a in sorted(own):
+        for b in sorted(own):
+            if a < b and root[a] != root[b] and near_dedup.weighted_jaccard(own[a], own[b]) >= 0.8:
+                lo, hi = sorted((root[a], root[b]))
+                root = {k: lo if v == hi else v for k, v in root.items()}
+    assert seen[2] == set(root.values())
+    chosen = mixing.probabilities(source.filter(F.col("doc_id").isin(*seen[2]))).collect()
+    assert seen[3] == {r["doc_id"] for r in chosen if r["selected"]}
+    ranks, pattern = bpe.tokenizer()
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    done = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF).collect()}
+    assert set(done) == seen[4] == seen[3]
+    assert all(r["ids"] == own.encode_ordinary(texts[i] or "") and bytes(r["decoded"]) == (texts[i] or "").encode() for i, r in done.items())
