@@ -42,6 +42,7 @@ WINDOW, LONGEST = 24, 480  # steps of a window of backpropagation, and of one th
 #: Lanes, tokens gathered before they are dealt to lanes, and rate's factor, until a task has learnt WARM tokens and then
 WARM, BEGIN, THEN = 200_000, (64, 50_000, 1.0), (192, 250_000, 1.75)
 LN10 = math.log(10)
+HALF = np.float32(0.5)
 TOP, ONES = np.float32(80), np.ones(4096, np.float32)  # logits stay below what float32 can exponentiate
 
 
@@ -184,43 +185,45 @@ class Stream:
         return h
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """By tanh, which can't overflow."""
-    x *= np.float32(0.5)
-    np.tanh(x, out=x)
-    x += 1
-    x *= np.float32(0.5)
-    return x
+def _across(x: np.ndarray) -> np.ndarray:
+    """Last two axes exchanged, laid out anew: steps work on (units, lanes), whose slices by unit are contiguous."""
+    return np.ascontiguousarray(np.swapaxes(x, -1, -2))
 
 
 def forward(w: dict[str, np.ndarray], rows: np.ndarray, begin: np.ndarray, h: np.ndarray, keep: bool = False, enter=None):
-    """States of a window; rows: input rows. keep: also what the way back needs. enter(t, h): h where parts begin."""
-    k, u = HIDDEN, w["u"]
+    """States of a window; rows: input rows. keep: also what the way back needs. enter(t, h): h where parts begin.
+    Gates are sigmoids by tanh, which can't overflow; their halving is done on the weights."""
+    k = HIDDEN
     steps, lanes = rows.shape
-    hs = np.empty((steps, lanes, k), np.float32)
-    x = w["x"][rows]
-    x += w["b"]
-    starts = begin.any(axis=1)
-    trace = None
-    if keep:
-        trace = np.empty((steps, lanes, k), np.float32), np.empty((steps, lanes, 2 * k), np.float32), np.empty((steps, lanes, k), np.float32), np.empty((steps, lanes, k), np.float32)
+    half = np.repeat(np.array([0.5, 0.5, 1.0], np.float32), k)
+    table = w["x"] + w["b"]
+    table *= half
+    x, u, h = _across(table[rows]), _across(w["u"] * half), _across(h)
+    hs = np.empty((steps, k, lanes), np.float32)
+    kept = steps if keep else 1  # without keep, steps write over each other
+    gates, news, sums = np.empty((kept, 2 * k, lanes), np.float32), np.empty((kept, k, lanes), np.float32), np.empty((kept, 3 * k, lanes), np.float32)
+    entry = np.empty((steps, k, lanes), np.float32) if keep else None
+    starts = begin.any(axis=1).tolist()
     for t in range(steps):
         if starts[t]:
-            h = np.where(begin[t][:, None], np.float32(0), h) if enter is None else enter(t, h)
-        a = h @ u
-        g = _sigmoid(x[t, :, : 2 * k] + a[:, : 2 * k])
-        n = g[:, k:] * a[:, 2 * k :]
-        n += x[t, :, 2 * k :]
+            h = np.where(begin[t], np.float32(0), h) if enter is None else _across(enter(t, h.T))
+        if keep:
+            entry[t] = h
+        i = t if keep else 0
+        a, g, n, new, xt = sums[i], gates[i], news[i], hs[t], x[t]
+        np.matmul(u, h, out=a)
+        np.add(xt[: 2 * k], a[: 2 * k], out=g)
+        np.tanh(g, out=g)
+        g *= HALF
+        g += HALF
+        np.multiply(g[k:], a[2 * k :], out=n)
+        n += xt[2 * k :]
         np.tanh(n, out=n)
-        new = hs[t]
         np.subtract(h, n, out=new)
-        new *= g[:, :k]
+        new *= g[:k]
         new += n
-        if keep:
-            for kept, value in zip(trace, (h, g, n, a[:, 2 * k :]), strict=True):
-                kept[t] = value
         h = new
-    return hs, h, trace
+    return np.swapaxes(hs, 1, 2), h.T, (entry, gates, news, sums) if keep else None
 
 
 def _bounded(weights: np.ndarray, bias: np.ndarray) -> bool:
@@ -232,10 +235,12 @@ def log_probs(w: dict[str, np.ndarray], lex: Lexicon, hs: np.ndarray, cls: np.nd
     """ln p(class) (+ ln p(word | class) in the head) of each state's target. With grads, they and d loss / d state.
     States go by class, so that each class is one slice."""
     order = np.argsort(cls.astype(np.int16), kind="stable")
-    hs, cls, word = hs[order], cls[order], word[order]
+    cls, word = cls[order], word[order]
     at, safe = np.arange(len(cls)), _bounded(w["wc"].T, w["bc"]) and _bounded(w["wo"], w["bo"])
-    logits = hs @ w["wc"]
-    logits += w["bc"]
+    states = np.ones((len(cls), HIDDEN + 1), np.float32)  # the last column carries the biases
+    states[:, :-1] = hs[order]
+    of_class, of_word = np.vstack([w["wc"], w["bc"]]), np.column_stack([w["wo"], w["bo"]])
+    logits = states @ of_class
     if not safe:
         np.minimum(logits, TOP, out=logits)
     chosen = logits[at, cls].astype(np.float64)
@@ -245,17 +250,18 @@ def log_probs(w: dict[str, np.ndarray], lex: Lexicon, hs: np.ndarray, cls: np.nd
     if grads is not None:
         e *= (1 / s)[:, None]
         e[at, cls] -= 1
-        grads["wc"] += hs.T @ e
-        grads["bc"] += ONES[:1].repeat(len(e)) @ e
+        down = states.T @ e
+        grads["wc"] += down[:-1]
+        grads["bc"] += down[-1]
         back = e @ w["wc"].T
-    ends = np.searchsorted(cls, np.arange(len(lex.edges) + 1))
+        down = np.zeros_like(of_word)
+    ends = np.searchsorted(cls, np.arange(len(lex.edges) + 1)).tolist()
     for c, (a, b) in enumerate(lex.edges):
         lo, hi = ends[c], ends[c + 1]
         if lo == hi:
             continue
-        h, wo = hs[lo:hi], w["wo"][a:b]
-        logits = h @ wo.T
-        logits += w["bo"][a:b]
+        h = states[lo:hi]
+        logits = h @ of_word[a:b].T
         if not safe:
             np.minimum(logits, TOP, out=logits)
         i, j = at[: hi - lo], word[lo:hi] - a
@@ -266,9 +272,11 @@ def log_probs(w: dict[str, np.ndarray], lex: Lexicon, hs: np.ndarray, cls: np.nd
         if grads is not None:
             e *= (1 / s)[:, None]
             e[i, j] -= 1
-            grads["wo"][a:b] += e.T @ h
-            grads["bo"][a:b] += e.sum(axis=0)
-            back[lo:hi] += e @ wo
+            np.matmul(e.T, h, out=down[a:b])
+            back[lo:hi] += e @ w["wo"][a:b]
+    if grads is not None:
+        grads["wo"] += down[:, :-1]
+        grads["bo"] += down[:, -1]
     out = np.empty(len(chosen))
     out[order] = chosen - np.log(total)
     if grads is None:
@@ -298,31 +306,32 @@ class Trainer:
         """One step of descent; returns the states of all tokens. Gradients end at the window's and the parts' edges."""
         w, k = self.w, HIDDEN
         rows = split_codes(self.lex, inputs)[1]
-        hs, _, (h0, g, n, an) = forward(w, rows, begin, h, keep=True, enter=enter)
+        hs, _, (h0, g, n, a) = forward(w, rows, begin, h, keep=True, enter=enter)
         flat = hs[valid]
         cls, _ = split_codes(self.lex, targets[valid])
         grads = {name: np.zeros_like(v) for name, v in w.items() if name != "x"}
         _, back = log_probs(w, self.lex, flat, cls, targets[valid], grads)
-        dh_out = np.zeros_like(hs)
+        dh_out = np.zeros(hs.shape, np.float32)
         dh_out[valid] = back
-        z, r = g[:, :, :k], g[:, :, k:]
-        to_n, to_z, to_r = (1 - z) * (1 - n * n), (h0 - n) * z * (1 - z), an * r * (1 - r)
-        da, dn_all = np.empty((*rows.shape, 3 * k), np.float32), np.empty_like(hs)
-        dh, back_u, starts = np.zeros_like(h), w["u"].T.copy(), begin.any(axis=1)
+        dh_out = _across(dh_out)
+        z, r = g[:, :k], g[:, k:]
+        to_n, to_z, to_r = (1 - z) * (1 - n * n), (h0 - n) * z * (1 - z), a[:, 2 * k :] * r * (1 - r)
+        da, dn_all = np.empty_like(a), np.empty_like(n)
+        dh, u, starts = np.zeros_like(n[0]), w["u"], begin.any(axis=1).tolist()
         for t in range(len(rows) - 1, -1, -1):
             dh += dh_out[t]
             d, dn = da[t], dn_all[t]
             np.multiply(dh, to_n[t], out=dn)
-            np.multiply(dh, to_z[t], out=d[:, :k])
-            np.multiply(dn, to_r[t], out=d[:, k : 2 * k])
-            np.multiply(dn, r[t], out=d[:, 2 * k :])
+            np.multiply(dh, to_z[t], out=d[:k])
+            np.multiply(dn, to_r[t], out=d[k : 2 * k])
+            np.multiply(dn, r[t], out=d[2 * k :])
             dh *= z[t]
-            dh += d @ back_u
+            dh += u @ d
             if starts[t]:
-                dh[begin[t]] = 0
-        grads["u"] = h0.reshape(-1, k).T @ da.reshape(-1, 3 * k)
-        da[:, :, 2 * k :] = dn_all
-        dx = da.reshape(-1, 3 * k)
+                dh[:, begin[t]] = 0
+        grads["u"] = np.matmul(h0, np.swapaxes(da, 1, 2)).sum(axis=0)
+        da[:, 2 * k :] = dn_all
+        dx = _across(da).reshape(-1, 3 * k)
         grads["b"] = dx.sum(axis=0)
         scale = np.float32(1 / self.nominal)  # a window that few lanes are left in counts less
         for name, grad in grads.items():
