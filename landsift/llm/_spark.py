@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parents[2]
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,8 +72,12 @@ def by_size(batches: Iterator[pa.RecordBatch], column: int | str, rows: int = 12
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when the driver found it by sys.path alone."""
+    """Let Python workers import this package when the driver found it by sys.path alone, and hand them batches of
+    BATCH_BYTES at most (a batch ends with the row that exceeds them): what JVM and worker hold of a batch of long texts
+    is so bounded. A lesser setting stays."""
     sc = spark.sparkContext
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH)) > BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     seen = {os.path.abspath(p) for p in [*os.environ.get("PYTHONPATH", "").split(":"), os.getcwd()] if p}
     if str(ROOT) in seen or getattr(sc, "_landsift_shipped", False):
         return
