@@ -91,31 +91,43 @@ def simhash64(c: pa.Array) -> pa.Array:
 
 
 def _fnv_sql(token: Column) -> Column:
-    """FNV-1a 64 of a token in built-in functions: halves of 32 bits, so that no product leaves a long."""
-    low, data = F.lit((1 << 32) - 1), F.hex(F.encode(token, "UTF-8"))
-    places = F.filter(F.sequence(F.lit(0), F.length(data).cast("int")), lambda i: (i % 2 == 0) & (i < F.length(data)))
+    """FNV-1a 64 of a token in built-in functions: by halves of 32 bits, so that no product leaves a long."""
+    low, small = F.lit((1 << 32) - 1), FNV_PRIME & 0xFFFFFFFF
+    # Latin-1 makes a character of each byte
+    data = F.transform(F.split(F.decode(F.encode(token, "UTF-8"), "ISO-8859-1"), ""), lambda b: F.ascii(b).cast("long"))
 
-    def step(h: Column, i: Column) -> Column:
-        byte = F.conv(F.substring(data, i + 1, F.lit(2)), 16, 10).cast("long")
-        lo = h["lo"].bitwiseXOR(byte)
-        grown = lo * (FNV_PRIME & 0xFFFFFFFF)
-        hi = h["hi"] * (FNV_PRIME & 0xFFFFFFFF) + lo * (FNV_PRIME >> 32) + F.shiftright(grown, 32)
-        return F.struct(hi.bitwiseAND(low).alias("hi"), grown.bitwiseAND(low).alias("lo"))
+    def step(h: Column, byte: Column) -> Column:
+        lo = h.bitwiseXOR(byte).bitwiseAND(low)
+        hi = F.shiftrightunsigned(h, 32) * small + lo * (FNV_PRIME >> 32) + F.shiftright(lo * small, 32)
+        return F.shiftleft(hi, 32).bitwiseOR((lo * small).bitwiseAND(low))
 
-    start = F.struct(F.lit(FNV_BASIS >> 32).cast("long").alias("hi"), F.lit(FNV_BASIS & 0xFFFFFFFF).cast("long").alias("lo"))
-    return F.aggregate(places, start, step, lambda h: F.shiftleft(h["hi"], 32).bitwiseOR(h["lo"]))
+    return F.aggregate(data, F.lit(FNV_BASIS - (1 << 64)).cast("long"), step)
 
 
-def simhash64_sql(c: Column) -> Column:
-    """simhash64 in built-in functions alone: the second kernel, for sessions without Python workers and for comparison;
-    tens of times slower."""
-    hashes = F.transform(word_tokens(F.coalesce(c, F.lit(""))), _fnv_sql)
+def _majority_sql(hashes: Column) -> Column:
+    """The bits that more than half of the hashes have. Bits a lane's width apart are counted at once, each in its lane
+    of one long, from a start at which a majority sets the lane's last bit but one; the widest lanes hold more hashes
+    than a text has room for."""
+    n = F.size(hashes)
+
+    def counted(lane: int) -> Column:
+        ones = F.lit(sum(1 << i for i in range(0, 64, lane))).cast("long")
+        start = (F.lit((1 << lane - 2) - 1) - F.shiftright(n, 1)).cast("long") * ones
+
+        def bits(acc: Column, at: Column) -> Column:
+            votes = F.aggregate(hashes, start, lambda v, h: v + F.call_function("shiftrightunsigned", h, at).bitwiseAND(ones))
+            return acc.bitwiseOR(F.call_function("shiftleft", F.shiftrightunsigned(votes, lane - 2).bitwiseAND(ones), at))
 
-    def bit(acc: Column, b: Column) -> Column:
-        votes = F.aggregate(hashes, F.lit(0), lambda v, h: v + F.when(F.expr("1") == F.getbit(h, b), 1).otherwise(-1))
-        return acc.bitwiseOR(F.when(votes > 0, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(lane - 1)), F.lit(0).cast("long"), bits)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), bit)
+    return F.when(n < 1 << 6, counted(8)).when(n < 1 << 14, counted(16)).otherwise(counted(32))
+
+
+def simhash64_sql(c: Column) -> Column:
+    """simhash64 in built-in functions alone: the second kernel, for sessions without Python workers and for comparison.
+    The hashes are bound to a variable, else they would be made anew for every bit."""
+    hashes = F.transform(word_tokens(F.coalesce(c, F.lit(""))), _fnv_sql)
+    return F.get(F.transform(F.array(hashes), _majority_sql), F.lit(0))
 
 
 def fingerprint(c: Column, kernel: str = "arrow") -> Column:

@@ -343,9 +343,9 @@ def q_source_geojson(spark, sf_dir):
 
 @register(f"with {_hashes_sql('customer', 'c_custkey', 'c_name')} select k as c_custkey, simhash as arrow, simhash as sql, 0 as bits from hashed")
 def q_simhash_kernels(spark, sf_dir):
-    """Both fingerprint kernels over the same texts."""
+    """Both fingerprint kernels over the same texts, dealt out first: a file of one row group is read by one task."""
     ship(spark)
-    both = fixtures.table(spark, sf_dir, "customer").select("c_custkey", text.fingerprint(F.col("c_name")).alias("arrow"), text.fingerprint(F.col("c_name"), "sql").alias("sql"))
+    both = fixtures.table(spark, sf_dir, "customer").select("c_custkey", "c_name").hint("repartition").select("c_custkey", text.fingerprint(F.col("c_name")).alias("arrow"), text.fingerprint(F.col("c_name"), "sql").alias("sql"))
     return both.withColumn("bits", text.hamming(F.col("arrow"), F.col("sql")))
 
 

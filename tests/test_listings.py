@@ -1,12 +1,15 @@
 import json
 import random
+import time
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from landsift.functions import geo, text
 from landsift.operators import clean, dedupe, enrich, explore, stats
-from landsift.plans import cli, fixtures, pipeline, quickfilter
+from landsift.plans import catalog, cli, fixtures, pipeline, quickfilter
 from landsift.schema import LISTING, QUERY_COLUMNS
 from landsift.sources import generate, readers, writers
 from landsift.streaming import gate
@@ -262,3 +265,32 @@ def test_kernels_agree(spark):
     assert all(r["a"] == r["b"] for r in rows.select(text.fingerprint(F.col("t")).alias("a"), text.fingerprint(F.col("t"), "sql").alias("b")).collect())
     with pytest.raises(ValueError):
         text.fingerprint(F.col("t"), "other")
+
+
+def test_kernels_agree_at_lane_bounds(spark):
+    word, texts = random.Random(5).random, ["Ñ ñ 日本𝒳 a\U0010ffffb \x7f\x80", "é" * 3000]
+    for n in (1, 2, 62, 63, 64, 65, 127, 128, 16383, 16384, 16385):
+        texts += [" ".join(f"w{word()}" for _ in range(n)), "same " * n, "one " * (n // 2) + "two " * (n - n // 2)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", text.fingerprint(F.col("t")).alias("a"), text.fingerprint(F.col("t"), "sql").alias("b")).collect()
+    assert [(r["a"], r["b"]) for r in sorted(got, key=lambda r: r["i"])] == [(py_simhash(t),) * 2 for t in texts]
+
+
+def test_sql_kernel_hashes_once(spark):
+    rows = spark.range(20000).select(F.format_string("Customer#%09d", "id").alias("t")).localCheckpoint()
+
+    def seconds(column):
+        began = time.perf_counter()
+        rows.select(column).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    hashes = F.transform(text.word_tokens(F.col("t")), text._fnv_sql)
+    alone = min(seconds(hashes) for _ in range(4))
+    assert min(seconds(text.fingerprint(F.col("t"), "sql")) for _ in range(3)) < 10 * alone  # 64 times if made for each bit
+
+
+def test_kernels_query_deals_out_one_row_group(spark, tmp_path):
+    n, named = 40_000, random.Random(7).randbytes  # names that don't shrink, or a task's least megabyte holds all
+    pq.write_table(pa.table({"c_custkey": range(n), "c_name": [named(40).hex() for _ in range(n)]}), tmp_path / "customer.parquet")
+    got = catalog.queries()["q_simhash_kernels"](spark, str(tmp_path))
+    parts = got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.max("arrow")).collect()
+    assert len(parts) > 1 and sum(r["n"] for r in parts) == n
