@@ -3,8 +3,8 @@
 Rules (host, path, verdict) fit a host and its subdomains where the path begins with theirs; the longest wins. URLs
 that a rule decides are the labelled ones: boosted trees of depth 2 learn from all of them, on lexical features
 (length, depth, digit ratio, entropy, parameter counts and more) and the last host label's statistics. Labels of both
-kinds weigh the same in total, since the rules block far more than they allow and the verdict is for the URLs that they
-are silent on. Features are cut into at most 16 bins by approximate quantiles over all rows; labelled rows are
+kinds weigh the same in total, whichever the rules give more of, since the verdict is for the URLs that they are silent
+on. Features are cut into at most 16 bins by approximate quantiles over all rows; labelled rows are
 pre-aggregated to their distinct bin vectors; each tree level is one aggregation of gradients by (node, feature, bin), a
 histogram of fixed size, and the trees become one expression.
 
@@ -29,7 +29,7 @@ from ._spark import cut
 RULES = (
     ("com", "/en/", "block"),
     ("example.com", "/en/7", "allow"),
-    ("net", "/de/", "block"),
+    ("net", "/de/", "allow"),
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
