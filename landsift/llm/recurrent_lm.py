@@ -10,7 +10,8 @@ tokens are exact and grow with the corpus: they are aggregated over the cluster
   p(word | class[, state]) sums to 1 over known words and one unknown word a surface class.
 
 A dictionary of up to 200,000 most frequent words (a word of over 64 bytes goes by its digest) is broadcast; counts of
-rarer words are joined by the word. Training is data-parallel: in each of `rounds` rounds every task trains a copy of
+rarer words are joined by the word. Texts are cut into words and looked up once, after the dictionary is made; all rounds
+and the scoring read their codes. Training is data-parallel: in each of `rounds` rounds every task trains a copy of
 the shared weights on its own documents, and weights are averaged in a tree. Round i takes the documents of slice
 i % `slices` by hash, and there are no fewer rounds than slices, so every training document is learnt from, with the
 defaults exactly once, whatever the size of the corpus; a task has about `task_tokens` tokens or more. Output biases
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, partition_sum, ship
+from ._spark import by_size, cut, partition_sum, ship
 
 END = b""
 HEAD, CLASSES, SURFACE, HIDDEN = 1024, 32, 18, 16
@@ -89,6 +90,9 @@ class Words(dict):
             self[word] = code
         return code
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
+
 
 class Lexicon:
     """Dictionary with counts, head classes and class totals; what workers need besides the weights."""
@@ -105,6 +109,15 @@ class Lexicon:
         heads = np.array([counts[a:b].sum() for a, b in self.edges])
         self.class_of = np.concatenate([np.repeat(np.arange(len(self.edges)), [b - a for a, b in self.edges]), len(self.edges) + self.surface_of[self.head :]]).astype(np.int64)
         self.mass = np.concatenate([heads, self.totals])
+        # class and input row by code, the surface classes' codes first
+        code = np.arange(-SURFACE, len(words))
+        cls = np.where(code < 0, len(self.edges) - 1 - code, self.class_of[np.maximum(code, 0)])
+        self.split = cls.astype(np.int16), np.where((code >= 0) & (code < self.head), code, self.head + cls - len(self.edges)).astype(np.int16)
+        self.near = np.where((code < 0) | (code < self.head), code, -1 - self.surface_of[np.maximum(code, 0)]).astype(np.int32)
+
+    def seen(self, codes: np.ndarray) -> np.ndarray:
+        """codes as the network tells them apart: of a word outside the head only its surface class."""
+        return self.near[codes + SURFACE]
 
 
 def start_weights(lex: Lexicon, seed: int = 11) -> dict[str, np.ndarray]:
@@ -234,7 +247,7 @@ def _bounded(weights: np.ndarray, bias: np.ndarray) -> bool:
 def log_probs(w: dict[str, np.ndarray], lex: Lexicon, hs: np.ndarray, cls: np.ndarray, word: np.ndarray, grads: dict | None = None):
     """ln p(class) (+ ln p(word | class) in the head) of each state's target. With grads, they and d loss / d state.
     States go by class, so that each class is one slice."""
-    order = np.argsort(cls.astype(np.int16), kind="stable")
+    order = np.argsort(cls.astype(np.int16, copy=False), kind="stable")
     cls, word = cls[order], word[order]
     at, safe = np.arange(len(cls)), _bounded(w["wc"].T, w["bc"]) and _bounded(w["wo"], w["bo"])
     states = np.ones((len(cls), HIDDEN + 1), np.float32)  # the last column carries the biases
@@ -256,24 +269,30 @@ def log_probs(w: dict[str, np.ndarray], lex: Lexicon, hs: np.ndarray, cls: np.nd
         back = e @ w["wc"].T
         down = np.zeros_like(of_word)
     ends = np.searchsorted(cls, np.arange(len(lex.edges) + 1)).tolist()
-    for c, (a, b) in enumerate(lex.edges):
-        lo, hi = ends[c], ends[c + 1]
-        if lo == hi:
-            continue
-        h = states[lo:hi]
-        logits = h @ of_word[a:b].T
+    heads, width = ends[-1], max((b - a for a, b in lex.edges), default=0)
+    if heads:  # one row of logits a state in the head, of the words of its class; a class short of words leaves the rest out
+        logits = np.empty((heads, width), np.float32)
+        classes = [(ends[c], ends[c + 1], a, b) for c, (a, b) in enumerate(lex.edges) if ends[c] < ends[c + 1]]
+        for lo, hi, a, b in classes:
+            np.matmul(states[lo:hi], of_word[a:b].T, out=logits[lo:hi, : b - a])
+            if b - a < width:
+                logits[lo:hi, b - a :] = -np.inf
         if not safe:
             np.minimum(logits, TOP, out=logits)
-        i, j = at[: hi - lo], word[lo:hi] - a
-        chosen[lo:hi] += logits[i, j]
+        i, j = at[:heads], word[:heads] - np.array([a for a, _ in lex.edges])[cls[:heads]]
+        chosen[:heads] += logits[i, j]
         e = np.exp(logits, out=logits)
-        s = e @ ONES[: b - a]
-        total[lo:hi] *= s
+        s = e @ ONES[:width]
+        total[:heads] *= s
         if grads is not None:
             e *= (1 / s)[:, None]
             e[i, j] -= 1
-            np.matmul(e.T, h, out=down[a:b])
-            back[lo:hi] += e @ w["wo"][a:b]
+            inner = np.empty((heads, HIDDEN), np.float32)
+            for lo, hi, a, b in classes:
+                own = e[lo:hi, : b - a]
+                np.matmul(own.T, states[lo:hi], out=down[a:b])
+                np.matmul(own, w["wo"][a:b], out=inner[lo:hi])
+            back[:heads] += inner
     if grads is not None:
         grads["wo"] += down[:, :-1]
         grads["bo"] += down[:, -1]
@@ -288,9 +307,8 @@ def log_probs(w: dict[str, np.ndarray], lex: Lexicon, hs: np.ndarray, cls: np.nd
 
 def split_codes(lex: Lexicon, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(class, input row) of codes: rarer words share the row of their surface class."""
-    heads = len(lex.edges)
-    cls = np.where(codes < 0, heads - 1 - codes, lex.class_of[np.maximum(codes, 0)])
-    return cls, np.where((codes >= 0) & (codes < lex.head), codes, lex.head + cls - heads)
+    at = codes + SURFACE
+    return lex.split[0][at], lex.split[1][at]
 
 
 class Trainer:
@@ -307,12 +325,16 @@ class Trainer:
         w, k = self.w, HIDDEN
         rows = split_codes(self.lex, inputs)[1]
         hs, _, (h0, g, n, a) = forward(w, rows, begin, h, keep=True, enter=enter)
-        flat = hs[valid]
-        cls, _ = split_codes(self.lex, targets[valid])
+        whole = bool(valid.all())
+        flat, targets = (hs.reshape(-1, k), targets.ravel()) if whole else (hs[valid], targets[valid])
+        cls, _ = split_codes(self.lex, targets)
         grads = {name: np.zeros_like(v) for name, v in w.items() if name != "x"}
-        _, back = log_probs(w, self.lex, flat, cls, targets[valid], grads)
-        dh_out = np.zeros(hs.shape, np.float32)
-        dh_out[valid] = back
+        _, back = log_probs(w, self.lex, flat, cls, targets, grads)
+        if whole:
+            dh_out = back.reshape(hs.shape)
+        else:
+            dh_out = np.zeros(hs.shape, np.float32)
+            dh_out[valid] = back
         dh_out = _across(dh_out)
         z, r = g[:, :k], g[:, k:]
         to_n, to_z, to_r = (1 - z) * (1 - n * n), (h0 - n) * z * (1 - z), a[:, 2 * k :] * r * (1 - r)
@@ -338,7 +360,7 @@ class Trainer:
             self._step(name, slice(None), grad * scale)
         order = np.argsort(rows, axis=None, kind="stable")
         sorted_rows = rows.ravel()[order]
-        first = np.flatnonzero(np.diff(sorted_rows, prepend=-1))
+        first = np.flatnonzero(np.diff(sorted_rows, prepend=np.int16(-1)))
         self._step("x", sorted_rows[first], np.add.reduceat(dx[order], first, axis=0) * scale)
         self.fresh += len(flat)
         if self.fresh >= 8 * self.nominal:
@@ -364,7 +386,7 @@ class Trainer:
         """texts: (codes, those learnt already, state after these). Up to `part` tokens of each are learnt, so that lanes
         end together; returns the texts that have more, with the state that the next part goes on from."""
         self.nominal = lanes * size
-        docs = [codes[at : at + part] for codes, at, _ in texts]
+        docs = [self.lex.seen(codes[at : at + part]) for codes, at, _ in texts]
         states = np.array([h for *_, h in texts], dtype=np.float32)
         s = Stream(docs, lanes, end, [codes[at - 1] if at else end for codes, at, _ in texts], states)
         left = {i for i, (codes, at, _) in enumerate(texts) if at + part < len(codes)}
@@ -384,7 +406,7 @@ class Trainer:
 def score_codes(lex: Lexicon, w: dict[str, np.ndarray], docs: list[np.ndarray], end: int, lanes: int = 256, size: int = 32) -> np.ndarray:
     """Sum of ln p(class) and, in the head, ln p(word | class) of each document."""
     out = np.zeros(len(docs))
-    s = Stream(docs, lanes, end)
+    s = Stream([lex.seen(d) for d in docs], lanes, end)
     h = np.zeros((len(s.lengths), HIDDEN), np.float32)
     for inputs, targets, doc, begin in s.windows(size, lanes * size):
         hs, h, _ = forward(w, split_codes(lex, inputs)[1], begin, h[: inputs.shape[1]])
@@ -455,7 +477,7 @@ def _codes_of(shared) -> Words:
 
 
 def train(docs: DataFrame, lex: Lexicon, shared, rounds: int, slices: int, task_tokens: int, rate: float) -> dict[str, np.ndarray]:
-    """Weights, averaged after each round over the tasks. A task learns its documents once, in the order they come, a
+    """Weights, averaged after each round over the tasks. docs: (id, text), or (id, codes) of `coded`. A task learns its documents once, in the order they come, a
     part of each at a time; of a long one the state goes on from part to part."""
     if rounds < slices:
         raise ValueError("fewer rounds than slices leave training documents out")
@@ -478,8 +500,9 @@ def train(docs: DataFrame, lex: Lexicon, shared, rounds: int, slices: int, task_
                 return trainer.learn(waiting, end, pace[0])
 
             for b in batches:
-                for text in b.column(1):
-                    codes = np.fromiter(map(known.__getitem__, tokens(text.as_py())), dtype=np.int32)
+                for value in b.column(1):
+                    value = value.as_py()
+                    codes = np.frombuffer(value, np.int32) if isinstance(value, bytes) else known.of(tokens(value))
                     waiting.append((codes, 0, empty))
                     fresh += len(codes)
                     if fresh >= pace[1]:
@@ -498,6 +521,27 @@ def train(docs: DataFrame, lex: Lexicon, shared, rounds: int, slices: int, task_
     return w
 
 
+def coded(docs: DataFrame, shared) -> DataFrame:
+    """(id, codes, row, tail) of docs (id, text): the codes of the tokens, as the bytes of int32, a number that no other
+    row has, and the words outside the dictionary. So texts are read and looked up once, for learning and scoring."""
+
+    def run(batches):
+        known = _codes_of(shared)
+        part, row = TaskContext.get().partitionId(), 0
+        for b in by_size(batches, 1, 4096, 4 << 20):
+            codes, tails = [], []
+            for text in b.column(1):
+                words = tokens(text.as_py())
+                own = known.of(words)
+                codes.append(own.tobytes())
+                tails.append([named(words[i]) for i in np.flatnonzero(own < 0)])
+            rows = (part << 40) + row + np.arange(len(codes))
+            row += len(codes)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.binary()), pa.array(rows, pa.int64()), pa.array(tails, pa.list_(pa.binary()))], names=["id", "codes", "row", "tail"])
+
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, codes binary, row long, tail array<binary>")
+
+
 def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", rounds: int = 3, slices: int = 3, task_tokens: int = 120_000, rate: float = 0.3) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; scores are log10 probabilities."""
     spark = df.sparkSession
@@ -506,18 +550,17 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", r
     counts = cut(count_tokens(docs))
     lex = build_lexicon(counts)
     shared = spark.sparkContext.broadcast(lex)
-    held = spark.sparkContext.broadcast(train(docs, lex, shared, rounds, slices, task_tokens, rate))
+    words_ = cut(coded(docs, shared))
+    held = spark.sparkContext.broadcast(train(words_.select("id", "codes"), lex, shared, rounds, slices, task_tokens, rate))
     end = lex.words.index(END)
 
     def run(batches):
-        lexicon, known, w = shared.value, _codes_of(shared), held.value
+        lexicon, w = shared.value, held.value
         log_c = np.log10(lexicon.counts + 0.5)
         log_class = np.log10(lexicon.totals)
-        part, row = TaskContext.get().partitionId(), 0
-        ids, docs_, tails, n = [], [], [], 0
+        ids, rows, docs_, n = [], [], [], 0
 
         def out():
-            nonlocal row
             n, sizes = len(docs_), np.array([len(d) for d in docs_])
             codes, doc = np.concatenate(docs_), np.repeat(np.arange(n), sizes)
             tail, mid, inside = codes < 0, codes >= lexicon.head, codes >= 0
@@ -526,35 +569,32 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", r
             model = score_codes(lexicon, w, docs_, end) / LN10
             model += np.bincount(doc[mid], log_c[codes[mid]] - log_class[lexicon.surface_of[codes[mid]]], n)
             model -= np.bincount(doc[tail], log_class[-1 - codes[tail]], n)
-            cols = [(part << 40) + row + np.arange(n), [is_held_out(i) for i in ids], sizes, known_, base, model]
-            row += n
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], pa.array(tails, pa.list_(pa.binary()))], names=["id", "row", "held_out", "n_tokens", "n_known", "base", "model", "tail"])
+            cols = [ids, rows, [is_held_out(i) for i in ids], sizes, known_, base, model]
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["id", "row", "held_out", "n_tokens", "n_known", "base", "model"])
 
         for b in batches:
-            for id_, text_ in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words = tokens(text_.as_py())
-                codes = np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words))
+            for id_, row, codes in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                 ids.append(id_)
-                docs_.append(codes)
-                tails.append([named(words[i]) for i in np.flatnonzero(codes < 0)])
-                n += len(codes)
+                rows.append(row)
+                docs_.append(np.frombuffer(codes, np.int32))
+                n += len(docs_[-1])
                 if n >= 1_000_000:
                     yield out()
-                    ids, docs_, tails, n = [], [], [], 0
+                    ids, rows, docs_, n = [], [], [], 0
         if ids:
             yield out()
 
-    scored = cut(docs.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, "id long, row long, held_out boolean, n_tokens long, n_known long, base double, model double, tail array<binary>"))
+    scored = cut(words_.select(F.col("id").cast("long").alias("id"), "row", "codes").mapInArrow(run, "id long, row long, held_out boolean, n_tokens long, n_known long, base double, model double"))
     rare = (
-        scored.select("row", F.explode("tail").alias("token"))
+        words_.select("row", F.explode("tail").alias("token"))
         .join(counts, "token", "left")
         .groupBy("row")
         .agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("log_c"), F.count("c").alias("known"))
     )
     z = math.log10(lex.n + 0.5 * (lex.v + 1))
     zero = F.lit(0.0)
-    return scored.drop("tail").join(rare, "row", "left").select(
+    return scored.join(rare, "row", "left").select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",

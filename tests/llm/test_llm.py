@@ -117,6 +117,24 @@ def test_every_training_document_is_learnt_from(spark):
     assert read == {i for i in [*range(300), None] if not recurrent_lm.is_held_out(i)}
 
 
+def test_texts_are_coded_once_for_learning_and_scoring(spark):
+    """What is learnt from the codes is what is learnt from the texts; codes, rows and unknown words are held."""
+    rng = random.Random(5)
+    texts = [None, "", "One TWO one \u00e9", *(" ".join(f"w{rng.randint(0, 40)}" for _ in range(60)) for _ in range(80))]
+    rows = docs(spark, list(enumerate(texts))).select(F.col("doc_id").alias("id"), "text").coalesce(1)
+    lex = recurrent_lm.build_lexicon(recurrent_lm.count_tokens(rows.filter("id > 2")))
+    shared = spark.sparkContext.broadcast(lex)
+    table = recurrent_lm.coded(rows, shared)
+    got, known = {r["id"]: r for r in table.collect()}, recurrent_lm.Words(lex.words)
+    assert len({r["row"] for r in got.values()}) == len(texts)
+    for i, text in enumerate(texts):
+        words = recurrent_lm.tokens(text)
+        assert np.frombuffer(got[i]["codes"], np.int32).tolist() == [known[w] for w in words]
+        assert [bytes(w) for w in got[i]["tail"]] == [w for w in words if known[w] < 0]
+    one, other = (recurrent_lm.train(d, lex, shared, 1, 1, 10**9, 0.3) for d in (rows, table.select("id", "codes")))
+    assert all(np.array_equal(one[k], other[k]) for k in one) and not np.array_equal(one["wo"], recurrent_lm.start_weights(lex)["wo"])
+
+
 def test_language_model_beats_its_base_by_a_tenth(spark):
     """Held-out log10 a token on the 1,000 documents of sf0.01, each training document learnt from once."""
     got = recurrent_lm.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
