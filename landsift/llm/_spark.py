@@ -15,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[2]
+SMALL = 2 << 20  # bytes of a table's files up to which each executor may hold it whole
 BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
@@ -37,10 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
     return held
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, few: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: the lineage ends there, a lost executor costs no
-    recomputation, and unlike checkpoint() the plan runs once and the files are compressed and columnar."""
+    recomputation, and unlike checkpoint() the plan runs once and the files are compressed and columnar. few: of what is
+    small, `gathered` first, so that there is a file a core and not one a partition."""
     spark = df.sparkSession
+    df = gathered(df, 1) if few else df
     path = f"{shared_dir(spark)}/landsift-{uuid.uuid4().hex}"
     df.write.parquet(path)
     held = spark.read.schema(df.schema).parquet(path)
@@ -53,6 +57,26 @@ def remove(df: DataFrame) -> None:
     discard(df.sparkSession, df._landsift_path)
 
 
+def fits(df: DataFrame, share: int = 1) -> bool:
+    """Whether df is a table of `cut` of which one row in `share` may be broadcast: its files have up to SMALL bytes times
+    that."""
+    if not (path := getattr(df, "_landsift_path", None)):
+        return False
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(where).getLength() <= SMALL * share
+
+
+def gathered(df: DataFrame, each: int) -> DataFrame:
+    """df in at most `each` partitions a core, without an exchange."""
+    return df.coalesce(each * max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
+def sent(df: DataFrame, small: bool) -> DataFrame:
+    """df, to be broadcast to a join if it is small: then the other side needs no exchange."""
+    return F.broadcast(df) if small else df
+
+
 def discard(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)

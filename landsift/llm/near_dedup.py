@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import by_size, cut, partition_sum, remove, ship
+from ._spark import by_size, cut, fits, gathered, partition_sum, remove, sent, ship
 from ._words import mixed, shingles
 from .components import components
 
@@ -163,14 +163,19 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def verified(docs: DataFrame, pairs: DataFrame, idf: np.ndarray, threshold: float, k: int) -> DataFrame:
     """pairs (leader, member; a table of `cut`, deleted afterwards) with their similarity, of docs (id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
-    sizes = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
-    dealt = pairs.join(sizes, "leader").select("leader", "member", F.pmod(F.xxhash64("member"), F.floor(F.col("n") / 256) + 1).alias("salt"))
+    hot = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).filter("n >= 256")
+    n = F.coalesce("n", F.lit(0))
+    dealt = pairs.join(sent(hot, fits(pairs, 256)), "leader", "left").select("leader", "member", F.pmod(F.xxhash64("member"), F.floor(n / 256) + 1).alias("salt"))
     wanted = dealt.select(F.col("member").alias("id"), "leader", "salt", F.lit(1).alias("kind")).unionByName(dealt.select(F.col("leader").alias("id"), "leader", "salt", F.lit(0).alias("kind")).distinct())
-    wanted = cut(wanted)
-    rows = _texts(docs, wanted).repartition("leader", "salt").sortWithinPartitions("leader", "salt", "kind", "id")
+    wanted = cut(wanted, fits(pairs))
+    rows = _texts(docs, wanted).repartition("leader", "salt")
+    rows = (gathered(rows, 4) if fits(wanted) else rows).sortWithinPartitions("leader", "salt", "kind", "id")
+
+    def made(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["leader", "member", "similarity"])
 
     def run(batches):
-        table, now, lead = shared.value, None, []
+        table, now, lead, last = shared.value, None, [], None  # last: a pair that may go on, of an id that repeats
         for b in by_size(batches, "text"):
             h, times, counts, _ = shingles([t or "" for t in b.column("text").to_pylist()], k)
             w = weights(table, h, times)
@@ -183,11 +188,18 @@ def verified(docs: DataFrame, pairs: DataFrame, idf: np.ndarray, threshold: floa
                 if kind == 0:
                     lead.append(own)
                 else:
-                    out.append((leader, member, max((weighted_jaccard(x, own) for x in lead), default=0.0)))
+                    similarity = max((weighted_jaccard(x, own) for x in lead), default=0.0)
+                    if last and last[:2] == (leader, member):
+                        similarity = max(similarity, last[2])
+                    elif last:
+                        out.append(last)
+                    last = (leader, member, similarity)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["leader", "member", "similarity"])
+                yield made(out)
+        if last:
+            yield made([last])
 
-    out = cut(rows.select("leader", "salt", "kind", "id", "text").mapInArrow(run, "leader long, member long, similarity double").groupBy("leader", "member").agg(F.max("similarity").alias("similarity")).withColumn("linked", F.col("similarity") >= threshold))
+    out = cut(rows.select("leader", "salt", "kind", "id", "text").mapInArrow(run, "leader long, member long, similarity double").withColumn("linked", F.col("similarity") >= threshold))
     remove(wanted)
     remove(pairs)
     return out
@@ -198,8 +210,9 @@ def _spanning(met: DataFrame, done: DataFrame, roots: DataFrame, reach: float) -
     The distance d of each member to its key's leader is known, and weighted Jaccard distance is a metric: a member of
     the leader's component whose d is below that of all strangers by more than reach links to none of them, and leaves."""
     near = done.select("leader", F.col("member").alias("id"), (1 - F.col("similarity")).alias("d"))
+    few = fits(roots)
     home = roots.select(F.col("id").alias("leader"), F.col("root").alias("home"))
-    rooted = met.join(near, ["leader", "id"], "left").join(roots, "id", "left").join(home, "leader", "left")
+    rooted = met.join(sent(near, fits(done)), ["leader", "id"], "left").join(sent(roots, few), "id", "left").join(sent(home, few), "leader", "left")
     rooted = rooted.select("key", "id", F.coalesce("root", "id").alias("root"), F.coalesce("home", "leader").alias("home"), F.coalesce("d", F.lit(0.0)).alias("d"))
     edges = rooted.filter("root <> home").groupBy("key").agg(F.min("d").alias("edge"))
     open_ = rooted.join(edges, "key").filter((F.col("root") != F.col("home")) | (F.col("d") >= F.col("edge") - reach - 1e-6)).select("key", "id", "root")
@@ -236,7 +249,8 @@ def prefixes(docs: DataFrame, wanted: DataFrame, idf: np.ndarray, threshold: flo
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, to).astype(np.int32)), pa.array(shingle[place]))
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], names=["id", "root", "total", "shingle", "rest", "short", "before"])
 
-    return _texts(docs, wanted).select("id", "root", "text").mapInArrow(run, "id long, root long, total double, shingle long, rest double, short boolean, before array<long>")
+    rows = _texts(docs, wanted).select("id", "root", "text")
+    return (gathered(rows, 4) if fits(wanted) else rows).mapInArrow(run, "id long, root long, total double, shingle long, rest double, short boolean, before array<long>")
 
 
 def _candidates(fronts: DataFrame, threshold: float) -> DataFrame:
@@ -261,7 +275,7 @@ def _turns(pairs: DataFrame) -> DataFrame:
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """pairs (leader, member, turn) that lie in different components."""
-    ends = [roots.select(F.col("id").alias(end), F.col("root").alias(at)) for end, at in (("leader", "a"), ("member", "b"))]
+    ends = [sent(roots.select(F.col("id").alias(end), F.col("root").alias(at)), fits(roots)) for end, at in (("leader", "a"), ("member", "b"))]
     return pairs.join(ends[0], "leader", "left").join(ends[1], "member", "left").filter(F.coalesce("a", "leader") != F.coalesce("b", "member")).select("leader", "member", "turn")
 
 
@@ -271,17 +285,18 @@ def _new(pairs: DataFrame, done: DataFrame) -> DataFrame:
     return pairs.select("leader", "member", *ordered).dropDuplicates(["a", "b"]).join(done.select(*ordered), ["a", "b"], "left_anti").select("leader", "member")
 
 
-def _roots(links: DataFrame) -> DataFrame:
-    return components(links.select(F.col("leader").alias("a"), F.col("member").alias("b")))
+def _roots(links: DataFrame, few: bool = False) -> DataFrame:
+    return components(links.select(F.col("leader").alias("a"), F.col("member").alias("b")), few=few)
 
 
-def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """roots with links added: only the components that these tie are computed anew."""
+def _joined(roots: DataFrame, links: DataFrame, few: bool = False) -> DataFrame:
+    """roots with links added: only the components that these tie are computed anew. few: roots and the ends of links
+    may be broadcast."""
     named = links.select(F.col("leader").alias("id")).unionByName(links.select(F.col("member").alias("id"))).distinct()
-    held = roots.unionByName(named.join(roots, "id", "left_anti").select("id", F.col("id").alias("root")))
-    ends = [held.select(F.col("id").alias(end), F.col("root").alias(at)) for end, at in (("leader", "a"), ("member", "b"))]
-    tied = components(links.join(ends[0], "leader").join(ends[1], "member").select("a", "b"))
-    out = cut(held.join(tied.select(F.col("id").alias("root"), F.col("root").alias("new")), "root", "left").select("id", F.coalesce("new", "root").alias("root")))
+    held = roots.unionByName(named.join(sent(roots, few), "id", "left_anti").select("id", F.col("id").alias("root")))
+    ends = [sent(held.select(F.col("id").alias(end), F.col("root").alias(at)), few) for end, at in (("leader", "a"), ("member", "b"))]
+    tied = components(links.join(ends[0], "leader").join(ends[1], "member").select("a", "b"), few=few)
+    out = cut(held.join(sent(tied.select(F.col("id").alias("root"), F.col("root").alias("new")), fits(tied)), "root", "left").select("id", F.coalesce("new", "root").alias("root")), few)
     remove(tied)
     return out
 
@@ -298,7 +313,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", t
     leaders = members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("last > leader").drop("last")
     met = cut(members.join(leaders, "key").select("key", "leader", "id"))
     done = verified(docs, cut(met.filter("id > leader").select("leader", F.col("id").alias("member")).distinct()), idf, threshold, k)
-    roots = _roots(done.filter("linked"))
+    roots = _roots(done.filter("linked"), fits(done))
     tables = [done]
     wanted = cut(_spanning(met, done, roots, 1 - threshold))
     remove(met)
@@ -308,18 +323,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", t
     remove(fronts)
     partners = PARTNERS
     while not open_.isEmpty():
-        new = verified(docs, cut(open_.filter(F.col("turn") < partners).select("leader", "member")), idf, threshold, k)
+        new = verified(docs, cut(open_.filter(F.col("turn") < partners).select("leader", "member"), fits(open_)), idf, threshold, k)
         tables.append(new)
         done = done.unionByName(new)
-        last, roots = roots, _joined(roots, new.filter("linked"))
+        last, roots = roots, _joined(roots, new.filter("linked"), fits(roots) and fits(new))
         remove(last)
-        last, open_ = open_, cut(_apart(open_.filter(F.col("turn") >= partners), roots))
+        last, open_ = open_, cut(_apart(open_.filter(F.col("turn") >= partners), roots), fits(open_))
         remove(last)
         partners *= GROWTH
     remove(open_)
     links = done.filter("linked")
     degree = links.select(F.col("leader").alias("id")).unionByName(links.select(F.col("member").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = cut(reps.select("digest", "id").join(roots, "id", "left").join(degree, "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    classes = cut(reps.select("digest", "id").join(sent(roots, fits(roots)), "id", "left").join(degree, "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
     for used in (*tables, roots, reps):
         remove(used)
     return signed.select("id", "digest").join(classes, "digest", "left").select(F.col("id").alias(id_col), "class_id", "n_links", F.coalesce(F.col("id") == F.col("class_id"), F.lit(False)).alias("kept"))

@@ -369,6 +369,31 @@ def test_components(spark):
     assert got == {x: find(x) for e in edges for x in e if find(x) != x or any(find(y) == x and y != x for f in edges for y in f)}
 
 
+def test_small_tables_are_written_by_few_tasks(spark, monkeypatch):
+    """However many partitions shuffles have: the files of components and of verified pairs; results as by hand."""
+    rng, written = random.Random(8), []
+    texts = {i: sentences(rng, 30) for i in range(0, 120, 2)}
+    rows = [(i, t) for i, t in texts.items()] + [(i + 1, t + " end.") for i, t in texts.items()] + [(1, sentences(rng, 30)), (3, texts[0])]
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(keep, ("97", "false"), strict=True):
+        spark.conf.set(k, v)
+    monkeypatch.setattr(components, "remove", lambda df: written.append(df.rdd.getNumPartitions() and len(df.inputFiles())))
+    try:
+        roots = components.components(spark.createDataFrame([(i, i + 1) for i in range(300) if i % 10], "a long, b long"))
+        assert {r["id"]: r["root"] for r in roots.collect()} == {i: (i - 1) // 10 * 10 + 1 for i in range(1, 301)}
+        df = docs(spark, rows).select(F.col("doc_id").alias("id"), "text")
+        idf = near_dedup.idf_table(df, "text", 0.25, 5)
+        pairs = near_dedup.cut(spark.createDataFrame([(i, i + 1) for i in texts], "leader long, member long").repartition(97))
+        pairs_ = near_dedup.verified(df, pairs, idf, 0.8, 5)
+        got = {(r["leader"], r["member"]): r["linked"] for r in pairs_.collect()}
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    cores = spark.sparkContext.defaultParallelism
+    assert got == {(i, i + 1): True for i in texts} and pairs_.count() == len(texts)
+    assert written[1:] and max([*written[1:], len(roots.inputFiles())]) <= cores and len(pairs_.inputFiles()) <= 4 * cores < 97
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------
 def test_tokenizer(spark):
     ranks, pattern = bpe.tokenizer()
