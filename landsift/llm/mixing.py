@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import warnings
 from functools import reduce
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import cut, remove
@@ -100,48 +100,59 @@ def _off(now: DataFrame, goal: DataFrame) -> DataFrame:
     return goal.join(got, ["dim", "value"])
 
 
-def fitted(cells: DataFrame, goal: DataFrame, values: dict[str, int], total: float, bounded: bool, tolerance: float, sweeps: int) -> tuple[DataFrame, float]:
+def fitted(cells: DataFrame, goal: DataFrame, values: dict[str, int], number: int, total: float, bounded: bool, tolerance: float, sweeps: int) -> tuple[DataFrame, float]:
     """cells with p, wanted over available tokens, and the largest miss of a marginal as a share of total. A cell's p is
     the product of its values' factors, 1 at most if bounded (else it may exceed 1); a step fits one dimension's factors.
-    What a value gives whole isn't raked."""
+    What a value gives whole isn't raked. Up to SMALL cells are one partition, in which a value's sums are windows: a
+    sweep is then one task without exchange or broadcast, as each of these costs the driver memory and threads, however
+    few the rows. More cells are summed by value and joined to that."""
+    few = number <= SMALL
 
     def small(d: str, table: DataFrame) -> DataFrame:
         return F.broadcast(table) if values[d] <= SMALL else table
 
-    base = cells.withColumn("whole", F.lit(False))
-    for d in DIMS if bounded else ():
-        own = goal.filter((F.col("dim") == d) & (F.col("want") >= F.col("tokens") * (1 - 1e-9))).select(F.col("value").alias(d), F.lit(True).alias("all"))
-        base = base.join(small(d, own), d, "left").withColumn("whole", F.col("whole") | F.col("all").isNotNull()).drop("all")
-    base = cut(base)
-    factors = {d: cut(goal.filter(F.col("dim") == d).select(F.col("value").alias(d), "want", F.lit(1.0).alias("f"), F.lit(0.0).alias("miss"))) for d in DIMS}
+    def summed(now: DataFrame, d: str, **parts: Column) -> DataFrame:
+        """now with the sums of parts over the cells of each value of d."""
+        if few:
+            return now.withColumns({k: F.sum(part).over(Window.partitionBy(d)) for k, part in parts.items()})
+        return now.join(small(d, now.groupBy(d).agg(*[F.sum(part).alias(k) for k, part in parts.items()])), d)
 
-    def product() -> DataFrame:
-        out = base.withColumn("p", F.lit(1.0))
-        for d in DIMS:
-            out = out.join(small(d, factors[d].select(d, "f")), d).withColumn("p", F.col("p") * F.col("f")).drop("f")
-        p = F.least(F.col("p"), F.lit(1.0)) if bounded else F.col("p")
-        return out.withColumn("p", F.when(F.col("whole"), 1.0).otherwise(p))
+    def p(now: DataFrame) -> DataFrame:
+        return now.withColumn("p", F.when(F.col("whole"), 1.0).otherwise(F.least(F.col("f"), F.lit(1.0)) if bounded else F.col("f")))
+
+    def together(now: DataFrame) -> DataFrame:
+        """now, in one partition if few: also what is read back has to be told so."""
+        return now.coalesce(1) if few else now
+
+    base = cells.withColumns({"whole": F.lit(False), "f": F.lit(1.0)})
+    for d in DIMS:
+        own = goal.filter(F.col("dim") == d).select(F.col("value").alias(d), F.col("want").alias(f"want_{d}"), (F.col("want") >= F.col("tokens") * (1 - 1e-9)).alias("all"))
+        base = base.join(small(d, own), d).withColumn("whole", F.col("whole") | (F.col("all") if bounded else F.lit(False))).drop("all")
+    now = base = cut(together(base.withColumn("miss", F.lit(0.0))))
 
     worst, least, since = 0.0, float("inf"), 0
     for _ in range(sweeps):
+        last = now
+        now = together(now).withColumn("miss", F.lit(0.0))
         for d in DIMS:
             full = (F.col("p") >= 1) if bounded else F.lit(False)
             part = F.when(F.col("whole"), 0.0).otherwise(F.col("tokens") * F.col("p"))
-            got = product().groupBy(d).agg(F.sum(F.when(F.col("whole"), F.col("tokens")).otherwise(0.0)).alias("whole"), F.sum(F.when(full, part).otherwise(0.0)).alias("held"), F.sum(F.when(full, 0.0).otherwise(part)).alias("free"))
-            raked, open_ = F.col("held") + F.col("free"), F.col("want") - F.col("whole")
+            now = summed(p(now), d, given_=F.when(F.col("whole"), F.col("tokens")).otherwise(0.0), held=F.when(full, part).otherwise(0.0), free=F.when(full, 0.0).otherwise(part))
+            raked, open_ = F.col("held") + F.col("free"), F.col(f"want_{d}") - F.col("given_")
             grow, shrink = (open_ - F.col("held")) / F.col("free"), F.greatest(open_ / raked, F.lit(1e-6))
             x = F.when((F.col("free") > 0) & (open_ >= raked), grow).when(raked > 0, F.least(shrink, F.lit(1.0)) if bounded else shrink).otherwise(1.0)
-            miss = F.abs(F.col("whole") + raked - F.col("want"))
-            last, factors[d] = factors[d], cut(got.join(small(d, factors[d].drop("miss")), d).select(d, "want", (F.col("f") * x).alias("f"), miss.alias("miss")))
-            remove(last)
-        misses = reduce(DataFrame.unionByName, [factors[d].select("miss") for d in DIMS])  # before each step
-        worst = (misses.agg(F.max("miss")).first()[0] or 0.0) / max(total, 1e-300)
+            miss = F.abs(F.col("given_") + raked - F.col(f"want_{d}"))  # before the step
+            now = now.withColumns({"f": F.col("f") * x, "miss": F.greatest("miss", miss)}).select(base.columns)
+            if not few or d == DIMS[-1]:
+                now = cut(now)
+                remove(last)
+                last = now
+        worst = (together(now).agg(F.max("miss")).first()[0] or 0.0) / max(total, 1e-300)
         least, since = (worst, 0) if worst < 0.98 * least else (least, since + 1)
         if worst < tolerance or since == 6:  # fitted, or no longer getting nearer: the bounds bar it
             break
-    done = cut(product())
-    for used in (base, *factors.values()):
-        remove(used)
+    done = cut(p(together(now)).select(*DIMS, "tokens", "whole", "p"))
+    remove(now)
     return done, worst
 
 
@@ -152,7 +163,7 @@ def rates(rows: DataFrame, given: dict[str, dict[str, float]], temperature: floa
     number, total, values = counted[0], counted[1] or 0.0, dict(zip(DIMS, counted[2:], strict=True))
     wanted = budget * total if budget is not None else 1.0
     goal = cut(goals(cells, given, temperature, wanted if budget is not None else None))
-    done, worst = fitted(cells, goal, values, wanted, budget is not None, tolerance, sweeps)
+    done, worst = fitted(cells, goal, values, number, wanted, budget is not None, tolerance, sweeps)
     if worst >= tolerance:
         warnings.warn(f"raking ended with a marginal off by {worst:.2g} of the wanted tokens; see marginals()", stacklevel=3)
     if budget is None and number:

@@ -716,6 +716,35 @@ def test_bounded_raking_by_hand(spark):
         mixing.probabilities(df, {"lang": {"en": 0.01, "de": 0.98, "fr": 0.01}}, budget=None, topic=F.lit("one"), sweeps=1)
 
 
+def test_raking_of_few_cells_takes_few_jobs(spark, monkeypatch):
+    """A sweep over few cells is one write and one look at the misses; cells beyond SMALL get the same probabilities."""
+    rng = random.Random(23)
+    rows = [(i, sentences(rng, rng.randint(1, 60)), rng.choice(["en", "en", "en", "de", "fr", None]), rng.choice("aaaabbc"), i) for i in range(600)]
+    df, given = spark.createDataFrame(rows, DOC), {"lang": {"en": 0.4, "de": 0.3, "fr": 0.2}}
+
+    def made(group, budget):
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            out = {r["doc_id"]: r["probability"] for r in mixing.probabilities(df, given, budget=budget).collect()}
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    cut, written = mixing.cut, []
+    monkeypatch.setattr(mixing, "cut", lambda *a: written.append(1) or cut(*a))
+    for budget in (0.5, None):
+        written.clear()
+        few, jobs = made(f"few-{budget}", budget)
+        assert jobs <= 30 + 3 * len(written)
+        sweeps = len(written)
+        with monkeypatch.context() as m:
+            m.setattr(mixing, "SMALL", 0)
+            written.clear()
+            many, more = made(f"many-{budget}", budget)
+        assert len(written) > sweeps and more > jobs
+        assert few.keys() == many.keys() and all(abs(few[i] - many[i]) < 1e-9 for i in few)
+
+
 def test_language_model_scores_by_loops():
     """score_codes against one token after another in plain float64."""
     words = [f"w{i}".encode() for i in range(70)]
