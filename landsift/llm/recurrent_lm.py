@@ -10,8 +10,9 @@ tokens are exact and grow with the corpus: they are aggregated over the cluster
   p(word | class[, state]) sums to 1 over known words and one unknown word a surface class.
 
 A dictionary of up to 200,000 most frequent words (a word of over 64 bytes goes by its digest) is broadcast; counts of
-rarer words are joined by the word. Texts are cut into words and looked up once, after the dictionary is made; all rounds
-and the scoring read their codes. Training is data-parallel: in each of `rounds` rounds every task trains a copy of
+rarer words are joined by the word. Texts are cut into words once, before the dictionary is made, and held as places in a
+list of words for each million; these lists are counted and looked up, and all rounds and the scoring read the codes
+that come of it. Training is data-parallel: in each of `rounds` rounds every task trains a copy of
 the shared weights on its own documents, and weights are averaged in a tree. Round i takes the documents of slice
 i % `slices` by hash, and there are no fewer rounds than slices, so every training document is learnt from, with the
 defaults exactly once, whatever the size of the corpus; a task has about `task_tokens` tokens or more. Output biases
@@ -27,6 +28,7 @@ import math
 import uuid
 import zlib
 from hashlib import blake2b
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import by_size, cut, partition_sum, ship
+from ._spark import by_size, cut, partition_sum, remove, ship
 
 END = b""
 HEAD, CLASSES, SURFACE, HIDDEN = 1024, 32, 18, 16
-DICTIONARY, WORD_BYTES, COUNTED = 200_000, 64, 500_000
+DICTIONARY, WORD_BYTES, PART, OUTSIDE = 200_000, 64, 1_000_000, -1 - SURFACE
 WINDOW, LONGEST = 24, 480  # steps of a window of backpropagation, and of one that few lanes are left in
 #: Lanes, tokens gathered before they are dealt to lanes, and rate's factor, until a task has learnt WARM tokens and then
 WARM, BEGIN, THEN = 200_000, (64, 50_000, 1.0), (192, 250_000, 1.75)
@@ -47,8 +49,9 @@ HALF = np.float32(0.5)
 TOP, ONES = np.float32(80), np.ones(4096, np.float32)  # logits stay below what float32 can exponentiate
 
 
-def tokens(text: str | None) -> list[bytes]:
-    words = (text or "").encode().lower().split()
+def tokens(text: str | bytes | None) -> list[bytes]:
+    """Of a text, or of its UTF-8."""
+    words = (text.encode() if isinstance(text, str) else text or b"").lower().split()
     words.append(END)
     return words
 
@@ -66,6 +69,19 @@ def surface(word: bytes) -> int:
     return (0 if ascii_ else 9) + 3 * end + (0 if len(word) <= 5 else 1 if len(word) <= 9 else 2)
 
 
+def surfaces(words: pa.Array) -> np.ndarray:
+    """`surface` of each of an array of words or names."""
+    held = words.buffers()
+    data = np.append(np.frombuffer(held[2] or b"", np.uint8), np.uint8(0))
+    at = np.frombuffer(held[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    start, size = at[:-1], np.diff(at)
+    high = np.append(0, np.cumsum(data >= 128))
+    ascii_ = np.where((data[start] == 255) & (size > 17), data[np.minimum(start + 17, len(data) - 1)] == ord("a"), high[at[1:]] == high[start])
+    ends = np.zeros(256, np.int64)
+    ends[list(b".!?")], ends[list(b",;:)\"-")] = 1, 2
+    return np.where(ascii_, 0, 9) + 3 * np.where(size > 0, ends[data[at[1:] - 1]], 0) + (size > 5) + (size > 9)
+
+
 def is_held_out(id_) -> bool:
     return id_ is not None and zlib.crc32(str(id_).encode()) % 5 == 1
 
@@ -416,24 +432,55 @@ def score_codes(lex: Lexicon, w: dict[str, np.ndarray], docs: list[np.ndarray],
     return out
 
 
-def count_tokens(docs: DataFrame) -> DataFrame:
-    """(token, c) over the training documents of docs (id, text); one row a token."""
-    from collections import Counter
+class Places(dict):
+    """word -> how many others came before it."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        return place
+
+
+def split(docs: DataFrame) -> DataFrame:
+    """docs (id, text) cut into words once, a row for about PART tokens (the last texts', up to 4 MB or
+    one, may be beyond): ids, tokens of each, their places in
+    `words` as the bytes of int32, these words, and how often each occurs in training documents. So a word is looked up by
+    its bytes once here and, for the counts and in the dictionary, only once for all that a row has of it."""
+
+    def part(ids, learnt, codes, places):
+        sizes, codes = np.array([len(c) for c in codes], np.int32), np.concatenate(codes)
+        c = np.bincount(codes[np.repeat(np.concatenate(learnt), sizes)], minlength=len(places))
+        words = pa.array([w if len(w) <= WORD_BYTES else named(w) for w in places], pa.binary())
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (pa.concat_arrays(ids), pa.array(sizes), words, pa.array(c, pa.int64()))]
+        return pa.RecordBatch.from_arrays([*lists, pa.array([codes.tobytes()], pa.binary())], names=["ids", "sizes", "words", "counts", "codes"])
 
     def run(batches):
-        def rows(c):
-            return pa.RecordBatch.from_arrays([pa.array([named(w) for w in c], pa.binary()), pa.array(list(c.values()), pa.int64())], names=["token", "c"])
+        ids, learnt, codes, places, n = [], [], [], Places(), 0
+        for b in by_size(batches, 1, 4096, 4 << 20):
+            ids.append(b.column(0))
+            learnt.append(~b.column(2).to_numpy(zero_copy_only=False))
+            for text in b.column(1).cast(pa.binary()):
+                words = tokens(text.as_py())
+                codes.append(np.fromiter(map(places.__getitem__, words), np.int32, len(words)))
+                n += len(words)
+            if n >= PART:
+                yield part(ids, learnt, codes, places)
+                ids, learnt, codes, places, n = [], [], [], Places(), 0
+        if ids:
+            yield part(ids, learnt, codes, places)
 
-        total: Counter = Counter()
-        for b in batches:
-            for text in b.column(0):
-                total.update(tokens(text.as_py()))
-                if len(total) > COUNTED:
-                    yield rows(total)
-                    total = Counter()
-        yield rows(total)
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "text", held_out().alias("held")).mapInArrow(run, f"ids array<{kind}>, sizes array<int>, words array<binary>, counts array<long>, codes binary")
+
+
+def counted(parts: DataFrame) -> DataFrame:
+    """(token, c) over the training documents of what `split` made; one row a token."""
+    pairs = parts.select(F.inline(F.arrays_zip("words", "counts"))).filter(F.col("counts") > 0)
+    return pairs.groupBy(F.col("words").alias("token")).agg(F.sum("counts").alias("c"))
 
-    return docs.filter(~held_out()).select("text").mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
+
+def count_tokens(docs: DataFrame) -> DataFrame:
+    """(token, c) over the training documents of docs (id, text)."""
+    return counted(split(docs))
 
 
 def build_lexicon(counts: DataFrame) -> Lexicon:
@@ -443,8 +490,8 @@ def build_lexicon(counts: DataFrame) -> Lexicon:
     def sums(batches):
         t = np.zeros(SURFACE + 2)
         for b in batches:
-            words, c = b.column(0).to_pylist(), b.column(1).to_numpy()
-            t[:SURFACE] += np.bincount([surface(x) for x in words], c + 0.5, SURFACE)
+            c = b.column(1).to_numpy()
+            t[:SURFACE] += np.bincount(surfaces(b.column(0)), c + 0.5, SURFACE)
             t[SURFACE:] += c.sum(), len(c)
         yield pa.RecordBatch.from_arrays([pa.array([t.tobytes()], pa.binary())], names=["sum"])
 
@@ -521,25 +568,33 @@ def train(docs: DataFrame, lex: Lexicon, shared, rounds: int, slices: int, task_
     return w
 
 
-def coded(docs: DataFrame, shared) -> DataFrame:
-    """(id, codes, row, tail) of docs (id, text): the codes of the tokens, as the bytes of int32, a number that no other
-    row has, and the words outside the dictionary. So texts are read and looked up once, for learning and scoring."""
+def recoded(parts: DataFrame, shared) -> DataFrame:
+    """(id, codes, row, tail) of the documents in what `split` made: the codes of the tokens, as the bytes of int32, a
+    number that no other row has, and the words outside the dictionary."""
 
     def run(batches):
         known = _codes_of(shared)
         part, row = TaskContext.get().partitionId(), 0
-        for b in by_size(batches, 1, 4096, 4 << 20):
-            codes, tails = [], []
-            for text in b.column(1):
-                words = tokens(text.as_py())
-                own = known.of(words)
-                codes.append(own.tobytes())
-                tails.append([named(words[i]) for i in np.flatnonzero(own < 0)])
-            rows = (part << 40) + row + np.arange(len(codes))
-            row += len(codes)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.binary()), pa.array(rows, pa.int64()), pa.array(tails, pa.list_(pa.binary()))], names=["id", "codes", "row", "tail"])
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, sizes, words = (b.column(c)[i].values for c in range(3))
+                places = np.frombuffer(b.column(3)[i].as_buffer(), np.int32)
+                codes = np.fromiter(map(known.get, words.to_pylist(), repeat(OUTSIDE)), np.int32, len(words))
+                codes = np.where(codes == OUTSIDE, -1 - surfaces(words), codes).astype(np.int32)[places]
+                ends, unknown = np.append(0, np.cumsum(sizes.to_numpy())), codes < 0
+                cells = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(codes)])
+                tails = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(unknown))[ends], pa.int32()), words.take(pa.array(places[unknown])))
+                rows = (part << 40) + row + np.arange(len(ids))
+                row += len(ids)
+                yield pa.RecordBatch.from_arrays([ids, cells, pa.array(rows, pa.int64()), tails], names=["id", "codes", "row", "tail"])
+
+    kind = parts.schema["ids"].dataType.elementType.simpleString()
+    return parts.select("ids", "sizes", "words", "codes").mapInArrow(run, f"id {kind}, codes binary, row long, tail array<binary>")
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, codes binary, row long, tail array<binary>")
+
+def coded(docs: DataFrame, shared) -> DataFrame:
+    """`recoded` of docs (id, text)."""
+    return recoded(split(docs), shared)
 
 
 def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", rounds: int = 3, slices: int = 3, task_tokens: int = 120_000, rate: float = 0.3) -> DataFrame:
@@ -547,10 +602,12 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", r
     spark = df.sparkSession
     ship(spark)
     docs = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    counts = cut(count_tokens(docs))
+    parts = cut(split(docs))
+    counts = cut(counted(parts))
     lex = build_lexicon(counts)
     shared = spark.sparkContext.broadcast(lex)
-    words_ = cut(coded(docs, shared))
+    words_ = cut(recoded(parts, shared))
+    remove(parts)
     held = spark.sparkContext.broadcast(train(words_.select("id", "codes"), lex, shared, rounds, slices, task_tokens, rate))
     end = lex.words.index(END)
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -135,6 +136,26 @@ def test_texts_are_coded_once_for_learning_and_scoring(spark):
     assert all(np.array_equal(one[k], other[k]) for k in one) and not np.array_equal(one["wo"], recurrent_lm.start_weights(lex)["wo"])
 
 
+def test_texts_are_cut_into_words_once(spark, monkeypatch):
+    """Counts and codes come of the same parts, whatever their size, and looks are the same by word and by array."""
+    words = [b"", b"a", b"abcde", b"abcdef.", b"abcdefghi,", b"\xc3\xa9t\xc3\xa9!", b'"', "\u00e9".encode() * 40, b"x" * 70 + b"-", b"\x7f"]
+    names = pa.array([b"left out", *map(recurrent_lm.named, words)], pa.binary())[1:]
+    assert recurrent_lm.surfaces(names).tolist() == [recurrent_lm.surface(recurrent_lm.named(w)) for w in words]
+    assert recurrent_lm.surfaces(pa.array([], pa.binary())).tolist() == []
+    texts = [None, "", *(f"One w{i % 7} \u00e9{i} " + "y" * 70 for i in range(60))]
+    rows = docs(spark, [*enumerate(texts), (None, "one")]).select(F.col("doc_id").alias("id"), "text").coalesce(1)
+    want = Counter(recurrent_lm.named(w) for i, t in [*enumerate(texts), (None, "one")] if not recurrent_lm.is_held_out(i) for w in recurrent_lm.tokens(t))
+    monkeypatch.setattr(recurrent_lm, "by_size", lambda batches, column, *_, cut=recurrent_lm.by_size: cut(batches, column, 10))
+    for size, rows_ in ((1, 7), (10**6, 1)):
+        monkeypatch.setattr(recurrent_lm, "PART", size)
+        parts = recurrent_lm.cut(recurrent_lm.split(rows))
+        assert parts.count() == rows_
+        assert {bytes(r["token"]): r["c"] for r in recurrent_lm.counted(parts).collect()} == want
+        lex = recurrent_lm.build_lexicon(recurrent_lm.counted(parts))
+        got, known = recurrent_lm.recoded(parts, spark.sparkContext.broadcast(lex)).collect(), recurrent_lm.Words(lex.words)
+        assert {r["id"]: np.frombuffer(r["codes"], np.int32).tolist() for r in got} == {i: [known[w] for w in recurrent_lm.tokens(t)] for i, t in [*enumerate(texts), (None, "one")]}
+
+
 def test_language_model_beats_its_base_by_a_tenth(spark):
     """Held-out log10 a token on the 1,000 documents of sf0.01, each training document learnt from once."""
     got = recurrent_lm.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
